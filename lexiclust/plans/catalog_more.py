@@ -1,0 +1 @@
+"""Remaining registered queries (see catalog.py)."""
