@@ -177,3 +177,17 @@ def is_not_lower(col) -> Column:
     """``not word.islower()``: islower needs at least one cased character."""
     c = _c(col)
     return ~((c == F.lower(c)) & (c != F.upper(c)))
+
+
+def posexplode_rows(df, arr, pos: str, val: str, *keep):
+    """``posexplode`` of a computed array without the inferred
+    ``size(arr) > 0`` pre-filter (Spark would inline and evaluate the whole
+    array expression twice): outer explode, then drop the empty marker row."""
+    from pyspark.sql import DataFrame  # noqa: F401
+    out = df.select(*keep, F.posexplode_outer(arr).alias(pos, val))
+    return out.where(F.col(pos).isNotNull()).withColumn(pos, F.col(pos).cast("long"))
+
+
+def explode_rows(df, arr, val: str, *keep):
+    out = df.select(*keep, F.explode_outer(arr).alias(val))
+    return out.where(F.col(val).isNotNull())

@@ -18,8 +18,7 @@ def scan_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                drop_blank: bool = True) -> DataFrame:
     """One row per line: ``(id, line_no, line)``; ``line_no`` is the 0-based
     position in the file, blank lines dropped when asked."""
-    out = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    out = out.withColumn("line_no", F.col("line_no").cast("long"))
+    out = tx.posexplode_rows(df, F.split(text_col, "\n"), "line_no", "line", id_col)
     if drop_blank:
         out = out.where(F.trim("line") != "")
     return out
@@ -39,8 +38,7 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(id, sent_no, sentence)``: contractions expanded and symbols stripped
     (when ``clean``), split on . ; ! ?, trimmed, blanks dropped, renumbered."""
     src = tx.decontract(text_col) if clean else F.col(text_col)
-    out = df.select(id_col, F.posexplode(tx.sentence_array(src)).alias("sent_no", "sentence"))
-    return out.withColumn("sent_no", F.col("sent_no").cast("long"))
+    return tx.posexplode_rows(df, tx.sentence_array(src), "sent_no", "sentence", id_col)
 
 
 def cap_sentences(sentences: DataFrame, max_per_doc: int = 2000) -> DataFrame:
@@ -68,8 +66,7 @@ def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            tokenizer: str = "clean") -> DataFrame:
     """``(id, tok_no, token)`` per document."""
     arr = doc_token_array(df, id_col, text_col, tokenizer)
-    out = arr.select(id_col, F.posexplode("tokens").alias("tok_no", "token"))
-    return out.withColumn("tok_no", F.col("tok_no").cast("long"))
+    return tx.posexplode_rows(arr, F.col("tokens"), "tok_no", "token", id_col)
 
 
 def token_stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -80,7 +77,7 @@ def token_stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arr = doc_token_array(df, id_col, text_col, tokenizer)
     counts = arr.select(id_col, F.size("tokens").alias("_n"))
     offs = prefix_offsets(counts, [id_col], "_n", "_off").select(id_col, "_off")
-    exploded = arr.select(id_col, F.posexplode("tokens").alias("tok_no", "token"))
+    exploded = tx.posexplode_rows(arr, F.col("tokens"), "tok_no", "token", id_col)
     out = exploded.join(offs, id_col)
     return out.select((F.col("_off") + F.col("tok_no")).alias("pos"), id_col,
                       F.col("tok_no").cast("long").alias("tok_no"), "token")
@@ -146,12 +143,13 @@ def prefix_by_words(lines: DataFrame, limit: int = 1000, id_col: str = "doc_id",
 
 def chunk_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 32) -> DataFrame:
     """Whitespace words cut into windows of ``size``: ``(id, chunk_no, chunk)``."""
-    w = tx.words(text_col)
+    ws = df.select(id_col, tx.words(text_col).alias("_ws"))  # materialised once
+    w = F.col("_ws")
     starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(size))
     chunks = F.transform(starts, lambda i: F.slice(w, i + 1, size))
-    arr = df.select(id_col, F.when(F.size(w) > 0, chunks).otherwise(F.array()).alias("chunks"))
-    out = arr.select(id_col, F.posexplode("chunks").alias("chunk_no", "words"))
-    return out.select(id_col, F.col("chunk_no").cast("long").alias("chunk_no"),
+    arr = ws.select(id_col, F.when(F.size(w) > 0, chunks).otherwise(F.array()).alias("chunks"))
+    out = tx.posexplode_rows(arr, F.col("chunks"), "chunk_no", "words", id_col)
+    return out.select(id_col, "chunk_no",
                       F.size("words").cast("long").alias("n_words"),
                       F.array_join("words", " ").alias("chunk"))
 
@@ -159,7 +157,7 @@ def chunk_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def char_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Character vocabulary ``(ch, char_id, cnt)``: ids by count descending,
     ties by first appearance in ``(id, position)`` order."""
-    chars = df.select(id_col, F.posexplode(F.split(text_col, "")).alias("p", "ch")).where(F.col("ch") != "")
+    chars = tx.posexplode_rows(df, F.split(text_col, ""), "p", "ch", id_col).where(F.col("ch") != "")
     stats = chars.groupBy("ch").agg(F.count("*").alias("cnt"),
                                     F.min(F.struct(id_col, "p")).alias("first"))
     # one row per distinct character: bounded by the character set

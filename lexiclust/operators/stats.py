@@ -33,9 +33,10 @@ def head_mass(freq: DataFrame, share: float = 0.01, cnt_col: str = "cnt", col: s
     # one row per distinct count value: bounded by sqrt(2 * total occurrences)
     cum = hist.withColumn("rank_hi", F.sum("n_with").over(w)) \
               .withColumn("mass_hi", F.sum(F.col(cnt_col) * F.col("n_with")).over(w))
-    tot = freq.agg(F.count("*").alias("vocab"), F.sum(cnt_col).alias("total"))
-    top = tot.select("vocab", "total", F.floor(F.col("vocab") * F.lit(share)).cast("long").alias("top_n"))
-    j = cum.crossJoin(F.broadcast(top))  # ``top`` is one row
+    vocab = freq.agg(F.count("*")).scalar()
+    total = freq.agg(F.sum(cnt_col)).scalar()
+    j = cum.withColumn("vocab", vocab).withColumn("total", total) \
+           .withColumn("top_n", F.floor(F.col("vocab") * F.lit(share)).cast("long"))
     # entries ranked 1..top_n: full count classes above, part of the boundary class
     j = j.withColumn("rank_lo", F.col("rank_hi") - F.col("n_with"))
     take = F.greatest(F.lit(0), F.least(F.col("n_with"), F.col("top_n") - F.col("rank_lo")))
@@ -73,13 +74,15 @@ def corpus_size_stats(sizes: DataFrame, size_col: str = "n_words") -> DataFrame:
 def histogram(values: DataFrame, col: str, bins: int = 100) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin right-closed), all bins
     reported: ``(bin, lo, hi, cnt)``.  Min/max are one row, joined by broadcast."""
-    mm = values.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx"))
+    mn = values.agg(F.min(col).cast("double")).scalar()
+    mx = values.agg(F.max(col).cast("double")).scalar()
+    width = (mx - mn) / bins
+    idx = F.when(mx == mn, F.lit(0)).otherwise(
+        F.least(F.floor((F.col(col) - mn) / (mx - mn) * bins), F.lit(bins - 1)))
+    counted = values.select(idx.cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("cnt"))
+    grid = values.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")) \
+        .select(F.col("mn"), F.col("mx"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("mx") - F.col("mn")) / bins
-    idx = F.when(F.col("mx") == F.col("mn"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(col) - F.col("mn")) / (F.col("mx") - F.col("mn")) * bins), F.lit(bins - 1)))
-    counted = values.crossJoin(F.broadcast(mm)).select(idx.cast("long").alias("bin")) \
-        .groupBy("bin").agg(F.count("*").alias("cnt"))
-    grid = mm.select("mn", "mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     grid = grid.select(F.col("bin").cast("long").alias("bin"),
                        F.round(F.col("mn") + F.col("bin") * width, 6).alias("lo"),
                        F.round(F.col("mn") + (F.col("bin") + 1) * width, 6).alias("hi"))
@@ -103,12 +106,15 @@ def distinct_count(df: DataFrame, col: str, out: str = "n_distinct", approx: boo
 def distinct_bigrams(docs: DataFrame, text_col: str = "text", drop_last: bool = True) -> DataFrame:
     """Distinct adjacent word pairs over all documents.  With ``drop_last``
     the final pair of every document is not counted (as in the reference)."""
-    w = tx.words(text_col)
+    # materialise the word array once: referenced inside a lambda it would be
+    # re-split for every element
+    ws = docs.select(tx.words(text_col).alias("_ws"))
+    w = F.col("_ws")
     n_pairs = F.size(w) - (2 if drop_last else 1)
     pairs = F.transform(F.sequence(F.lit(0), n_pairs - 1),
                         lambda i: F.concat_ws(" ", F.element_at(w, i + 1), F.element_at(w, i + 2)))
-    arr = docs.select(F.when(n_pairs > 0, pairs).otherwise(F.array()).alias("bg"))
-    return arr.select(F.explode("bg").alias("bigram")).agg(F.countDistinct("bigram").cast("long").alias("n_bigrams"))
+    arr = ws.select(F.when(n_pairs > 0, pairs).otherwise(F.array()).alias("bg"))
+    return tx.explode_rows(arr, F.col("bg"), "bigram").agg(F.countDistinct("bigram").cast("long").alias("n_bigrams"))
 
 
 def split_stats(sentences: DataFrame, split_col: str = "split", text_col: str = "sentence") -> DataFrame:

@@ -78,8 +78,13 @@ def _most_common(spark, d):
     return st.most_common(st.token_freq(co.tokens(load(spark, d, "documents"))), 100)
 
 
+PLAN_MODULES = ["catalog_text"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more  # noqa: F401  (registers the rest)
+    import importlib
+    for m in PLAN_MODULES:  # each module registers its queries on import
+        importlib.import_module(f"{__package__}.{m}")
     return dict(QUERIES)
 
 
