@@ -73,8 +73,7 @@ def mask_tokens(lines: DataFrame, block: int = 16, rate_pct: int = 15, seed=0,
                 id_cols: tuple[str, ...] = ("doc_id", "line_no"), text_col: str = "line") -> DataFrame:
     """Line-by-line blocks of at most ``block`` whitespace tokens; a token is a
     prediction target when ``hash % 100 < rate_pct``."""
-    from ..functions.text import words
-    blk = lines.select(*id_cols, F.posexplode(F.slice(words(text_col), 1, block)).alias("tok_no", "token"))
-    blk = blk.withColumn("tok_no", F.col("tok_no").cast("long"))
+    from ..functions.text import posexplode_rows, words
+    blk = posexplode_rows(lines, F.slice(words(text_col), 1, block), "tok_no", "token", *id_cols)
     target = (F.pmod(hash_int(seed, *id_cols, "tok_no"), 100) < rate_pct).cast("int")
     return blk.withColumn("is_target", target)

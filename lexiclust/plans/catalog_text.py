@@ -11,7 +11,8 @@ from ..operators import stats as st
 from . import sqlgen as q
 from .catalog import register
 
-DOC_PATH = F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"),
+def doc_path():
+    return F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"),
                     F.lit(" ("), F.col("lang"), F.lit(").txt"))
 DOC_PATH_SQL = "(source || '/doc' || CAST(doc_id AS VARCHAR) || ' (' || lang || ').txt')"
 WC_RE_SQL = "CAST(len(regexp_split_to_array(text, '\\s+')) AS BIGINT)"
@@ -29,7 +30,7 @@ SELECT doc_id, {DOC_PATH_SQL} AS path FROM documents
 WHERE NOT contains(lower({DOC_PATH_SQL}), '(fr)')
 """)
 def _filter_genre(spark, d):
-    return co.filter_genre(docs(spark, d).select("doc_id", DOC_PATH.alias("path")), "path", "(fr)")
+    return co.filter_genre(docs(spark, d).select("doc_id", doc_path().alias("path")), "path", "(fr)")
 
 
 @register("filter_size_range", f"""
