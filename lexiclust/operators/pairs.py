@@ -58,11 +58,16 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["_v"].to_numpy()).astype(np.float64)
 
 
-def distances(x: np.ndarray, y: np.ndarray, chunk_cells: int = 1 << 23) -> np.ndarray:
-    """Exact Euclidean distance matrix, chunked to bound the temporary."""
+def distances(x: np.ndarray, y: np.ndarray, chunk_cells: int = 1 << 23, metric: str = "euclidean") -> np.ndarray:
+    """Exact distance matrix (``euclidean`` chunked to bound the temporary,
+    or ``cosine`` = 1 - cos)."""
     out = np.empty((x.shape[0], y.shape[0]))
     if x.size == 0 or y.size == 0:
         return out
+    if metric == "cosine":
+        nx = np.sqrt(np.einsum("ij,ij->i", x, x))
+        ny = np.sqrt(np.einsum("ij,ij->i", y, y))
+        return 1.0 - (x @ y.T) / (nx[:, None] * ny[None, :])
     step = max(1, chunk_cells // max(1, y.shape[0] * x.shape[1]))
     for s in range(0, x.shape[0], step):
         diff = x[s:s + step, None, :] - y[None, :, :]
@@ -125,14 +130,15 @@ def kth_distance(neigh: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
 # label-pair aggregates over ordered pairs i != j
 
 def label_pair_stats(df: DataFrame, label_col: str = "label", id_col: str = "vec_id",
-                     vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                     vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS,
+                     metric: str = "euclidean") -> DataFrame:
     """``(label_i, label_j, sum_dist, n_pairs, max_dist, min_nz_dist)`` over
     ordered pairs of distinct rows (both orders counted)."""
     x, b = _cells(df, id_col, vec_col, [F.col(label_col).cast("long").alias("_lab")], block_rows)
 
     def agg(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _split(pdf, b)
-        d = distances(_matrix(left), _matrix(right))
+        d = distances(_matrix(left), _matrix(right), metric=metric)
         la, lb = left["_lab"].to_numpy(), right["_lab"].to_numpy()
         parts = []
 
@@ -172,14 +178,15 @@ def label_pair_stats(df: DataFrame, label_col: str = "label", id_col: str = "vec
 
 
 def row_label_sums(df: DataFrame, label_col: str = "label", id_col: str = "vec_id",
-                   vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS,
+                   metric: str = "euclidean") -> DataFrame:
     """``(id, label, other_label, sum_dist, n_other)``: for every row, the sum
     of its distances to the other rows of each label (self excluded)."""
     x, b = _cells(df, id_col, vec_col, [F.col(label_col).cast("long").alias("_lab")], block_rows)
 
     def agg(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _split(pdf, b)
-        d = distances(_matrix(left), _matrix(right))
+        d = distances(_matrix(left), _matrix(right), metric=metric)
         parts = []
 
         def side(ids, labs, other_labs, dm, self_block):
@@ -258,3 +265,47 @@ def approx_knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "em
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
             .select(F.col("id").alias(id_col), F.col("rank").cast("long"), "nbr_id", "dist")
+
+
+# --------------------------------------------------------------------------
+# query set x vector set: top-k by cosine similarity
+
+def cross_topk(queries: DataFrame, vectors: DataFrame, k: int, qid_col: str = "qid",
+               qvec_col: str = "qvec", exclude_col: str | None = "exclude", id_col: str = "vec_id",
+               vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(qid, rank, id, sim)``: the k vectors most cosine-similar to each
+    query vector, ids listed in ``exclude`` skipped; ties by id.  Query blocks
+    x vector blocks are the cells; each cell returns k candidates per query."""
+    nq, nv = queries.count(), vectors.count()
+    par = queries.sparkSession.sparkContext.defaultParallelism
+    bq = max(1, math.ceil(nq / block_rows))
+    bv = max(1, min(nv, max(math.ceil(nv / block_rows), math.ceil(2 * par / bq))))
+    ex = F.col(exclude_col) if exclude_col else F.array().cast("array<long>")
+    q = queries.select(F.col(qid_col).alias("_q"), F.transform(qvec_col, lambda v: v.cast("double")).alias("_v"),
+                       ex.alias("_ex"), F.pmod(F.xxhash64(qid_col), F.lit(bq)).alias("_qb"))
+    q = q.withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(bv - 1)))).withColumn("_side", F.lit(0))
+    v = vectors.select(F.col(id_col).alias("_q"), F.transform(vec_col, lambda x: x.cast("double")).alias("_v"),
+                       F.array().cast("array<long>").alias("_ex"), F.pmod(F.xxhash64(id_col), F.lit(bv)).alias("_vb"))
+    v = v.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))).withColumn("_side", F.lit(1))
+    cells = q.unionByName(v).withColumn("_cell", F.col("_qb") * bv + F.col("_vb"))
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, vs = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        if len(qs) == 0 or len(vs) == 0:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                                 "sim": pd.Series([], dtype="float64")})
+        sim = 1.0 - distances(_matrix(qs), _matrix(vs), metric="cosine")
+        vid = vs["_q"].to_numpy()
+        for r, exl in enumerate(qs["_ex"]):
+            if exl is not None and len(exl):
+                sim[r, np.isin(vid, np.asarray(exl, dtype=np.int64))] = -np.inf
+        kk = min(k, sim.shape[1])
+        order = np.lexsort((np.broadcast_to(vid, sim.shape), -sim), axis=1)[:, :kk]
+        s = np.take_along_axis(sim, order, axis=1).ravel()
+        out = pd.DataFrame({"qid": np.repeat(qs["_q"].to_numpy(), kk), "id": vid[order].ravel(), "sim": s})
+        return out[np.isfinite(out["sim"])]
+
+    cand = cells.groupBy("_cell").applyInPandas(top, "qid long, id long, sim double")
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+               .select(F.col("qid").alias(qid_col), F.col("rank").cast("long"), F.col("id").alias(id_col), "sim")

@@ -8,6 +8,10 @@ Three shared passes feed every index:
   and per-row sums by label (for silhouette);
 * kNN pass - exact 10-NN (CVNN separation).
 
+Each pass result is small next to the input (K x d, K^2, n x K, n x k rows)
+and is written once through a reliable checkpoint, so the dozen metrics read
+it instead of re-running the pair engine.
+
 Conventions follow the reference: K = max(label) + 1 counts the noise label 0
 as a cluster; CH, DB and silhouette use the labels present.  A metric that
 cannot be computed (zero density, one label) is NaN, not an error.
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..session import cut_lineage
 from . import pairs as pr
 from . import vectors as vv
 
@@ -65,15 +70,15 @@ class ClusterValidity:
 
     @cached_property
     def lab(self):
-        return vv.label_scatter(self.dev)
+        return cut_lineage(vv.label_scatter(self.dev))
 
     @cached_property
     def glob(self):
-        return vv.global_scatter(self.dev)
+        return cut_lineage(vv.global_scatter(self.dev))
 
     @cached_property
     def cen(self):
-        return vv.centroids_long(self.df)
+        return cut_lineage(vv.centroids_long(self.df))
 
     @cached_property
     def cen_arr(self):
@@ -81,20 +86,20 @@ class ClusterValidity:
 
     @cached_property
     def cd(self):
-        return vv.centroid_distances(self.cen)
+        return cut_lineage(vv.centroid_distances(self.cen))
 
     # -- pair and kNN passes
     @cached_property
     def lps(self):
-        return pr.label_pair_stats(self.df, block_rows=self.block_rows)
+        return cut_lineage(pr.label_pair_stats(self.df, block_rows=self.block_rows))
 
     @cached_property
     def rls(self):
-        return pr.row_label_sums(self.df, block_rows=self.block_rows)
+        return cut_lineage(pr.row_label_sums(self.df, block_rows=self.block_rows))
 
     @cached_property
     def knn(self):
-        return pr.knn(self.df, self.n_neighbors, block_rows=self.block_rows)
+        return cut_lineage(pr.knn(self.df, self.n_neighbors, block_rows=self.block_rows))
 
     def _row(self, name: str, frame: DataFrame, value) -> DataFrame:
         return frame.agg(_nan(value).alias("value")).select(F.lit(name).alias("metric"), "value")
