@@ -34,11 +34,11 @@ def norm(a) -> Column:
 
 
 def cosine_distance(a, b) -> Column:
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def rmse(a, b) -> Column:
-    return F.sqrt(sq_dist(a, b) / F.size(_c(a)))
+    return F.sqrt(F.try_divide(sq_dist(a, b), F.size(_c(a))))
 
 
 def vsum(a) -> Column:
@@ -59,7 +59,7 @@ def scale(a, s) -> Column:
 
 def unit(a) -> Column:
     n = norm(a)
-    return F.transform(_c(a), lambda x: x / n)
+    return F.transform(_c(a), lambda x: F.try_divide(x, n))
 
 
 def sig(col, digits: int = 9) -> Column:

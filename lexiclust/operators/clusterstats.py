@@ -42,14 +42,14 @@ def cluster_stats(cv: ClusterValidity, stats: list[str] | None = None) -> DataFr
             out.append(_out(s, sizes, F.col("n_l")))
         elif s == "mean_dist":
             j = sizes.join(within, "label", "left")
-            v = F.when(F.col("n_l") < 2, F.lit(0.0)).otherwise(2 * F.col("sum_dist") / F.col("n_pairs"))
+            v = F.when(F.col("n_l") < 2, F.lit(0.0)).otherwise(F.try_divide(2 * F.col("sum_dist"), F.col("n_pairs")))
             out.append(_out(s, j, v))
         elif s == "max_dist":
             out.append(_out(s, big.join(within, "label"), F.col("max_dist")))
         elif s == "centroid_dist":
             out.append(_out(s, big.join(rcd, "label"), 2 * F.col("mean_cd")))
         elif s == "rmsstd":
-            v = F.sqrt(F.col("sum_cd") / ((cv.n - k_unique) * cv.d))
+            v = F.sqrt(F.try_divide(F.col("sum_cd"), (cv.n - k_unique) * cv.d))
             out.append(_out(s, big.join(rcd, "label"), v))
         elif s == "sd_scat":
             out.append(_out(s, big.join(cv.lab, "label"), F.col("var_norm")))
@@ -57,10 +57,10 @@ def cluster_stats(cv: ClusterValidity, stats: list[str] | None = None) -> DataFr
             r = cv.rls
             same = F.col("other_label") == F.col("label")
             per = r.groupBy("vec_id", "label").agg(
-                F.max(F.when(same, F.col("sum_dist") / F.col("n_other"))).alias("a"),
-                F.min(F.when(~same, F.col("sum_dist") / F.col("n_other"))).alias("b"))
-            sil = per.groupBy("label").agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("m"))
-            out.append(_out(s, big.join(sil, "label"), F.col("m") / k_unique))
+                F.max(F.when(same, F.try_divide(F.col("sum_dist"), F.col("n_other")))).alias("a"),
+                F.min(F.when(~same, F.try_divide(F.col("sum_dist"), F.col("n_other")))).alias("b"))
+            sil = per.groupBy("label").agg(F.avg(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("m"))
+            out.append(_out(s, big.join(sil, "label"), F.try_divide(F.col("m"), k_unique)))
         elif s == "db_score":
             per, _, _ = cv._db_scores()
             j = sizes.join(per.select(F.col("label_a").alias("label"), "score"), "label", "left")
@@ -72,7 +72,7 @@ def cluster_stats(cv: ClusterValidity, stats: list[str] | None = None) -> DataFr
             outside = nb.groupBy("label").agg(
                 F.sum((F.col("label") != F.col("nbr_label")).cast("long")).alias("out"))
             j = sizes.join(outside, "label", "left")
-            out.append(_out(s, j, F.coalesce("out", F.lit(0)) / (F.col("n_l") * cv.n_neighbors)))
+            out.append(_out(s, j, F.try_divide(F.coalesce("out", F.lit(0)), F.col("n_l") * cv.n_neighbors)))
         else:
             raise ValueError(s)
     res = out[0]

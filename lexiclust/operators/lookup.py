@@ -61,8 +61,8 @@ def oov_report(tokens_df: DataFrame, vectors: DataFrame, token_col: str = "token
               F.countDistinct(F.when(bad, F.col("_w"))).alias("n_oov_distinct"))
     return r.select(F.col("n_tokens").cast("long"), F.col("n_oov").cast("long"),
                     F.col("n_oov_distinct").cast("long"),
-                    F.round(F.col("n_oov") / F.col("n_tokens"), 6).alias("ratio_all"),
-                    F.round(F.col("n_oov") / (F.col("n_tokens") - F.col("n_oov")), 6).alias("ratio_kept"))
+                    F.round(F.try_divide(F.col("n_oov"), F.col("n_tokens")), 6).alias("ratio_all"),
+                    F.round(F.try_divide(F.col("n_oov"), F.col("n_tokens") - F.col("n_oov")), 6).alias("ratio_kept"))
 
 
 def token_weights(vocab: DataFrame, freq: DataFrame, word_col: str = "word",
@@ -72,4 +72,4 @@ def token_weights(vocab: DataFrame, freq: DataFrame, word_col: str = "word",
     j = vocab.select(word_col).join(f, word_col, "left").withColumn(cnt_col, F.coalesce(cnt_col, F.lit(0)))
     tot = j.agg(F.sum(cnt_col)).scalar()
     return j.select(word_col, F.col(cnt_col).cast("long").alias(cnt_col),
-                    F.round(F.col(cnt_col) / tot, 6).alias("weight"))
+                    F.round(F.try_divide(F.col(cnt_col), tot), 6).alias("weight"))

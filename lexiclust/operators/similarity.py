@@ -81,7 +81,7 @@ def word_pair_eval(vectors: DataFrame, pairs: DataFrame, word_col: str = "word",
     r = avg_rank(avg_rank(j, "score", "rs", ["w1", "w2"]), "sim", "rc", ["w1", "w2"])
     total = pairs.agg(F.count("*")).scalar()
     return r.agg(F.corr("sim", "score").alias("pearson"), F.corr("rc", "rs").alias("spearman"),
-                 (100.0 * (1 - F.count("*") / total)).alias("oov_pct"))
+                 (100.0 * (1 - F.try_divide(F.count("*"), total))).alias("oov_pct"))
 
 
 def avg_rank(df: DataFrame, col: str, out: str, key: list[str]) -> DataFrame:
@@ -99,7 +99,7 @@ def medoids(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec
     other members (ties: smaller id): ``(label, medoid_id, mean_cos_dist)``."""
     sums = pr.row_label_sums(df, label_col, id_col, vec_col, block_rows, metric="cosine")
     own = sums.where(F.col("other_label") == F.col("label")).where(F.col("n_other") > 0) \
-        .select("label", id_col, (F.col("sum_dist") / F.col("n_other")).alias("m"))
+        .select("label", id_col, F.try_divide(F.col("sum_dist"), F.col("n_other")).alias("m"))
     best = own.groupBy("label").agg(F.min(F.struct("m", id_col)).alias("b"))
     return best.select(F.col("label").alias(label_col), F.col(f"b.{id_col}").alias("medoid_id"),
                        F.col("b.m").alias("mean_cos_dist"))

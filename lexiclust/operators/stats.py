@@ -43,7 +43,7 @@ def head_mass(freq: DataFrame, share: float = 0.01, cnt_col: str = "cnt", col: s
     res = j.groupBy("vocab", "total", "top_n").agg(F.sum(take * F.col(cnt_col)).alias("top_mass"))
     return res.select(F.col("vocab").cast("long"), F.col("total").cast("long"), "top_n",
                       F.coalesce(F.col("top_mass"), F.lit(0)).cast("long").alias("top_mass"),
-                      F.round(F.coalesce(F.col("top_mass"), F.lit(0)) / F.col("total"), 6).alias("share"))
+                      F.round(F.try_divide(F.coalesce(F.col("top_mass"), F.lit(0)), F.col("total")), 6).alias("share"))
 
 
 QUANTILE_GRID_10 = [i / 10 for i in range(11)]
@@ -78,7 +78,7 @@ def histogram(values: DataFrame, col: str, bins: int = 100) -> DataFrame:
     mx = values.agg(F.max(col).cast("double")).scalar()
     width = (mx - mn) / bins
     idx = F.when(mx == mn, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(col) - mn) / (mx - mn) * bins), F.lit(bins - 1)))
+        F.least(F.floor(F.try_divide(F.col(col) - mn, mx - mn) * bins), F.lit(bins - 1)))
     counted = values.select(idx.cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("cnt"))
     grid = values.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")) \
         .select(F.col("mn"), F.col("mx"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

@@ -40,11 +40,12 @@ def _nan(c):
 class ClusterValidity:
     def __init__(self, df: DataFrame, label_col: str = "label", id_col: str = "vec_id",
                  vec_col: str = "embedding", n_neighbors: int = 10,
-                 block_rows: int = pr.DEFAULT_BLOCK_ROWS):
+                 block_rows: int = pr.DEFAULT_BLOCK_ROWS, neighbors: DataFrame | None = None):
         self.df = df.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("long").alias("label"),
                             vx.as_double(vec_col).alias("embedding"))
         self.n_neighbors = n_neighbors
         self.block_rows = block_rows
+        self._neighbors = neighbors  # optional precomputed kNN (rank <= n_neighbors used)
 
     # -- scalars (scalar subqueries, evaluated once per plan)
     @cached_property
@@ -99,6 +100,8 @@ class ClusterValidity:
 
     @cached_property
     def knn(self):
+        if self._neighbors is not None:
+            return self._neighbors.where(F.col("rank") <= self.n_neighbors)
         return cut_lineage(pr.knn(self.df, self.n_neighbors, block_rows=self.block_rows))
 
     def _row(self, name: str, frame: DataFrame, value) -> DataFrame:
@@ -106,45 +109,45 @@ class ClusterValidity:
 
     # -- indices
     def rmsstd(self):
-        return self._row("rmsstd", self.lab, F.sqrt(F.sum("ss") / ((self.n - self.k) * self.d)))
+        return self._row("rmsstd", self.lab, F.sqrt(F.try_divide(F.sum("ss"), (self.n - self.k) * self.d)))
 
     def r_squared(self):
         sst = self.glob.select("sst").scalar()
-        return self._row("r_squared", self.lab, (sst - F.sum("ss")) / sst)
+        return self._row("r_squared", self.lab, F.try_divide(sst - F.sum("ss"), sst))
 
     def hubert(self):
         j = self.lps.join(self.cd, (F.col("label_i") == F.col("label_a")) & (F.col("label_j") == F.col("label_b")))
-        return self._row("hubert", j, F.sum(F.col("sum_dist") * F.col("d")) * 2 / (self.n * (self.n - 1)))
+        return self._row("hubert", j, F.try_divide(F.sum(F.col("sum_dist") * F.col("d")) * 2, self.n * (self.n - 1)))
 
     def ch_index(self):
         glob_mean = self.dev.select("dim", "g").distinct()
         extra = self.cen.join(glob_mean, "dim").agg(F.sum(F.col("n") * (F.col("c") - F.col("g")) ** 2)).scalar()
         kp = self.k_present
         intra = F.sum("ss")
-        val = F.when(intra == 0, F.lit(1.0)).otherwise(extra * (self.n - kp) / (intra * (kp - 1)))
+        val = F.when(intra == 0, F.lit(1.0)).otherwise(F.try_divide(extra * (self.n - kp), intra * (kp - 1)))
         return self._row("ch_index", self.lab, val)
 
     def i_index(self):
         sst = self.glob.select("sst").scalar()
         maxd = self.cd.agg(F.max("d")).scalar()
-        return self._row("i_index", self.lab, F.sqrt(sst) * maxd / (self.k * F.sum(F.sqrt("ss"))))
+        return self._row("i_index", self.lab, F.try_divide(F.sqrt(sst) * maxd, self.k * F.sum(F.sqrt("ss"))))
 
     def dunn(self):
         cross = F.col("label_i") != F.col("label_j")
         num = F.when(F.sum(F.when(cross & F.col("min_nz_dist").isNull(), 1).otherwise(0)) > 0, F.lit(None)) \
             .otherwise(F.min(F.when(cross, F.col("min_nz_dist"))))
         den = F.coalesce(F.max(F.when(~cross, F.col("max_dist"))), F.lit(0.0))
-        return self._row("dunn", self.lps, num / den)
+        return self._row("dunn", self.lps, F.try_divide(num, den))
 
     def _silhouette_rows(self):
         r = self.rls
         same = F.col("other_label") == F.col("label")
-        mean_d = F.when(F.col("n_other") > 0, F.col("sum_dist") / F.col("n_other"))
+        mean_d = F.try_divide(F.col("sum_dist"), F.col("n_other"))
         per = r.groupBy("vec_id", "label").agg(
             F.max(F.when(same, mean_d)).alias("a"), F.max(F.when(same, F.col("n_other"))).alias("n_same"),
             F.min(F.when(~same & (F.col("n_other") > 0), mean_d)).alias("b"))
         s = F.when(F.coalesce(F.col("n_same"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
-            F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)))
+            F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
         return per.withColumn("s", F.when(F.isnan(s), F.lit(0.0)).otherwise(s))
 
     def silhouette(self):
@@ -158,7 +161,7 @@ class ClusterValidity:
         sa = s.select(F.col("label").alias("label_a"), F.col("s").alias("sa"))
         sb = s.select(F.col("label").alias("label_b"), F.col("s").alias("sb"))
         j = self.cd.join(sa, "label_a").join(sb, "label_b")
-        ratio = F.when(F.col("d") == 0, F.lit(0.0)).otherwise((F.col("sa") + F.col("sb")) / F.col("d"))
+        ratio = F.when(F.col("d") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("sa") + F.col("sb"), F.col("d")))
         per = j.groupBy("label_a").agg(F.max(ratio).alias("score"))
         all_s_zero = s.agg(F.max("s") == 0).scalar()
         all_d_zero = self.cd.agg(F.coalesce(F.max("d"), F.lit(0.0)) == 0).scalar()
@@ -171,19 +174,19 @@ class ClusterValidity:
 
     def xie_beni(self):
         mind = self.cd.agg(F.min("d")).scalar()
-        return self._row("xie_beni", self.lab, F.sum("ss") / (self.n * mind * mind))
+        return self._row("xie_beni", self.lab, F.try_divide(F.sum("ss"), self.n * mind * mind))
 
     def sd(self):
         all_var = self.glob.select("var_norm").scalar()
         maxd = self.cd.agg(F.max("d")).scalar()
         mind = self.cd.agg(F.min("d")).scalar()
-        inv = self.cd.groupBy("label_a").agg((1.0 / F.sum("d")).alias("inv")).agg(F.sum("inv")).scalar()
-        scat = F.sum("var_norm") / (all_var * self.k)
-        return self._row("sd", self.lab, scat + maxd / mind * inv)
+        inv = self.cd.groupBy("label_a").agg(F.try_divide(F.lit(1.0), F.sum("d")).alias("inv")).agg(F.sum("inv")).scalar()
+        scat = F.try_divide(F.sum("var_norm"), all_var * self.k)
+        return self._row("sd", self.lab, scat + F.try_divide(maxd, mind) * inv)
 
     def s_dbw(self):
         std_sum = self.lab.agg(F.sum("std_norm")).scalar()
-        radius = F.sqrt(std_sum) / self.k
+        radius = F.try_divide(F.sqrt(std_sum), self.k)
         cen = self.cen_arr
         v = self.df.select("vec_id", "label", "embedding")
         own = v.join(cen.select("label", "centroid"), "label") \
@@ -202,17 +205,17 @@ class ClusterValidity:
         db = own.select(F.col("label").alias("label_b"), F.col("dens").alias("db"))
         pair = pair.join(da, "label_a").join(db, "label_b")
         mx = F.greatest("da", "db")
-        term = F.when(mx == 0, F.lit(None)).otherwise((F.col("cnt") + F.col("cnt_rev")) / mx)
+        term = F.when(mx == 0, F.lit(None)).otherwise(F.try_divide(F.col("cnt") + F.col("cnt_rev"), mx))
         all_std = self.glob.select("std_norm").scalar()
-        scat = self.lab.agg(F.sum("std_norm")).scalar() / (all_std * self.k)
+        scat = F.try_divide(self.lab.agg(F.sum("std_norm")).scalar(), all_std * self.k)
         dens_bw = F.when(F.sum(F.when(term.isNull(), 1).otherwise(0)) > 0, F.lit(None)) \
-            .otherwise(F.sum(term) / (self.k * (self.k - 1)))
+            .otherwise(F.try_divide(F.sum(term), self.k * (self.k - 1)))
         return self._row("s_dbw", pair, dens_bw + scat)
 
     def cvnn(self):
         within = self.lps.where(F.col("label_i") == F.col("label_j")).select(
             F.col("label_i").alias("label"), "sum_dist", "n_pairs")
-        com = within.agg(F.coalesce(F.sum(F.when(F.col("n_pairs") > 0, F.col("sum_dist") / F.col("n_pairs"))),
+        com = within.agg(F.coalesce(F.sum(F.try_divide(F.col("sum_dist"), F.col("n_pairs"))),
                                     F.lit(0.0))).scalar()
         labs = self.df.select("vec_id", "label")
         nb = self.knn.join(labs, "vec_id").join(
@@ -220,7 +223,7 @@ class ClusterValidity:
         outside = nb.groupBy("label").agg(F.sum((F.col("label") != F.col("nbr_label")).cast("long")).alias("out"))
         sizes = labs.groupBy("label").agg(F.count("*").alias("n_l"))
         sep = sizes.join(outside, "label", "left").select(
-            (F.coalesce("out", F.lit(0)) / (F.col("n_l") * self.n_neighbors)).alias("sep"))
+            F.try_divide(F.coalesce("out", F.lit(0)), F.col("n_l") * self.n_neighbors).alias("sep"))
         return self._row("cvnn", sep, com + F.max("sep"))
 
     def run_all(self, calc_hubert: bool = True) -> DataFrame:

@@ -29,7 +29,7 @@ def vector_mean(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 def row_mean_max(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Max over rows of the row mean."""
-    rm = vx.vsum(vx.as_double(vec_col)) / F.size(vec_col)
+    rm = F.try_divide(vx.vsum(vx.as_double(vec_col)), F.size(vec_col))
     return df.agg(F.max(rm).alias("max_row_mean"))
 
 
