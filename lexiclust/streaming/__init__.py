@@ -1 +1,8 @@
-"""lexiclust: text-corpus analytics as Spark DataFrame operators."""
+"""No streaming operators.
+
+The reference reads bounded files and arrays only (no stream, clock, watermark
+or unbounded input), so this package deliberately holds no Structured
+Streaming code.  Every operator in ``lexiclust.operators`` is a plain
+``DataFrame -> DataFrame`` function and can be applied per micro-batch inside
+``foreachBatch`` by a caller who has a stream.
+"""
