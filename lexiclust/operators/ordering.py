@@ -21,33 +21,46 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 
-def prefix_offsets(df: DataFrame, order_cols: list[str], weight_col: str | None,
-                   out_col: str) -> DataFrame:
-    """Add ``out_col`` = exclusive running sum of ``weight_col`` (or 1) in the
-    total order ``order_cols`` (must be unique)."""
-    w = "_w"
-    base = df.withColumn(w, F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long"))
+def prefix_sums(df: DataFrame, order_cols: list[str], weights: dict[str, str | None]) -> DataFrame:
+    """For each ``out_col: weight_col`` add the exclusive running sum of the
+    weight (``None`` = 1) in the total order ``order_cols`` (must be unique)."""
+    outs = list(weights)
+    wcols = [f"_w{i}" for i in range(len(outs))]
+    base = df
+    for wc, out in zip(wcols, outs):
+        src = weights[out]
+        base = base.withColumn(wc, F.col(src).cast("long") if src else F.lit(1).cast("long"))
     ordered = cut_lineage(base.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_loc", T.LongType())])
+    locs = [f"_loc{i}" for i in range(len(outs))]
+    schema = T.StructType(ordered.schema.fields + [T.StructField(lc, T.LongType()) for lc in locs])
 
     def local_cumsum(batches):
-        running = 0
+        running = [0] * len(wcols)
         for pdf in batches:
-            cs = pdf[w].cumsum()
-            pdf["_loc"] = (cs - pdf[w] + running).astype("int64")
-            if len(pdf):
-                running += int(cs.iloc[-1])
+            for i, (wc, lc) in enumerate(zip(wcols, locs)):
+                cs = pdf[wc].cumsum()
+                pdf[lc] = (cs - pdf[wc] + running[i]).astype("int64")
+                if len(pdf):
+                    running[i] += int(cs.iloc[-1])
             yield pdf
 
     local = ordered.mapInPandas(local_cumsum, schema)
-    totals = ordered.groupBy("_pid").agg(F.sum(w).alias("_tot"))
-    offs = totals.select(
-        "_pid",
-        F.coalesce(F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_poff"))
+    totals = ordered.groupBy("_pid").agg(*[F.sum(wc).alias(f"_tot{i}") for i, wc in enumerate(wcols)])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_pid", *[F.coalesce(F.sum(f"_tot{i}").over(w), F.lit(0)).alias(f"_poff{i}")
+                                   for i in range(len(wcols))])
     # one row per partition: size bounded by the partition count
-    out = local.join(F.broadcast(offs), "_pid").withColumn(out_col, F.col("_poff") + F.col("_loc"))
-    return out.drop("_pid", "_loc", "_poff", w)
+    out = local.join(F.broadcast(offs), "_pid")
+    for i, o in enumerate(outs):
+        out = out.withColumn(o, F.col(f"_poff{i}") + F.col(locs[i]))
+    return out.drop("_pid", *locs, *[f"_poff{i}" for i in range(len(outs))], *wcols)
+
+
+def prefix_offsets(df: DataFrame, order_cols: list[str], weight_col: str | None,
+                   out_col: str) -> DataFrame:
+    """Add ``out_col`` = exclusive running sum of ``weight_col`` (or 1) in the
+    total order ``order_cols`` (must be unique)."""
+    return prefix_sums(df, order_cols, {out_col: weight_col})
 
 
 def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx") -> DataFrame:
