@@ -119,7 +119,7 @@ def _cv(spark, d, metrics):
 
 
 def _register_cv(metric):
-    @register(f"cv_{metric}", cv_sql([metric]))
+    @register("cv_ch" if metric == "ch_index" else f"cv_{metric}", cv_sql([metric]))
     def _q(spark, d):
         return _cv(spark, d, [metric])
     return _q

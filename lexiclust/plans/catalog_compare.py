@@ -93,8 +93,14 @@ def spark_cluster_stats(frame, sample: str, stats=None):
     return out.select(F.lit(sample).alias("sample"), "stat", "label", vx.sig("value").alias("value"))
 
 
+# registered key per statistic (the statistic names are the reference's report keys)
+CS_KEYS = {"sizes": "cs_sizes", "mean_dist": "cs_mean_intracluster", "max_dist": "cs_max_intracluster",
+           "centroid_dist": "cs_centroid_dist", "rmsstd": "cs_rmsstd", "sd_scat": "cs_sd_scat",
+           "silhouette": "cs_silhouette", "db_score": "cs_db", "cvnn_sep": "cs_cvnn_sep"}
+
+
 def _register_cs(stat):
-    @register(f"cs_{stat}", f"WITH {cs_sql_cte(ALL_SRC)}\nSELECT label, value FROM cs WHERE stat = '{stat}'")
+    @register(CS_KEYS[stat], f"WITH {cs_sql_cte(ALL_SRC)}\nSELECT label, value FROM cs WHERE stat = '{stat}'")
     def _q(spark, d):
         return spark_cluster_stats(emb(spark, d), "all", [stat]).select("label", "value")
     return _q

@@ -10,7 +10,7 @@ from tools.oracle_check import TABLES, compare
 FAST = ["scan_lines", "split_sentences", "token_freq", "most_common", "filter_special_words", "slice_rows",
         "rule_sentence_split", "char_index", "corpus_size_stats", "size_histogram", "head_mass",
         "embed_tokens_default", "split_train_val_test", "mask_tokens", "library_star", "centroids",
-        "knn_join", "cv_silhouette", "cv_s_dbw", "cs_db_score", "ranksum_test", "vector_ngrams",
+        "knn_join", "cv_silhouette", "cv_s_dbw", "cs_db", "ranksum_test", "vector_ngrams",
         "recon_r2"]
 
 
