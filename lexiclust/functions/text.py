@@ -66,10 +66,13 @@ def _c(col) -> Column:
 
 
 def expand_contractions(col) -> Column:
-    out = _c(col)
+    """The rules in order; texts without any quote character skip the 11
+    regex passes (same result, one scan)."""
+    src = _c(col)
+    out = src
     for pattern, repl in CONTRACTION_RULES:
         out = F.regexp_replace(out, pattern, repl)
-    return out
+    return F.when(src.rlike(QUOTES), out).otherwise(src)
 
 
 def strip_symbols(col) -> Column:

@@ -30,7 +30,11 @@ def prefix_sums(df: DataFrame, order_cols: list[str], weights: dict[str, str | N
     for wc, out in zip(wcols, outs):
         src = weights[out]
         base = base.withColumn(wc, F.col(src).cast("long") if src else F.lit(1).cast("long"))
+    # the range sort reads its input twice (boundary sampling, then the sort):
+    # keep the input so an expensive upstream plan runs once
+    base = base.persist()
     ordered = cut_lineage(base.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()))
+    base.unpersist()
     locs = [f"_loc{i}" for i in range(len(outs))]
     schema = T.StructType(ordered.schema.fields + [T.StructField(lc, T.LongType()) for lc in locs])
 

@@ -28,10 +28,11 @@ def split_exact(df: DataFrame, sizes: dict[str, int] | None, key_cols: list[str]
 
     The rank is a distributed dense index (range sort + per-partition
     offsets), not a one-partition ``row_number``."""
+    ranked = global_index(df.withColumn("_h", hash_key(seed, *key_cols)), ["_h", *key_cols], "_r")
     if sizes is None:
-        n = df.count()
+        # row count from the (checkpointed) ranked rows: no extra upstream pass
+        n = ranked.agg(F.count("*")).first()[0]
         sizes = {k: int(f * n) for k, f in (fractions or {}).items()}
-    ranked = global_index(df.withColumn("_h", hash_key(seed, *key_cols)), ["_h", *key_cols], "_r")
     expr = None
     lo = 0
     for name, size in sizes.items():
