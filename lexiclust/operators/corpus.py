@@ -156,10 +156,28 @@ def chunk_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def char_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Character vocabulary ``(ch, char_id, cnt)``: ids by count descending,
-    ties by first appearance in ``(id, position)`` order."""
-    chars = tx.posexplode_rows(df, F.split(text_col, ""), "p", "ch", id_col).where(F.col("ch") != "")
-    stats = chars.groupBy("ch").agg(F.count("*").alias("cnt"),
-                                    F.min(F.struct(id_col, "p")).alias("first"))
+    ties by first appearance in ``(id, position)`` order (characters are
+    code points).  Each document is first reduced to one row per distinct
+    character in its task (map-side combine); only those rows are shuffled."""
+    import pandas as pd
+
+    def per_doc(batches):
+        for pdf in batches:
+            rows = []
+            for doc, text in zip(pdf[id_col], pdf[text_col]):
+                if text is None:
+                    continue
+                first = {}
+                for i, c in enumerate(text):
+                    if c not in first:
+                        first[c] = i
+                cnt = Counter(text)
+                rows.extend((doc, c, cnt[c], p) for c, p in first.items())
+            yield pd.DataFrame(rows, columns=[id_col, "ch", "n", "p"])
+
+    from collections import Counter
+    pre = df.select(id_col, text_col).mapInPandas(per_doc, f"{id_col} long, ch string, n long, p long")
+    stats = pre.groupBy("ch").agg(F.sum("n").alias("cnt"), F.min(F.struct(id_col, "p")).alias("first"))
     # one row per distinct character: bounded by the character set
     w = Window.orderBy(F.desc("cnt"), F.col(f"first.{id_col}"), F.col("first.p"))
     return stats.select("ch", (F.row_number().over(w) - 1).cast("long").alias("char_id"),

@@ -39,8 +39,8 @@ f AS (SELECT ngram, min(window_id) AS first_pos FROM w GROUP BY ngram ORDER BY f
 SELECT ngram, CAST(first_pos AS BIGINT) AS first_pos, CAST((SELECT max(first_pos) + 1 FROM f) AS BIGINT) AS scanned FROM f
 """)
 def _unique_ngrams(spark, d):
-    arr = co.doc_token_array(load(spark, d, "documents"), tokenizer="filters")
-    return ng.unique_ngrams(arr, 3, 10000)
+    from ..functions.text import normalize_filters
+    return ng.unique_ngrams(load(spark, d, "documents"), 3, 10000, normalize_filters)
 
 
 @register("ngrams_known_words", f"""
