@@ -47,22 +47,42 @@ class ClusterValidity:
         self.block_rows = block_rows
         self._neighbors = neighbors  # optional precomputed kNN (rank <= n_neighbors used)
 
-    # -- scalars (scalar subqueries, evaluated once per plan)
+    # -- one-row summaries, fetched once as literals (not data: four numbers)
     @cached_property
+    def _meta(self):
+        r = self.df.agg(F.count("*").cast("double").alias("n"), (F.max("label") + 1).cast("double").alias("k"),
+                        F.countDistinct("label").cast("double").alias("kp"),
+                        F.max(F.size("embedding")).cast("double").alias("d")).first()
+        return {c: F.lit(r[c]) for c in ("n", "k", "kp", "d")}
+
+    @property
     def n(self):
-        return self.df.agg(F.count("*").cast("double")).scalar()
+        return self._meta["n"]
 
-    @cached_property
+    @property
     def k(self):
-        return self.df.agg((F.max("label") + 1).cast("double")).scalar()
+        return self._meta["k"]
 
-    @cached_property
+    @property
     def k_present(self):
-        return self.df.agg(F.countDistinct("label").cast("double")).scalar()
+        return self._meta["kp"]
 
-    @cached_property
+    @property
     def d(self):
-        return self.df.agg(F.max(F.size("embedding")).cast("double")).scalar()
+        return self._meta["d"]
+
+    @cached_property
+    def _glob_vals(self):
+        r = self.glob.first()
+        return {c: F.lit(r[c]) for c in ("sst", "var_norm", "std_norm")}
+
+    @cached_property
+    def _cd_vals(self):
+        r = self.cd.agg(F.max("d").alias("maxd"), F.min("d").alias("mind")).first()
+        inv = self.cd.groupBy("label_a").agg(F.try_divide(F.lit(1.0), F.sum("d")).alias("inv")) \
+            .agg(F.sum("inv")).first()[0]
+        return {"maxd": F.lit(r["maxd"]).cast("double"), "mind": F.lit(r["mind"]).cast("double"),
+                "inv": F.lit(inv).cast("double")}
 
     # -- centroid pass
     @cached_property
@@ -112,7 +132,7 @@ class ClusterValidity:
         return self._row("rmsstd", self.lab, F.sqrt(F.try_divide(F.sum("ss"), (self.n - self.k) * self.d)))
 
     def r_squared(self):
-        sst = self.glob.select("sst").scalar()
+        sst = self._glob_vals["sst"]
         return self._row("r_squared", self.lab, F.try_divide(sst - F.sum("ss"), sst))
 
     def hubert(self):
@@ -128,8 +148,8 @@ class ClusterValidity:
         return self._row("ch_index", self.lab, val)
 
     def i_index(self):
-        sst = self.glob.select("sst").scalar()
-        maxd = self.cd.agg(F.max("d")).scalar()
+        sst = self._glob_vals["sst"]
+        maxd = self._cd_vals["maxd"]
         return self._row("i_index", self.lab, F.try_divide(F.sqrt(sst) * maxd, self.k * F.sum(F.sqrt("ss"))))
 
     def dunn(self):
@@ -173,14 +193,14 @@ class ClusterValidity:
         return self._row("davies_bouldin", per, val)
 
     def xie_beni(self):
-        mind = self.cd.agg(F.min("d")).scalar()
+        mind = self._cd_vals["mind"]
         return self._row("xie_beni", self.lab, F.try_divide(F.sum("ss"), self.n * mind * mind))
 
     def sd(self):
-        all_var = self.glob.select("var_norm").scalar()
-        maxd = self.cd.agg(F.max("d")).scalar()
-        mind = self.cd.agg(F.min("d")).scalar()
-        inv = self.cd.groupBy("label_a").agg(F.try_divide(F.lit(1.0), F.sum("d")).alias("inv")).agg(F.sum("inv")).scalar()
+        all_var = self._glob_vals["var_norm"]
+        maxd = self._cd_vals["maxd"]
+        mind = self._cd_vals["mind"]
+        inv = self._cd_vals["inv"]
         scat = F.try_divide(F.sum("var_norm"), all_var * self.k)
         return self._row("sd", self.lab, scat + F.try_divide(maxd, mind) * inv)
 
@@ -206,7 +226,7 @@ class ClusterValidity:
         pair = pair.join(da, "label_a").join(db, "label_b")
         mx = F.greatest("da", "db")
         term = F.when(mx == 0, F.lit(None)).otherwise(F.try_divide(F.col("cnt") + F.col("cnt_rev"), mx))
-        all_std = self.glob.select("std_norm").scalar()
+        all_std = self._glob_vals["std_norm"]
         scat = F.try_divide(self.lab.agg(F.sum("std_norm")).scalar(), all_std * self.k)
         dens_bw = F.when(F.sum(F.when(term.isNull(), 1).otherwise(0)) > 0, F.lit(None)) \
             .otherwise(F.try_divide(F.sum(term), self.k * (self.k - 1)))
