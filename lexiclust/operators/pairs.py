@@ -180,8 +180,9 @@ def label_pair_stats(df: DataFrame, label_col: str = "label", id_col: str = "vec
 def row_label_sums(df: DataFrame, label_col: str = "label", id_col: str = "vec_id",
                    vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS,
                    metric: str = "euclidean") -> DataFrame:
-    """``(id, label, other_label, sum_dist, n_other)``: for every row, the sum
-    of its distances to the other rows of each label (self excluded)."""
+    """``(id, label, other_label, sum_dist, n_other, max_dist, min_nz_dist)``:
+    for every row, its distances to the other rows of each label (self
+    excluded), reduced per label with one sort of the cell's columns."""
     x, b = _cells(df, id_col, vec_col, [F.col(label_col).cast("long").alias("_lab")], block_rows)
 
     def agg(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,36 +190,58 @@ def row_label_sums(df: DataFrame, label_col: str = "label", id_col: str = "vec_i
         d = distances(_matrix(left), _matrix(right), metric=metric)
         parts = []
 
-        def side(ids, labs, other_labs, dm, self_block):
+        def side(ids, labs, other_ids, other_labs, dm, self_block):
             if dm.shape[0] == 0 or dm.shape[1] == 0:
                 return
-            uniq, inv = np.unique(other_labs, return_inverse=True)
-            onehot = np.zeros((len(other_labs), len(uniq)))
-            onehot[np.arange(len(other_labs)), inv] = 1.0
-            sums = dm @ onehot
-            cnt = np.broadcast_to(onehot.sum(axis=0), sums.shape).copy()
+            order = np.argsort(other_labs, kind="stable")
+            sl = other_labs[order]
+            uniq, starts = np.unique(sl, return_index=True)
+            dd = dm[:, order]
+            selfm = (ids[:, None] == other_ids[order][None, :]) if self_block else None
+            sums = np.add.reduceat(dd, starts, axis=1)
+            cnt = np.broadcast_to(np.diff(np.append(starts, len(sl))), sums.shape).astype(np.int64).copy()
+            mx_src = dd if selfm is None else np.where(selfm, -np.inf, dd)
+            mn_src = np.where(dd > 0, dd, np.inf) if selfm is None else np.where(selfm | (dd <= 0), np.inf, dd)
+            mx = np.maximum.reduceat(mx_src, starts, axis=1)
+            mn = np.minimum.reduceat(mn_src, starts, axis=1)
             if self_block:  # the row itself was counted once in its own label
                 own = np.searchsorted(uniq, labs)
                 cnt[np.arange(len(ids)), own] -= 1
             parts.append(pd.DataFrame({
                 "id": np.repeat(ids, len(uniq)), "lab": np.repeat(labs, len(uniq)),
-                "olab": np.tile(uniq, len(ids)), "s": sums.ravel(), "c": cnt.ravel().astype(np.int64)}))
+                "olab": np.tile(uniq, len(ids)), "s": sums.ravel(), "c": cnt.ravel(),
+                "mx": mx.ravel(), "mn": mn.ravel()}))
 
         li, la = left["_id"].to_numpy(), left["_lab"].to_numpy()
         ri, ra = right["_id"].to_numpy(), right["_lab"].to_numpy()
-        side(li, la, ra, d, same)
+        side(li, la, ri, ra, d, same)
         if not same:
-            side(ri, ra, la, d.T, False)
+            side(ri, ra, li, la, d.T, False)
         if not parts:
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "lab": pd.Series([], dtype="int64"),
                                  "olab": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float64"),
-                                 "c": pd.Series([], dtype="int64")})
+                                 "c": pd.Series([], dtype="int64"), "mx": pd.Series([], dtype="float64"),
+                                 "mn": pd.Series([], dtype="float64")})
         return pd.concat(parts, ignore_index=True)
 
-    part = x.groupBy("_cell").applyInPandas(agg, "id long, lab long, olab long, s double, c long")
-    out = part.groupBy("id", "lab", "olab").agg(F.sum("s").alias("sum_dist"), F.sum("c").alias("n_other"))
+    part = x.groupBy("_cell").applyInPandas(
+        agg, "id long, lab long, olab long, s double, c long, mx double, mn double")
+    out = part.groupBy("id", "lab", "olab").agg(F.sum("s").alias("sum_dist"), F.sum("c").alias("n_other"),
+                                                F.max("mx").alias("max_dist"), F.min("mn").alias("min_nz_dist"))
+    inf = float("inf")
     return out.select(F.col("id").alias(id_col), F.col("lab").alias("label"),
-                      F.col("olab").alias("other_label"), "sum_dist", "n_other")
+                      F.col("olab").alias("other_label"), "sum_dist", "n_other",
+                      F.when(F.col("max_dist") == -inf, F.lit(None).cast("double")).otherwise(F.col("max_dist"))
+                      .alias("max_dist"),
+                      F.when(F.col("min_nz_dist") == inf, F.lit(None).cast("double")).otherwise(F.col("min_nz_dist"))
+                      .alias("min_nz_dist"))
+
+
+def label_pairs_from_rows(rows: DataFrame) -> DataFrame:
+    """``label_pair_stats`` rolled up from ``row_label_sums`` (no second pair pass)."""
+    g = rows.where(F.col("n_other") > 0).groupBy(F.col("label").alias("label_i"), F.col("other_label").alias("label_j"))
+    return g.agg(F.sum("sum_dist").alias("sum_dist"), F.sum("n_other").alias("n_pairs"),
+                 F.max("max_dist").alias("max_dist"), F.min("min_nz_dist").alias("min_nz_dist"))
 
 
 def radius_pairs(df: DataFrame, radius_col: str, rank_col: str, id_col: str = "vec_id",

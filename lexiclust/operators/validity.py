@@ -112,7 +112,7 @@ class ClusterValidity:
     # -- pair and kNN passes
     @cached_property
     def lps(self):
-        return cut_lineage(pr.label_pair_stats(self.df, block_rows=self.block_rows))
+        return cut_lineage(pr.label_pairs_from_rows(self.rls))
 
     @cached_property
     def rls(self):

@@ -174,3 +174,14 @@ def test_approx_knn_recall(spark, pts):
     a = set(zip(approx.vec_id, approx.nbr_id))
     assert len(a & e) / len(e) > 0.8
     assert (approx.groupby("vec_id")["rank"].max() <= k).all()
+
+
+def test_label_pairs_from_rows_equal_direct(spark, pts):
+    labels = np.repeat([0, 1, 2], 26)[: len(pts)]
+    f = frame(spark, pts, labels)
+    a = pr.label_pair_stats(f, block_rows=10).toPandas().sort_values(["label_i", "label_j"]).reset_index(drop=True)
+    b = pr.label_pairs_from_rows(pr.row_label_sums(f, block_rows=12)).toPandas() \
+        .sort_values(["label_i", "label_j"]).reset_index(drop=True)
+    assert (a.n_pairs.to_numpy() == b.n_pairs.to_numpy()).all()
+    for c in ("sum_dist", "max_dist", "min_nz_dist"):
+        assert np.allclose(a[c].to_numpy(), b[c].to_numpy(), rtol=1e-12, atol=0)
