@@ -81,6 +81,86 @@ def distances(x: np.ndarray, y: np.ndarray, chunk_cells: int = 1 << 23, metric:
 def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """``(id, rank, nbr_id, dist)``: the k nearest other rows (self excluded
+    by id), ranked by ``(dist, nbr_id)``; rank starts at 1.
+
+    Streaming scan per query block: every row is sent once as a query to its
+    own block and once as a reference to every block; inside a partition the
+    rows arrive sorted by (block, role), so a task holds one query block and
+    its running top-k while the references stream through in Arrow batches.
+    Exactly k rows per point leave the task - no candidate shuffle, no
+    per-row window."""
+    n = df.count()
+    b = _n_blocks(df, n, block_rows)
+    base = df.select(F.col(id_col).alias("_id"), F.transform(vec_col, lambda v: v.cast("double")).alias("_v"),
+                     F.pmod(F.xxhash64(id_col), F.lit(b)).alias("_blk"))
+    queries = base.select("_id", "_v", F.col("_blk").alias("_a"), F.lit(0).alias("_role"))
+    refs = base.select("_id", "_v", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_a"), F.lit(1).alias("_role"))
+    x = queries.unionByName(refs).repartition(b, "_a").sortWithinPartitions("_a", "_role")
+
+    def scan(batches):
+        state = {"a": None, "q": [], "ids": None, "bd": None, "bi": None}
+
+        def flush():
+            if state["ids"] is None:
+                return None
+            ids, bd, bi = state["ids"], state["bd"], state["bi"]
+            kk = bd.shape[1]
+            keep = np.isfinite(bd)
+            out = pd.DataFrame({"id": np.repeat(ids, kk)[keep.ravel()],
+                                "rank": np.tile(np.arange(1, kk + 1), len(ids))[keep.ravel()],
+                                "nbr_id": bi.ravel()[keep.ravel()], "dist": bd.ravel()[keep.ravel()]})
+            return out
+
+        def start_refs():
+            q = pd.concat(state["q"], ignore_index=True)
+            state["ids"] = q["_id"].to_numpy()
+            state["qm"] = _matrix(q)
+            state["bd"] = np.full((len(q), k), np.inf)
+            state["bi"] = np.full((len(q), k), np.iinfo(np.int64).max, dtype=np.int64)
+            state["q"] = []
+
+        for pdf in batches:
+            for a, g in pdf.groupby("_a", sort=False):
+                if a != state["a"]:
+                    done = flush()
+                    if done is not None and len(done):
+                        yield done
+                    state.update({"a": a, "q": [], "ids": None, "bd": None, "bi": None})
+                qs, rs = g[g["_role"] == 0], g[g["_role"] == 1]
+                if len(qs):
+                    state["q"].append(qs)
+                if len(rs) == 0:
+                    continue
+                if state["ids"] is None:
+                    if not state["q"]:
+                        continue  # no query row in this block
+                    start_refs()
+                rid = rs["_id"].to_numpy()
+                dm = distances(state["qm"], _matrix(rs))
+                dm[state["ids"][:, None] == rid[None, :]] = np.inf
+                bd, bi = state["bd"], state["bi"]
+                # only entries <= min(k-th of this batch, current k-th best) can enter the
+                # top-k; ties at the threshold are kept and ordered by id below
+                kth = np.partition(dm, k - 1, axis=1)[:, k - 1] if dm.shape[1] > k else dm.max(axis=1)
+                thr = np.minimum(kth, bd[:, -1])
+                mask = np.isfinite(dm) & (dm <= thr[:, None])
+                for i in np.nonzero(mask.any(axis=1))[0]:
+                    cols = np.nonzero(mask[i])[0]
+                    cdist = np.concatenate([bd[i], dm[i, cols]])
+                    cid = np.concatenate([bi[i], rid[cols]])
+                    o = np.lexsort((cid, cdist))[:k]
+                    bd[i], bi[i] = cdist[o], cid[o]
+        done = flush()
+        if done is not None and len(done):
+            yield done
+
+    out = x.mapInPandas(scan, "id long, rank long, nbr_id long, dist double")
+    return out.select(F.col("id").alias(id_col), "rank", "nbr_id", "dist")
+
+
+def knn_cells(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
+              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(id, rank, nbr_id, dist)``: the k nearest other rows (self excluded
     by id), ranked by ``(dist, nbr_id)``; rank starts at 1."""
     x, b = _cells(df, id_col, vec_col, [], block_rows)
 
