@@ -90,7 +90,9 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
     Exactly k rows per point leave the task - no candidate shuffle, no
     per-row window."""
     n = df.count()
-    b = _n_blocks(df, n, block_rows)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    # query blocks bound a task's memory; at least 2 per core keeps every core busy
+    b = max(1, min(n, max(math.ceil(n / block_rows), 2 * par)))
     base = df.select(F.col(id_col).alias("_id"), F.transform(vec_col, lambda v: v.cast("double")).alias("_v"),
                      F.pmod(F.xxhash64(id_col), F.lit(b)).alias("_blk"))
     queries = base.select("_id", "_v", F.col("_blk").alias("_a"), F.lit(0).alias("_role"))
