@@ -78,48 +78,36 @@ def distances(x: np.ndarray, y: np.ndarray, chunk_cells: int = 1 << 23, metric:
 # --------------------------------------------------------------------------
 # exact kNN
 
-def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``(id, rank, nbr_id, dist)``: the k nearest other rows (self excluded
-    by id), ranked by ``(dist, nbr_id)``; rank starts at 1.
-
-    Streaming scan per query block: every row is sent once as a query to its
-    own block and once as a reference to every block; inside a partition the
-    rows arrive sorted by (block, role), so a task holds one query block and
-    its running top-k while the references stream through in Arrow batches.
-    Exactly k rows per point leave the task - no candidate shuffle, no
-    per-row window."""
-    n = df.count()
-    par = df.sparkSession.sparkContext.defaultParallelism
+def stream_topk(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean",
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(qid, rank, id, dist)``: for every query row ``(_id, _v, _ex)`` the k
+    reference rows ``(_id, _v)`` of smallest distance, ids in ``_ex``
+    excluded, ties by id.
+
+    Streaming scan per query block: queries go to their own block, every
+    reference row goes to every block; inside a partition rows arrive sorted
+    by (block, role), so a task holds one query block and its running top-k
+    while the references stream through in Arrow batches.  Exactly k rows per
+    query leave the task - no candidate shuffle, no per-row window."""
+    n = queries.count()
+    par = queries.sparkSession.sparkContext.defaultParallelism
     # query blocks bound a task's memory; at least 2 per core keeps every core busy
     b = max(1, min(n, max(math.ceil(n / block_rows), 2 * par)))
-    base = df.select(F.col(id_col).alias("_id"), F.transform(vec_col, lambda v: v.cast("double")).alias("_v"),
-                     F.pmod(F.xxhash64(id_col), F.lit(b)).alias("_blk"))
-    queries = base.select("_id", "_v", F.col("_blk").alias("_a"), F.lit(0).alias("_role"))
-    refs = base.select("_id", "_v", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_a"), F.lit(1).alias("_role"))
-    x = queries.unionByName(refs).repartition(b, "_a").sortWithinPartitions("_a", "_role")
+    q = queries.select("_id", "_v", "_ex", F.pmod(F.xxhash64("_id"), F.lit(b)).alias("_a"), F.lit(0).alias("_role"))
+    r = refs.select("_id", "_v", F.lit(None).cast("array<long>").alias("_ex"),
+                    F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_a"), F.lit(1).alias("_role"))
+    x = q.unionByName(r).repartition(b, "_a").sortWithinPartitions("_a", "_role")
 
     def scan(batches):
-        state = {"a": None, "q": [], "ids": None, "bd": None, "bi": None}
+        state = {"a": None, "q": [], "ids": None}
 
         def flush():
             if state["ids"] is None:
                 return None
             ids, bd, bi = state["ids"], state["bd"], state["bi"]
-            kk = bd.shape[1]
-            keep = np.isfinite(bd)
-            out = pd.DataFrame({"id": np.repeat(ids, kk)[keep.ravel()],
-                                "rank": np.tile(np.arange(1, kk + 1), len(ids))[keep.ravel()],
-                                "nbr_id": bi.ravel()[keep.ravel()], "dist": bd.ravel()[keep.ravel()]})
-            return out
-
-        def start_refs():
-            q = pd.concat(state["q"], ignore_index=True)
-            state["ids"] = q["_id"].to_numpy()
-            state["qm"] = _matrix(q)
-            state["bd"] = np.full((len(q), k), np.inf)
-            state["bi"] = np.full((len(q), k), np.iinfo(np.int64).max, dtype=np.int64)
-            state["q"] = []
+            keep = np.isfinite(bd).ravel()
+            return pd.DataFrame({"qid": np.repeat(ids, k)[keep], "rank": np.tile(np.arange(1, k + 1), len(ids))[keep],
+                                 "id": bi.ravel()[keep], "dist": bd.ravel()[keep]})
 
         for pdf in batches:
             for a, g in pdf.groupby("_a", sort=False):
@@ -127,7 +115,7 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
                     done = flush()
                     if done is not None and len(done):
                         yield done
-                    state.update({"a": a, "q": [], "ids": None, "bd": None, "bi": None})
+                    state.update({"a": a, "q": [], "ids": None})
                 qs, rs = g[g["_role"] == 0], g[g["_role"] == 1]
                 if len(qs):
                     state["q"].append(qs)
@@ -136,10 +124,16 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
                 if state["ids"] is None:
                     if not state["q"]:
                         continue  # no query row in this block
-                    start_refs()
+                    qq = pd.concat(state["q"], ignore_index=True)
+                    state.update({"ids": qq["_id"].to_numpy(), "qm": _matrix(qq),
+                                  "ex": [np.asarray(e, dtype=np.int64) if e is not None else None for e in qq["_ex"]],
+                                  "bd": np.full((len(qq), k), np.inf),
+                                  "bi": np.full((len(qq), k), np.iinfo(np.int64).max, dtype=np.int64), "q": []})
                 rid = rs["_id"].to_numpy()
-                dm = distances(state["qm"], _matrix(rs))
-                dm[state["ids"][:, None] == rid[None, :]] = np.inf
+                dm = distances(state["qm"], _matrix(rs), metric=metric)
+                for i, e in enumerate(state["ex"]):
+                    if e is not None and len(e):
+                        dm[i, np.isin(rid, e)] = np.inf
                 bd, bi = state["bd"], state["bi"]
                 # only entries <= min(k-th of this batch, current k-th best) can enter the
                 # top-k; ties at the threshold are kept and ordered by id below
@@ -156,8 +150,16 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
         if done is not None and len(done):
             yield done
 
-    out = x.mapInPandas(scan, "id long, rank long, nbr_id long, dist double")
-    return out.select(F.col("id").alias(id_col), "rank", "nbr_id", "dist")
+    return x.mapInPandas(scan, "qid long, rank long, id long, dist double")
+
+
+def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
+        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(id, rank, nbr_id, dist)``: the k nearest other rows (self excluded
+    by id), ranked by ``(dist, nbr_id)``; rank starts at 1 (``stream_topk``)."""
+    base = df.select(F.col(id_col).alias("_id"), F.transform(vec_col, lambda v: v.cast("double")).alias("_v"))
+    out = stream_topk(base.withColumn("_ex", F.array(F.col("_id"))), base, k, "euclidean", block_rows)
+    return out.select(F.col("qid").alias(id_col), "rank", F.col("id").alias("nbr_id"), "dist")
 
 
 def knn_cells(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -379,38 +381,11 @@ def cross_topk(queries: DataFrame, vectors: DataFrame, k: int, qid_col: str = "q
                qvec_col: str = "qvec", exclude_col: str | None = "exclude", id_col: str = "vec_id",
                vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """``(qid, rank, id, sim)``: the k vectors most cosine-similar to each
-    query vector, ids listed in ``exclude`` skipped; ties by id.  Query blocks
-    x vector blocks are the cells; each cell returns k candidates per query."""
-    nq, nv = queries.count(), vectors.count()
-    par = queries.sparkSession.sparkContext.defaultParallelism
-    bq = max(1, math.ceil(nq / block_rows))
-    bv = max(1, min(nv, max(math.ceil(nv / block_rows), math.ceil(2 * par / bq))))
-    ex = F.col(exclude_col) if exclude_col else F.array().cast("array<long>")
-    q = queries.select(F.col(qid_col).alias("_q"), F.transform(qvec_col, lambda v: v.cast("double")).alias("_v"),
-                       ex.alias("_ex"), F.pmod(F.xxhash64(qid_col), F.lit(bq)).alias("_qb"))
-    q = q.withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(bv - 1)))).withColumn("_side", F.lit(0))
-    v = vectors.select(F.col(id_col).alias("_q"), F.transform(vec_col, lambda x: x.cast("double")).alias("_v"),
-                       F.array().cast("array<long>").alias("_ex"), F.pmod(F.xxhash64(id_col), F.lit(bv)).alias("_vb"))
-    v = v.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))).withColumn("_side", F.lit(1))
-    cells = q.unionByName(v).withColumn("_cell", F.col("_qb") * bv + F.col("_vb"))
-
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, vs = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        if len(qs) == 0 or len(vs) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                                 "sim": pd.Series([], dtype="float64")})
-        sim = 1.0 - distances(_matrix(qs), _matrix(vs), metric="cosine")
-        vid = vs["_q"].to_numpy()
-        for r, exl in enumerate(qs["_ex"]):
-            if exl is not None and len(exl):
-                sim[r, np.isin(vid, np.asarray(exl, dtype=np.int64))] = -np.inf
-        kk = min(k, sim.shape[1])
-        order = np.lexsort((np.broadcast_to(vid, sim.shape), -sim), axis=1)[:, :kk]
-        s = np.take_along_axis(sim, order, axis=1).ravel()
-        out = pd.DataFrame({"qid": np.repeat(qs["_q"].to_numpy(), kk), "id": vid[order].ravel(), "sim": s})
-        return out[np.isfinite(out["sim"])]
-
-    cand = cells.groupBy("_cell").applyInPandas(top, "qid long, id long, sim double")
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-               .select(F.col("qid").alias(qid_col), F.col("rank").cast("long"), F.col("id").alias(id_col), "sim")
+    query vector, ids listed in ``exclude`` skipped; ties by id
+    (``stream_topk`` with cosine distance)."""
+    ex = F.col(exclude_col) if exclude_col else F.lit(None).cast("array<long>")
+    q = queries.select(F.col(qid_col).alias("_id"), F.transform(qvec_col, lambda v: v.cast("double")).alias("_v"),
+                       ex.cast("array<long>").alias("_ex"))
+    r = vectors.select(F.col(id_col).alias("_id"), F.transform(vec_col, lambda v: v.cast("double")).alias("_v"))
+    out = stream_topk(q, r, k, "cosine", block_rows)
+    return out.select(F.col("qid").alias(qid_col), "rank", F.col("id").alias(id_col), (1.0 - F.col("dist")).alias("sim"))
