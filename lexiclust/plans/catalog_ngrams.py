@@ -53,7 +53,9 @@ j AS (SELECT w.window_id, lower(t0) || ' ' || lower(t1) || ' ' || lower(t2) AS n
 SELECT CAST(window_id AS BIGINT) AS ngram_id, ngram, v0, v1, v2 FROM j ORDER BY window_id LIMIT 10000
 """)
 def _ngrams_known_words(spark, d):
-    s = co.token_stream(load(spark, d, "documents"), tokenizer="filters")
+    from ..functions.text import normalize_filters
+    # only the first 4 * 10000 windows are scanned: tokenise just that prefix
+    s = ng.prefix_stream(load(spark, d, "documents"), normalize_filters, 4 * 10000 + 3 - 1)
     r = ng.ngrams_known_words(s, keyed_vectors(spark, d), 3, 10000)
     return r.select("ngram_id", "ngram", F.col("ids")[0].alias("v0"), F.col("ids")[1].alias("v1"),
                     F.col("ids")[2].alias("v2"))

@@ -145,7 +145,9 @@ FROM ({FILTER_TOKENS_SQL})
 SELECT CAST(pos AS BIGINT) AS pos, doc_id, tok_no, token FROM ({STREAM_SQL}) WHERE pos >= 1000 AND pos < 2000
 """)
 def _slice_rows(spark, d):
-    return co.slice_rows(co.token_stream(docs(spark, d), tokenizer="filters"), 1000, 2000)
+    from ..operators.ngrams import prefix_stream
+    # positions [1000, 2000): only documents starting before 2000 are tokenised
+    return co.slice_rows(prefix_stream(docs(spark, d), tx.normalize_filters, 2000), 1000, 2000)
 
 
 @register("slice_dims", """
