@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import load, scratch_path
+from . import html_text, line_chunks, packing, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,26 +30,33 @@ def tokenizer_path() -> str:
 
 @register("op1_packing")
 def _packing(spark, d):
-    from . import packing
     return packing.pack(load(spark, d, "documents"), tokenizer_path(), keep_ids=False)
 
 
 @register("op2_sharding")
 def _sharding(spark, d):
-    from . import sharding
     return sharding.shard(load(spark, d, "documents"))
 
 
 @register("op3_html_extraction")
 def _html_extraction(spark, d):
-    from . import html_text
     return html_text.extract(load(spark, d, "pages"))
 
 
 @register("op4_warc")
 def _warc(spark, d):
-    from ..session import scratch_path
-    from . import warc
     path = scratch_path(spark, "archives")
     warc.write_archives(load(spark, d, "pages"), path)
     return warc.page_digests(spark, path)
+
+
+@register("op6_simhash")
+def _simhash(spark, d):
+    return simhash.near_duplicates(load(spark, d, "documents"))
+
+
+@register("op7_line_dedup", line_chunks.SQL)
+def _line_dedup(spark, d):
+    return line_chunks.deduplicate(load(spark, d, "documents")).select(
+        "doc_id", "text", F.col("_chunk_lines").alias("n_lines"),
+        F.col("_chunk_removed_lines").alias("n_removed_lines"), F.col("_chunk_removed").alias("n_removed_chunks"))
