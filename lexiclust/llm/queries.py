@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, scratch_path
-from . import html_text, line_chunks, packing, sharding, simhash, warc
+from . import decontaminate, html_text, line_chunks, packing, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,13 @@ def _line_dedup(spark, d):
     return line_chunks.deduplicate(load(spark, d, "documents")).select(
         "doc_id", "text", F.col("_chunk_lines").alias("n_lines"),
         F.col("_chunk_removed_lines").alias("n_removed_lines"), F.col("_chunk_removed").alias("n_removed_chunks"))
+
+
+@register("op10_decontamination")
+def _decontamination(spark, d):
+    return decontaminate.contaminated(load(spark, d, "documents"), load(spark, d, "benchmark")).drop("digest")
+
+
+@register("op5_toxicity")
+def _toxicity(spark, d):
+    return toxicity.scores(load(spark, d, "documents"), load(spark, d, "labels"))
