@@ -16,6 +16,8 @@ ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
+from string import punctuation as PUNCTUATION
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +27,80 @@ from .common import numbered, text_slices, written
 
 END_ID = 1
 CAPACITY = 2048
-#: words whose ids a task keeps; beyond it the memory is emptied
-KEPT_WORDS = 250_000
+#: words, and chunks with their punctuation, that each of a task's two generations keeps
+KEPT = 150_000
+#: words that are encoded in one call
+CALL_WORDS = 20_000
+
+
+class Kept:
+    """A memory of two generations: what was not asked for lately is dropped."""
+
+    def __init__(self, most: int = KEPT):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Keys that are not in ``young``, after what is known was moved there."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        missing = wanted - self.young.keys()
+        found = missing & self.old.keys()
+        self.young.update((k, self.old[k]) for k in found)
+        return missing - found
+
+
+class Coder:
+    """Token ids of blank-separated chunks, packed as unsigned 32-bit integers.
+
+    A tokenizer that drops white space, lower-cases, and encodes runs of letters
+    on their own gives a chunk the ids of its lower-cased letters followed by
+    those of its closing ASCII punctuation.  Words are therefore encoded once,
+    many to a call, and told apart by the tokens that end a word; every other
+    chunk is encoded as it stands.
+    """
+
+    def __init__(self, rules: str, word_end: str = "</w>"):
+        from tokenizers import Tokenizer
+        self.coder = Tokenizer.from_str(rules)
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
+        self.words, self.known = Kept(), Kept()
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), CALL_WORDS):
+            part = new[i:i + CALL_WORDS]
+            ids = self._encode(" ".join(part))
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(part):
+                packed, starts = ids.tobytes(), [0, *stops.tolist()]
+                self.words.young.update(zip(part, (packed[a:b] for a, b in zip(starts, starts[1:]))))
+            else:  # a word of more than one run
+                self.words.young.update((w, self._encode(w).tobytes()) for w in part)
+
+    def chunks(self, wanted: set[str]) -> dict[str, bytes]:
+        """Packed ids of each chunk (and of others seen before)."""
+        split, need = [], set()
+        for c in self.known.missing(wanted):
+            word = c.rstrip(PUNCTUATION)
+            lower = word.lower()
+            # lower-casing the sigma depends on its place
+            if lower.isalpha() and "\u03a3" not in word:
+                tail = c[len(word):]
+                need.add(tail)
+            else:
+                lower, tail = c, ""
+            need.add(lower)
+            split.append((c, lower, tail))
+        new = self.words.missing(need)
+        self._learn([w for w in new if w.isalpha()])
+        code = self.words.young
+        code.update((w, self._encode(w).tobytes()) for w in new if not w.isalpha())
+        self.known.young.update((c, code[word] + code[tail] if tail else code[word]) for c, word, tail in split)
+        return self.known.young
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -44,21 +118,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = "doc_id long, doc_tokens long, start long, length long, ids binary"
 
     def cut(batches):
-        from tokenizers import Tokenizer
-        coder = Tokenizer.from_str(rules)
-        known: dict[str, bytes] = {"": b""}
+        coder = Coder(rules)
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, 2_000_000):
             chunks = [t.replace("\n", " ").split(" ") for _, t in rows]
-            new = list({w for c in chunks for w in c if w not in known})
-            if len(known) + len(new) > KEPT_WORDS:
-                known = {"": b""}
-                new = list({w for c in chunks for w in c if w})
-            for i in range(0, len(new), 20_000):
-                part = new[i:i + 20_000]
-                for w, e in zip(part, coder.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            known = coder.chunks(set().union(*chunks))
             out = ([], [], [], [], [])
             get = known.__getitem__
             for (doc, _), c in zip(rows, chunks):
