@@ -59,13 +59,15 @@ def decide(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
                         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"),
                         html.alias("html")).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
+    rows = rows.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest"))
     sized = rows.where(F.octet_length("html") >= revisit_from)
     shared = (sized.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n"))
               .where("_n > 1").drop("_n"))
-    marks = sized.select("page_id", "digest").distinct().join(shared, "digest").withColumn("_shared", F.lit(True))
-    marks = marks.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first_id", "_shared")
-    joined = rows.join(marks, rows["page_id"].eqNullSafe(marks["_p"]) & (rows["digest"] == marks["_d"]), "left")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    marks = (sized.select("_key", "digest").distinct().join(shared, "digest")
+             .select(F.col("_key").alias("_k"), "first_id", F.lit(True).alias("_shared")))
+    # one key for the join and the numbering: the payloads move once
+    joined = rows.join(marks, F.col("_key") == F.col("_k"), "left")
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("url"))
     first = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == 1)
     return (joined.withColumn("_copy", copy)
             .withColumn("role", F.when(F.col("_shared").isNull() | first, "response").otherwise("revisit"))
@@ -223,7 +225,7 @@ def page_digests(spark: SparkSession, path: str) -> DataFrame:
         F.when(told, F.col("declared_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
         F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("about"))
     page = F.nullif(F.regexp_extract(F.col("metadata")[0]["about"], r"page_id: (-?\d*)", 1), F.lit("")).cast("long")
-    rows = captures(narrow).select(
+    rows = captures(written(narrow, "records")).select(
         "record_id", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("type").alias("record_type"),
         F.col("response.refers_to").alias("_to"))
