@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, scratch_path
-from . import decontaminate, html_text, line_chunks, packing, sharding, simhash, toxicity, warc
+from . import decontaminate, fingerprints, html_text, line_chunks, packing, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,13 @@ def _decontamination(spark, d):
 @register("op5_toxicity")
 def _toxicity(spark, d):
     return toxicity.scores(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
+@register("op9_suffix_dedup")
+def _suffix_dedup(spark, d):
+    return suffix_dedup.deduplicate(load(spark, d, "documents"))
+
+
+@register("op8_fingerprints")
+def _fingerprints(spark, d):
+    return fingerprints.with_edits(load(spark, d, "documents"))
