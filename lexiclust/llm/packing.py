@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import numbered, text_slices, written
 
@@ -29,6 +30,8 @@ END_ID = 1
 CAPACITY = 2048
 #: words, and chunks with their punctuation, that each of a task's two generations keeps
 KEPT = 150_000
+#: bytes up to which chunks are told apart by the rolling sum of their bytes
+SHORT_CHUNK = 64
 #: words that are encoded in one call
 CALL_WORDS = 20_000
 
@@ -39,68 +42,144 @@ class Kept:
     def __init__(self, most: int = KEPT):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, wanted: set[str]) -> set[str]:
-        """Keys that are not in ``young``, after what is known was moved there."""
+    def age(self) -> None:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        missing = wanted - self.young.keys()
-        found = missing & self.old.keys()
-        self.young.update((k, self.old[k]) for k in found)
-        return missing - found
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.young[key] = value
+        return value
+
+
+class Chunks:
+    """The blank-separated chunks of texts, each distinct one once."""
+
+    _rng = np.random.default_rng(11)
+    _values = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+    _base = np.uint64(0x9E3779B97F4A7C15)
+    _inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self):
+        self._up = self._down = np.zeros(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self._up) < n:
+            both = []
+            for factor in (self._base, self._inverse):
+                steps = np.full(n, factor, np.uint64)
+                steps[0] = 1
+                both.append(np.cumprod(steps, dtype=np.uint64))
+            self._up, self._down = both
+
+    def split(self, texts: list[str]):
+        """Distinct chunks (keys, bytes), and of all chunks in order the number
+        of their distinct one and of their text."""
+        data = "\n".join(texts).encode("utf-8")
+        sizes = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts), np.int64, len(texts))
+        text_ends = np.cumsum(sizes + 1)
+        buf = np.frombuffer(data, np.uint8)
+        solid = np.zeros(len(buf) + 2, np.int8)
+        solid[1:-1] = (buf != 32) & (buf != 10)
+        steps = np.diff(solid)
+        starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+        if not len(starts):
+            return [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._powers(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self._values[buf] * self._up[:len(buf)], out=sums[1:])
+        lengths = ends - starts
+        key = (sums[ends] - sums[starts]) * self._down[starts] + lengths.astype(np.uint64)
+        for i in np.flatnonzero(lengths > SHORT_CHUNK).tolist():
+            key[i] = xxh64_intdigest(data[starts[i]:ends[i]])
+        keys, first, number = np.unique(key, return_index=True, return_inverse=True)
+        cut = zip(starts[first].tolist(), ends[first].tolist())
+        return keys.tolist(), [data[a:b] for a, b in cut], number, np.searchsorted(text_ends, starts, side="right")
 
 
 class Coder:
-    """Token ids of blank-separated chunks, packed as unsigned 32-bit integers.
+    """Token ids of texts, packed as unsigned 32-bit integers.
 
     A tokenizer that drops white space, lower-cases, and encodes runs of letters
-    on their own gives a chunk the ids of its lower-cased letters followed by
-    those of its closing ASCII punctuation.  Words are therefore encoded once,
-    many to a call, and told apart by the tokens that end a word; every other
-    chunk is encoded as it stands.
+    on their own gives a blank-separated chunk the ids of its lower-cased
+    letters followed by those of its closing ASCII punctuation.  Words are
+    therefore encoded once, many to a call, and told apart by the tokens that
+    end a word; every other chunk is encoded as it stands.
     """
 
     def __init__(self, rules: str, word_end: str = "</w>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.coder = Tokenizer.from_str(rules)
+        # for lower-cased runs of letters: only composition and the split at blanks are left to do
+        self.word_coder = Tokenizer.from_str(rules)
+        self.word_coder.normalizer = normalizers.NFC()
+        self.word_coder.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
-        self.words, self.known = Kept(), Kept()
+        self.words, self.known, self.splitter = Kept(), Kept(), Chunks()
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), CALL_WORDS):
             part = new[i:i + CALL_WORDS]
-            ids = self._encode(" ".join(part))
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            ids = np.array(self.word_coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stops) == len(part):
-                packed, starts = ids.tobytes(), [0, *stops.tolist()]
-                self.words.young.update(zip(part, (packed[a:b] for a, b in zip(starts, starts[1:]))))
-            else:  # a word of more than one run
-                self.words.young.update((w, self._encode(w).tobytes()) for w in part)
-
-    def chunks(self, wanted: set[str]) -> dict[str, bytes]:
-        """Packed ids of each chunk (and of others seen before)."""
+                packed = ids.tobytes()
+                self.words.young.update(zip(part, (packed[a:b] for a, b in zip([0, *stops], stops))))
+            else:  # letters that the tokenizer does not take for one run
+                self.words.young.update((w, self._encode(w)) for w in part)
+
+    def _chunks(self, keys: list[int], chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct chunks."""
+        known, words = self.known, self.words
+        known.age()
+        words.age()
+        out = list(map(known.get, keys))
+        new = [i for i, ids in enumerate(out) if ids is None]
         split, need = [], set()
-        for c in self.known.missing(wanted):
+        for i in new:
+            c = chunks[i].decode("utf-8")
             word = c.rstrip(PUNCTUATION)
             lower = word.lower()
             # lower-casing the sigma depends on its place
-            if lower.isalpha() and "\u03a3" not in word:
+            if lower.isalpha() and (c.isascii() or "\u03a3" not in c):
                 tail = c[len(word):]
-                need.add(tail)
+                if tail and words.get(tail) is None:
+                    need.add(tail)
             else:
                 lower, tail = c, ""
-            need.add(lower)
-            split.append((c, lower, tail))
-        new = self.words.missing(need)
-        self._learn([w for w in new if w.isalpha()])
-        code = self.words.young
-        code.update((w, self._encode(w).tobytes()) for w in new if not w.isalpha())
-        self.known.young.update((c, code[word] + code[tail] if tail else code[word]) for c, word, tail in split)
-        return self.known.young
+            if words.get(lower) is None:
+                need.add(lower)
+            split.append((lower, tail))
+        # what changes when lower-cased once more, or holds other signs, is encoded as it stands
+        runs = [w for w in need if w.isalpha() and w.lower() == w]
+        self._learn(runs)
+        code = words.young
+        code.update((w, self._encode(w)) for w in need.difference(runs))
+        for i, (word, tail) in zip(new, split):
+            out[i] = known.young[keys[i]] = code[word] + code[tail] if tail else code[word]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        keys, chunks, number, text = self.splitter.split(texts)
+        coded = self._chunks(keys, chunks)
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        size = sizes[number]
+        ends = np.cumsum(size)
+        start = (np.cumsum(sizes) - sizes)[number] - (ends - size)
+        ids = flat[np.arange(int(size.sum())) + np.repeat(start, size)].tobytes()
+        cuts = np.append(0, ends)[np.searchsorted(text, np.arange(len(texts) + 1))] * 4
+        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -121,13 +200,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         coder = Coder(rules)
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
-        for rows in text_slices(batches, 2_000_000):
-            chunks = [t.replace("\n", " ").split(" ") for _, t in rows]
-            known = coder.chunks(set().union(*chunks))
+        for rows in text_slices(batches, 1_000_000):
             out = ([], [], [], [], [])
-            get = known.__getitem__
-            for (doc, _), c in zip(rows, chunks):
-                ids = b"".join(map(get, c)) + end
+            for (doc, _), ids in zip(rows, coder.encode([t for _, t in rows])):
+                ids += end
                 for at in range(0, len(ids), width):
                     piece = ids[at:at + width]
                     for column, x in zip(out, (doc, len(ids) // 4, at // 4, len(piece) // 4, piece)):
