@@ -16,6 +16,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts
     the lineage, and a lost executor costs no recomputation."""
@@ -33,16 +45,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], out: str,
     group that holds most of the table is never gathered into one task.
     Rows that tie on ``order`` are numbered in any order.
     """
+    bucket, row, size, lift = unused(df, "_bucket", "_row", "_size", "_lift")
     buckets = max(1, -(-df.count() // rows_per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    within = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    local = dealt.withColumn("_row", F.row_number().over(within) - 1)
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    lifts = (dealt.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-             .withColumn("_lift", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size"))
-    on = [local[c].eqNullSafe(lifts[c]) for c in [*groups, "_bucket"]]
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    within = Window.partitionBy(*groups, bucket).orderBy(*order)
+    local = dealt.withColumn(row, F.row_number().over(within) - 1)
+    before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    lifts = (dealt.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias(size))
+             .withColumn(lift, F.coalesce(F.sum(size).over(before), F.lit(0))).drop(size))
+    on = [local[c].eqNullSafe(lifts[c]) for c in [*groups, bucket]]
     joined = local.join(lifts, on)
-    return joined.select(*[local[c] for c in df.columns], (F.col("_row") + F.col("_lift")).cast("long").alias(out))
+    return joined.select(*[local[c] for c in df.columns], (F.col(row) + F.col(lift)).cast("long").alias(out))
 
 
 def text_slices(batches, size: int = 4_000_000):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import text_slices, unused, written
 
 GRAM = 3
 #: least share of an item's own score that counts as a copy
@@ -252,7 +252,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, gram: int = GRAM, threshold:
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs`` without a copy of a test item."""
+    bad_id, bad_digest = unused(docs, "_bad_id", "_bad_digest")
     bad = written(contaminated(docs, bench, id_col=id_col, text_col=text_col, **parameters)
-                  .select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct(), "leaks")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.unhex(F.md5(F.col(text_col))) == F.col("_bad_digest"))
+                  .select(F.col("doc_id").alias(bad_id), F.col("digest").alias(bad_digest)).distinct(), "leaks")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(bad_id)) & (F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))) == F.col(bad_digest))
     return docs.join(bad, same, "left_anti")

@@ -10,7 +10,7 @@ Defined results: null text stays null and empty text stays empty, both without
 removed lines; rows that repeat id and text share one fate; a null id comes
 before all others; a document whose chunks are all removed is kept with empty
 text; an empty table gives no rows; other columns pass through ``deduplicate``
-unchanged, whatever their names (names starting with ``_chunk`` are reserved).
+unchanged, whatever their names (columns named like the three counts are replaced).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, unused, written
 
 #: a chunk has about so many lines
 DIVISOR = 3
@@ -84,28 +84,28 @@ def deduplicate(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
                 text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and the columns
     ``_chunk_lines, _chunk_removed_lines, _chunk_removed`` (counts)."""
-    gone = (repeated(docs, divisor, min_lines, id_col, text_col)
-            .groupBy("_chunk_doc", "_chunk_digest").agg(F.collect_set("_chunk_no").alias("_chunk_gone")))
+    doc, digest, own, gone, result = unused(docs, "_chunk_doc", "_chunk_digest", "_chunk_own", "_chunk_gone", "_chunk_result")
+    cut = (repeated(docs, divisor, min_lines, id_col, text_col)
+           .groupBy(F.col("_chunk_doc").alias(doc), F.col("_chunk_digest").alias(digest))
+           .agg(F.collect_set("_chunk_no").alias(gone)))
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_chunk_key", F.unhex(F.md5(text)))
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_chunk_doc"))
-                        & (F.col("_chunk_key") == F.col("_chunk_digest")), "left")
+    keyed = docs.withColumn(own, F.unhex(F.md5(text)))
+    joined = keyed.join(cut, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(digest)), "left")
 
     def outcome(parts):
-        kept = F.filter(parts, lambda c: ~F.array_contains(F.col("_chunk_gone"), c["no"]))
-        removed = F.filter(parts, lambda c: F.array_contains(F.col("_chunk_gone"), c["no"]))
+        kept = F.filter(parts, lambda c: ~F.array_contains(F.col(gone), c["no"]))
+        removed = F.filter(parts, lambda c: F.array_contains(F.col(gone), c["no"]))
         return F.struct(
             F.array_join(F.transform(kept, lambda c: c["text"]), "\n").alias("text"),
             F.aggregate(removed, F.lit(0).cast("long"), lambda n, c: n + c["n_lines"]).alias("lines"))
 
-    result = F.when(F.col("_chunk_gone").isNotNull(), let(chunks(text, divisor), outcome))
     lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    return (joined.withColumn("_chunk_result", result)
+    return (joined.withColumn(result, F.when(F.col(gone).isNotNull(), let(chunks(text, divisor), outcome)))
             .withColumn("_chunk_lines", lines.cast("long"))
-            .withColumn("_chunk_removed_lines", F.coalesce(F.col("_chunk_result.lines"), F.lit(0)).cast("long"))
-            .withColumn("_chunk_removed", F.coalesce(F.size("_chunk_gone"), F.lit(0)).cast("long"))
-            .withColumn(text_col, F.when(F.col("_chunk_result").isNull(), text).otherwise(F.col("_chunk_result.text")))
-            .drop("_chunk_key", "_chunk_doc", "_chunk_digest", "_chunk_gone", "_chunk_result"))
+            .withColumn("_chunk_removed_lines", F.coalesce(F.col(result)["lines"], F.lit(0)).cast("long"))
+            .withColumn("_chunk_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+            .withColumn(text_col, F.when(F.col(result).isNull(), text).otherwise(F.col(result)["text"]))
+            .drop(own, doc, digest, gone, result))
 
 
 SQL = f"""

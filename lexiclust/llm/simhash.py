@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import text_slices, unused, written
 from .components import components
 
 SHINGLE = 3
@@ -197,9 +197,10 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     smallest id (null ids last, equal ids by the text's MD5), once."""
     prints = written(fingerprints(docs, shingle, id_col, text_col), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
+    own, keep_id, keep_digest = unused(docs, "_own_digest", "_keep_id", "_keep_digest")
     keep = rooted(prints, max_bits).groupBy("root").agg(first.alias("k")).select(
-        F.col("k.doc_id").alias("_keep_id"), F.col("k.digest").alias("_keep_digest"))
-    rows = docs.withColumn("_keep_of", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    kept = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))
-                     & (F.col("_keep_of") == F.col("_keep_digest")), "left_semi")
-    return kept.dropDuplicates([id_col, "_keep_of"]).drop("_keep_of")
+        F.col("k.doc_id").alias(keep_id), F.col("k.digest").alias(keep_digest))
+    rows = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    kept = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(keep_id))
+                     & (F.col(own) == F.col(keep_digest)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)

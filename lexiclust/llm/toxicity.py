@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import text_slices, unused, written
 
 FOLDS = 5
 ORDER = 4
@@ -411,8 +411,9 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs`` that score under one half."""
     model = train(docs, labels, id_col, text_col, label_col)
+    bad_id, bad_digest = unused(docs, "_bad_id", "_bad_digest")
     bad = written(score(docs, model, id_col, text_col).where("score >= 0.5").select(
-        F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct(), "toxic")
+        F.col("doc_id").alias(bad_id), F.col("digest").alias(bad_digest)).distinct(), "toxic")
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (digest == F.col("_bad_digest"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(bad_id)) & (digest == F.col(bad_digest))
     return docs.join(bad, same, "left_anti")
