@@ -71,7 +71,7 @@ def repeated(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES
         c["no"].alias("no"), F.unhex(F.md5(c["text"])).alias("hash"), c["text"].alias("text")))).alias("c"))
     found = written(texts.where("c IS NOT NULL").select(
         F.struct("at.doc", "at.digest", "c.no").alias("place"), "c.hash", "c.text")
-        .join(again, "hash", "left_semi"), "chunks")
+        .join(again.hint("merge"), "hash", "left_semi"), "chunks")  # one plan at every size: hashes are not bounded
     # the byte comparison: equal means equal text, not only equal hash
     first = found.groupBy("hash", "text").agg(F.min("place").alias("first"))
     same = found.join(first, ["hash", "text"])
