@@ -106,8 +106,14 @@ def _ones(width: int) -> int:
     return (1 << width) - 1
 
 
+def _mask(bits: int) -> Column:
+    """The low 64 bits of an integer as a signed literal."""
+    bits &= _ones(BITS)
+    return F.lit(bits - (1 << BITS) if bits >> (BITS - 1) else bits).cast("long")
+
+
 def _part(value: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit(_ones(width) if width < BITS else -1).cast("long"))
+    return F.shiftrightunsigned(value, shift).bitwiseAND(_mask(_ones(width)))
 
 
 def _bit(pos: Column) -> Column:
@@ -143,7 +149,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_segment: int = HOT_SEGME
     values = F.array(*[F.struct(F.lit(s).alias("seg"), _part(fp, *cut).alias("value")) for s, cut in enumerate(segments)])
     by_segment = fps.select("fp", F.inline(values))
     wild = [F.struct(F.lit(s).alias("seg"), F.lit(p).alias("pos"),
-                     _part(fp, shift, width).bitwiseAND(F.lit(~(1 << p)).cast("long")).alias("rest"))
+                     _part(fp, shift, width).bitwiseAND(_mask(~(1 << p))).alias("rest"))
             for s, (shift, width) in enumerate(segments) for p in range(width)]
     variants = fps.select("fp", F.inline(F.array(*wild)))
 
@@ -163,7 +169,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_segment: int = HOT_SEGME
     pieces = max_bits + 1
     rest_value = F.lit(None).cast("long")
     for s, (shift, w) in enumerate(segments):
-        outside = fp.bitwiseAND(F.lit(~(_ones(w) << shift) if shift + w < BITS else _ones(shift)).cast("long"))
+        outside = fp.bitwiseAND(_mask(~(_ones(w) << shift)))
         rest_value = F.when(F.col("seg") == s, outside).otherwise(rest_value)
     edges = [BITS * i // pieces for i in range(pieces + 1)]
     split = F.array(*[F.struct(F.lit(i).alias("piece"), _part(F.col("_outside"), a, b - a).alias("same"))
