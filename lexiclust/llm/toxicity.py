@@ -1,12 +1,14 @@
 """Toxicity scoring with a gap-weighted subsequence kernel machine.
 
 Sentences are compared through their words: the sentence kernel is the sum of a
-word kernel over all pairs of words, and the word kernel is the normalised
-gap-weighted subsequence kernel of order ``ORDER`` (Lodhi et al., 2002), raised
-to a power.  Subsequences skip inserted characters, so an insult keeps most of
-its value when letters or signs are put into it.  Landmark words of the labelled
-sample give Nystroem features; a linear support vector machine on them is
-trained on sentences, where a toxic document counts by its most toxic sentence.
+word kernel over all pairs of distinct words, and the word kernel is the gap-weighted
+subsequence kernel of order ``ORDER`` (Lodhi et al., 2002) on the words'
+letters, raised to a power.  Subsequences skip inserted characters, so an insult
+keeps most of its value when letters are put into it.  Landmarks are words and
+parts of words of the labelled sample that tell its classes apart; kernels with
+them, scaled to one for a word that holds the landmark, give Nystroem features.
+A linear support vector machine on these is trained on sentences, where a toxic
+document counts by its most toxic sentence.
 A document's score is the calibrated margin of its most toxic sentence.
 
 By the kernel's additivity a trained model is one number for each distinct word,
@@ -35,7 +37,7 @@ from .common import text_slices, unused, written
 FOLDS = 5
 ORDER = 4
 DECAY = 0.6
-POWER = 3
+POWER = 2
 #: share of a landmark's letters that a word must hold in order; the kernel of other words is taken as 0
 SHARED = 0.6
 #: bounds of the labelled sample: documents of each class, and sentences of a document
@@ -44,19 +46,23 @@ SAMPLE_SENTENCES = 12
 LANDMARKS = 48
 #: landmarks that mark no class
 COMMON_LANDMARKS = 8
+#: lengths of the parts of words that may become landmarks, and how many candidates are compared
+PART_LENGTHS = (4, 5, 6, 8)
+CANDIDATES = 3000
 LONGEST = 24
 SENTENCE = re.compile(r"[.!?]+\s|\n")
 SPELLED = re.compile(r"(?<!\S)\w(?:[ .*_-]\w){2,}(?!\S)")
-STRIP = re.compile(r"^\W+|\W+$")
+NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def normal(text: str) -> str:
     """Lower case, with spelled-out words (``x y z``) joined."""
-    return SPELLED.sub(lambda m: re.sub(r"\W|_", "", m.group()), text.lower())
+    return SPELLED.sub(lambda m: NO_LETTER.sub("", m.group()), text.lower())
 
 
 def bare(word: str) -> str:
-    return word if word.isalpha() else STRIP.sub("", word)
+    """The word's letters."""
+    return word if word.isalpha() else NO_LETTER.sub("", word)
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,35 +124,14 @@ def pieces(word: str) -> list[str]:
 
 
 class WordKernel:
-    """Kernel values of words and fixed landmarks."""
+    """Kernel values of words and fixed landmarks, each landmark scaled to one
+    with itself."""
 
     def __init__(self, marks: list[str], order: int = ORDER, decay: float = DECAY, power: int = POWER):
         self.marks, self.order, self.decay, self.power = marks, order, decay, power
         self.codes = [letters([m])[0][0] for m in marks]
         self.own = [float(subsequence_kernel(c[None, :], c, order, decay)[0]) for c in self.codes]
 
-    def self_kernel(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Kernel of each word with itself, by pairs of its own positions."""
-        n, width = chars.shape
-        total = np.zeros(n, np.float32)
-        above = [np.ones((width + 1, n), np.float32)]
-        above += [np.zeros((width + 1, n), np.float32) for _ in range(self.order - 1)]
-        d, d2 = np.float32(self.decay), np.float32(self.decay ** 2)
-        for i in range(width):
-            same = [(chars[:, i] == chars[:, j]) & (chars[:, i] != 0) for j in range(width)]
-            for k in range(self.order - 1, -1, -1):
-                lower = above[k]
-                if k == self.order - 1:
-                    for j, hit in enumerate(same):
-                        total += np.where(hit, lower[j], 0) * d2
-                    continue
-                run, upper = np.zeros(n, np.float32), above[k + 1]
-                for j, hit in enumerate(same):
-                    run = run * d + np.where(hit, lower[j], 0) * d2
-                    upper[j + 1] *= d
-                    upper[j + 1] += run
-        return total
-
     def values(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each landmark the numbers of the words it touches and their kernels."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -157,11 +142,6 @@ class WordKernel:
             least = max(self.order, int(np.ceil(SHARED * len(code))))
             some = int(np.searchsorted(-sizes, -least, side="right"))  # words that are long enough
             hits.append(np.flatnonzero(common_letters(chars[:some], sizes[:some], code) >= least))
-        touched = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        norm = np.zeros(len(words), np.float32)
-        for a in range(0, len(touched), 4096):
-            part = touched[a:a + 4096]
-            norm[part] = self.self_kernel(chars[part, :int(sizes[part].max(initial=1))], sizes[part])
         out = []
         for code, own, rows in zip(self.codes, self.own, hits):
             value = np.zeros(len(rows), np.float32)
@@ -169,9 +149,7 @@ class WordKernel:
                 part = rows[a:a + 16384]
                 value[a:a + 16384] = subsequence_kernel(chars[part, :int(sizes[part].max(initial=1))], code,
                                                         self.order, self.decay)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                close = np.where(norm[rows] > 0, value / np.sqrt(own * norm[rows]), 0)
-            out.append((order[rows], np.minimum(close, 1.0) ** self.power))
+            out.append((order[rows], np.minimum(value / own, 1.0) ** self.power))
         return out
 
     def dense(self, words: list[str]) -> np.ndarray:
@@ -194,9 +172,9 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def _words_of(texts: list[str]) -> tuple[list[list[list[str]]], list[str]]:
-    """Sentences (lists of chunks) of each text, and all distinct chunks."""
-    split = [[s.split() for s in SENTENCE.split(normal(t))] for t in texts]
+def _words_of(texts: list[str]) -> tuple[list[list[set[str]]], list[str]]:
+    """Sentences (sets of chunks) of each text, and all distinct chunks."""
+    split = [[set(s.split()) for s in SENTENCE.split(normal(t))] for t in texts]
     return split, list(set().union(*(s for text in split for s in text)))
 
 
@@ -230,45 +208,78 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
                         .alias("text")).join(ids, "_id")), sizes
 
 
-def choose_landmarks(sample: DataFrame, n: int = LANDMARKS, common: int = COMMON_LANDMARKS) -> list[str]:
-    """Words whose document frequency differs most between the classes, no two
-    of them nearly equal to the kernel, and a few common words of clean texts."""
-    def words(batches):
+def _parts(text: str, without: tuple[str, ...] = ()) -> set[str]:
+    """Landmark candidates of a text: its words, and parts of its words, of
+    those words that hold none of the strings ``without``."""
+    words = {p for c in set(normal(text).split()) for p in pieces(bare(c)) if len(p) >= ORDER}
+    words = {w for w in words if not any(m in w for m in without)}
+    return words.union(w[i:i + n] for w in words for n in PART_LENGTHS if n < len(w) for i in range(len(w) - n + 1))
+
+
+def choose_landmarks(sample: DataFrame, n: int = LANDMARKS, common: int = COMMON_LANDMARKS) -> tuple[list[str], int]:
+    """Words and parts of words that cover the sample's toxic documents with as
+    few others as possible, chosen greedily, then a few common words; and how many
+    are of the first kind.
+
+    ``CANDIDATES`` strings are compared, those whose document frequencies differ
+    most; of the sample's toxic documents their numbers come to the driver.
+    """
+    def parts(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
+            for a in range(0, batch.num_rows, 50):
+                part = batch.slice(a, 50)
                 ys, ws = [], []
                 for t, y in zip(part.column("text").to_pylist(), part.column("_y").to_pylist()):
-                    own = {p for c in set(normal(t).split()) for p in pieces(bare(c)) if len(p) >= ORDER}
+                    own = _parts(t)
                     ws.extend(own)
                     ys.extend([y] * len(own))
                 yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(ys, pa.int32())], names=["w", "y"])
 
-    counts = (sample.mapInArrow(words, "w string, y int").groupBy("w")
-              .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")))
-    totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # equal texts would count as often as they were copied
+    texts = sample.groupBy(F.col("text")).agg(F.max("_y").alias("_y"))
+    counts = written(texts.mapInArrow(parts, "w string, y int").groupBy("w")
+                     .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).where("toxic + clean > 1"), "parts")
+    totals = {r["_y"]: r["n"] for r in texts.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(totals.get(1, 0), 1), max(totals.get(0, 0), 1)
     odds = F.log((F.col("toxic") + 0.5) / (pos + 1)) - F.log((F.col("clean") + 0.5) / (neg + 1))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    telling = [r["w"] for r in counts.where("toxic >= 2").orderBy((odds / spread).desc(), "w").limit(12 * n).collect()]
-    usual = [r["w"] for r in counts.orderBy(F.desc("clean"), "w").limit(common).collect()]
-    if not telling:
-        return usual
-    close = WordKernel(telling, power=1).dense(telling)
-    marks: list[int] = []
-    for i in range(len(telling)):
-        if len(marks) == n - common:
+    telling = counts.where("toxic >= 2").orderBy((odds / spread).desc(), F.length("w").desc(), "w").limit(CANDIDATES).collect()
+    usual = [r["w"] for r in counts.where(F.length("w") <= LONGEST).orderBy(F.desc("clean"), "w").limit(common).collect()]
+    number = {r["w"]: i for i, r in enumerate(telling)}
+    clean = np.array([r["clean"] * pos / neg for r in telling])
+    size = np.array([len(r["w"]) for r in telling])
+
+    marks: list[str] = []
+    while telling and len(marks) < n - common:
+        def present(batches, chosen=tuple(marks)):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(
+                    [sorted(number[w] for w in _parts(t.as_py(), chosen) if w in number) for t in batch.column("text")],
+                    pa.list_(pa.int32()))], names=["held"])
+
+        held = [r["held"] for r in texts.where("_y = 1").mapInArrow(present, "held array<int>").collect()]
+        has = np.zeros((len(held), len(telling)), bool)
+        for d, numbers in enumerate(held):
+            has[d, numbers] = True
+        # one landmark for each document; the next pass looks at words without these landmarks
+        open_, before = np.ones(len(held), bool), len(marks)
+        while len(marks) < n - common:
+            gain = has[open_].sum(axis=0) - 3.0 * clean
+            if gain.max(initial=0) < max(2, 0.03 * pos):
+                break
+            # of the nearly best the longest: it meets fewer other words
+            best = int(np.lexsort((-gain, -size * (gain >= 0.95 * gain.max())))[0])
+            marks.append(telling[best]["w"])
+            open_ &= ~has[:, best]
+        if len(marks) == before:
             break
-        if not marks or close[i, marks].max() < 0.9:
-            marks.append(i)
-    chosen = [telling[i] for i in marks]
-    return chosen + [w for w in usual if w not in chosen]
+    return marks + [w for w in usual if w not in marks], len(marks)
 
 
-def sentence_vectors(sample: DataFrame, marks: list[str], most: int = SAMPLE_SENTENCES) -> DataFrame:
+def sentence_vectors(sample: DataFrame, marks: list[str], telling: int, most: int = SAMPLE_SENTENCES) -> DataFrame:
     """``_id, _y, v``: kernel sums of the sample's sentences and the landmarks;
-    of a document at most ``most`` sentences, those with the largest sums, and
-    one zero vector if no sentence touches a landmark."""
+    of a document at most ``most`` sentences, those with the largest sums for
+    the first ``telling`` landmarks, and one zero vector if none is touched."""
     def run(batches):
         kernel = WordKernel(marks)
         for batch in batches:
@@ -280,9 +291,9 @@ def sentence_vectors(sample: DataFrame, marks: list[str], most: int = SAMPLE_SEN
                 vector = {c: dense[p].max(axis=0) for c, p in zip(chunks, of_chunk) if p and dense[p].any()}
                 ids, ys, vs = [], [], []
                 for i, y, text in zip(part.column("_id").to_pylist(), part.column("_y").to_pylist(), split):
-                    sums = [np.sum([vector[c] for c in s if c in vector], axis=0) for s in text
+                    sums = [np.sum([vector[c] for c in sorted(s) if c in vector], axis=0) for s in text
                             if any(c in vector for c in s)]
-                    sums.sort(key=lambda v: -float(v.sum()))
+                    sums.sort(key=lambda v: (-float(v[:telling].sum()), float(v.sum())))
                     for v in sums[:most] or [np.zeros(len(marks))]:
                         ids.append(i)
                         ys.append(y)
@@ -334,8 +345,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not sizes.get(1) or not sizes.get(0):
         share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    marks = choose_landmarks(sample)
-    rows = sentence_vectors(sample, marks).orderBy("_id").collect()
+    marks, telling = choose_landmarks(sample)
+    rows = sentence_vectors(sample, marks, telling).orderBy("_id").collect()
     if not rows or not marks:
         share = sizes[1] / (sizes[0] + sizes[1])
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
@@ -345,20 +356,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y[doc] = [1.0 if r["_y"] else -1.0 for r in rows]
     # Nystroem: the landmarks' own kernel whitens the sums
     own = WordKernel(marks).dense(marks)
-    own = (own + own.T) / 2
+    own = np.sqrt(own * own.T)
     value, vector = np.linalg.eigh(own)
     keep = value > 1e-4 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
     z = x @ whiten
     weight_of = {1.0: sizes[1] / max((y > 0).sum(), 1), -1.0: sizes[0] / max((y < 0).sum(), 1)}
-    telling = np.zeros(len(marks))
-    telling[:len(marks) - COMMON_LANDMARKS] = 1.0
-    margin = x @ telling
+    evidence = x[:, :telling].sum(axis=1)
+    margin = evidence
     for _ in range(rounds):
-        top = np.lexsort((margin, doc))  # the most toxic sentence of each toxic document, all of the clean ones
+        top = np.lexsort((margin, doc))  # the most toxic sentence of each document
         last = np.zeros(len(doc), bool)
         last[top[np.append(doc[top][1:] != doc[top][:-1], True)]] = True
-        use = last | (y[doc] < 0)
+        # of toxic documents that one and those that hold a telling landmark, of the others all
+        use = last | (evidence > 0.9) | (y[doc] < 0)
         w, bias = svm(z[use], y[doc][use], np.where(y[doc][use] > 0, 2.0, 1.0))
         margin = z @ w + bias
     best = np.full(len(ids), bias)
@@ -386,11 +397,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         weight[hit] += model.weights[k] * value
                 # of the parts of a long word the most toxic one counts
                 of = {c: max(weight[i] for i in p) for c, p in zip(chunks, of_chunk) if p and any(weight[i] for i in p)}
-                get, touched = of.get, of.keys()
+                touched = of.keys()
                 for r, text in enumerate(split):
                     for s in text:
                         if not touched.isdisjoint(s):
-                            margins[r] = max(margins[r], model.bias + sum(get(c, 0.0) for c in s))
+                            margins[r] = max(margins[r], model.bias + sum(map(of.__getitem__, sorted(touched & s))))
             digests = [md5(t.encode("utf-8"), usedforsecurity=False).digest() for _, t in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in rows], pa.int64()), pa.array(model.probability(margins)),
