@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Each test item's word n-grams are counted over all documents; the rarer half
-of them are its seeds.  Where a seed occurs in a document, the passage around
+Each test item's word n-grams are counted over all documents; those no more
+frequent than its median one are its seeds.  Where a seed occurs in a document, the passage around
 it is aligned with the item word by word; the local alignment's score, as a
 share of the item's own score, tells exact, edited and paraphrased copies from
 chance.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import text_slices, unused, written
 
 GRAM = 3
+#: items of fewer words are sought by word pairs
+SHORT_ITEM = 12
 #: least share of an item's own score that counts as a copy
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -55,10 +57,10 @@ class Items:
             if seq:
                 self.ids.append(item)
                 self.tokens.append(np.array(seq, np.int64))
-        self.lengths = sorted({min(gram, len(t)) for t in self.tokens})
+        self.lengths = sorted({self.gram_of(t) for t in self.tokens})
         self.places: dict[tuple, list] = defaultdict(list)  # gram -> (item, position)
         for k, t in enumerate(self.tokens):
-            n = min(gram, len(t))
+            n = self.gram_of(t)
             for p in range(len(t) - n + 1):
                 self.places[tuple(t[p:p + n])].append((k, p))
         self.grams = list(self.places)
@@ -69,6 +71,10 @@ class Items:
             order = np.argsort(h, kind="stable")
             self.tables[n] = (h[order], np.array(own)[order])
 
+    def gram_of(self, tokens: np.ndarray) -> int:
+        """Words of the grams of an item."""
+        return min(self.gram if len(tokens) >= SHORT_ITEM else 2, len(tokens))
+
     @staticmethod
     def hashes(tokens: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n-gram that starts at each token."""
@@ -196,8 +202,8 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int):
 
 
 def seed_flags(docs: DataFrame, items: Items) -> np.ndarray:
-    """Which grams of a block are seeds: for each item the rarer half of its
-    distinct grams by document frequency over all of ``docs``."""
+    """Which grams of a block are seeds: for each item those whose document
+    frequency over all of ``docs`` is its median or less."""
     def count(batches):
         total = np.zeros(len(items.grams), np.int64)
         for rows in text_slices(batches):
@@ -214,10 +220,9 @@ def seed_flags(docs: DataFrame, items: Items) -> np.ndarray:
     number = {g: i for i, g in enumerate(items.grams)}
     flags = np.zeros(len(items.grams), bool)
     for t in items.tokens:
-        n = min(items.gram, len(t))
+        n = items.gram_of(t)
         own = np.array(sorted({number[tuple(t[p:p + n])] for p in range(len(t) - n + 1)}))
-        rare = own[np.argsort(df[own], kind="stable")]
-        flags[rare[:(len(rare) + 1) // 2]] = True
+        flags[own[df[own] <= np.median(df[own])]] = True
     return flags
 
 
