@@ -16,9 +16,10 @@ ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
-from string import punctuation as PUNCTUATION
+import string
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ from .common import numbered, text_slices, written
 
 END_ID = 1
 CAPACITY = 2048
-#: words, and chunks with their punctuation, that each of a task's two generations keeps
-KEPT = 150_000
-#: bytes up to which chunks are told apart by the rolling sum of their bytes
-SHORT_CHUNK = 64
+#: words, and other chunks, that each of a task's two generations keeps
+KEPT = 200_000
+#: bytes up to which strings are told apart by the rolling sum of their bytes
+SHORT = 64
 #: words that are encoded in one call
-CALL_WORDS = 20_000
+CALL_WORDS = 500
+#: classes of bytes: blanks, letters (of ASCII, and all bytes of other characters), ASCII punctuation, the rest
+BLANK, LETTER, PUNCTUATION, REST = range(4)
 
 
 class Kept:
@@ -42,143 +45,168 @@ class Kept:
     def __init__(self, most: int = KEPT):
         self.most, self.young, self.old = most, {}, {}
 
-    def age(self) -> None:
+    def get(self, keys: list) -> list:
+        """Values of the keys, None for unknown ones."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
+        out = list(map(self.young.get, keys))
+        for i in [i for i, value in enumerate(out) if value is None]:
+            value = self.old.get(keys[i])
             if value is not None:
-                self.young[key] = value
-        return value
+                out[i] = self.young[keys[i]] = value
+        return out
 
 
-class Chunks:
-    """The blank-separated chunks of texts, each distinct one once."""
+class Bytes:
+    """Rolling sums of a byte buffer: the key of any stretch in constant time."""
 
     _rng = np.random.default_rng(11)
     _values = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-    _base = np.uint64(0x9E3779B97F4A7C15)
-    _inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-    def __init__(self):
-        self._up = self._down = np.zeros(0, np.uint64)
+    _base = 0x9E3779B97F4A7C15
+    _powers: list[np.ndarray] = []
 
-    def _powers(self, n: int) -> None:
-        if len(self._up) < n:
-            both = []
-            for factor in (self._base, self._inverse):
-                steps = np.full(n, factor, np.uint64)
+    def __init__(self, data: bytes):
+        self.data = data
+        buf = np.frombuffer(data, np.uint8)
+        if not self._powers or len(self._powers[0]) <= len(buf):
+            for factor in (self._base, pow(self._base, -1, 1 << 64)):
+                steps = np.full(len(buf) + 1, factor, np.uint64)
                 steps[0] = 1
-                both.append(np.cumprod(steps, dtype=np.uint64))
-            self._up, self._down = both
+                self._powers.append(np.cumprod(steps, dtype=np.uint64))
+            del self._powers[:-2]
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self._values[buf] * self._powers[0][:len(buf)], out=self.sums[1:])
 
-    def split(self, texts: list[str]):
-        """Distinct chunks (keys, bytes), and of all chunks in order the number
-        of their distinct one and of their text."""
-        data = "\n".join(texts).encode("utf-8")
-        sizes = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts), np.int64, len(texts))
-        text_ends = np.cumsum(sizes + 1)
-        buf = np.frombuffer(data, np.uint8)
-        solid = np.zeros(len(buf) + 2, np.int8)
-        solid[1:-1] = (buf != 32) & (buf != 10)
-        steps = np.diff(solid)
-        starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-        if not len(starts):
-            return [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._powers(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self._values[buf] * self._up[:len(buf)], out=sums[1:])
+    def distinct(self, starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[bytes], np.ndarray]:
+        """Keys and bytes of the distinct stretches, and the number of each."""
         lengths = ends - starts
-        key = (sums[ends] - sums[starts]) * self._down[starts] + lengths.astype(np.uint64)
-        for i in np.flatnonzero(lengths > SHORT_CHUNK).tolist():
-            key[i] = xxh64_intdigest(data[starts[i]:ends[i]])
-        keys, first, number = np.unique(key, return_index=True, return_inverse=True)
-        cut = zip(starts[first].tolist(), ends[first].tolist())
-        return keys.tolist(), [data[a:b] for a, b in cut], number, np.searchsorted(text_ends, starts, side="right")
+        key = (self.sums[ends] - self.sums[starts]) * self._powers[1][starts] + lengths.astype(np.uint64)
+        for i in np.flatnonzero(lengths > SHORT).tolist():
+            key[i] = xxh64_intdigest(self.data[starts[i]:ends[i]])
+        number, keys = pd.factorize(key)
+        first = np.empty(len(keys), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        return keys.tolist(), [self.data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], number
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    kind = np.full(256, REST, np.uint8)
+    kind[[32, 10]] = BLANK
+    kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+    kind[[ord(c) for c in string.punctuation]] = PUNCTUATION
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    return kind, lower
+
+
+KIND, LOWER = _byte_classes()
 
 
 class Coder:
     """Token ids of texts, packed as unsigned 32-bit integers.
 
     A tokenizer that drops white space, lower-cases, and encodes runs of letters
-    on their own gives a blank-separated chunk the ids of its lower-cased
-    letters followed by those of its closing ASCII punctuation.  Words are
-    therefore encoded once, many to a call, and told apart by the tokens that
-    end a word; every other chunk is encoded as it stands.
+    on their own gives a blank-separated chunk of letters and closing ASCII
+    punctuation the ids of its lower-cased letters followed by those of the
+    punctuation.  Words are therefore encoded once, many to a call, and told
+    apart by the tokens that end a word; every other chunk is encoded as it
+    stands.  Only distinct strings are handled one by one.
     """
 
     def __init__(self, rules: str, word_end: str = "</w>"):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.coder = Tokenizer.from_str(rules)
         # for lower-cased runs of letters: only composition and the split at blanks are left to do
-        self.word_coder = Tokenizer.from_str(rules)
+        self.word_coder = Tokenizer(self.coder.model)
         self.word_coder.normalizer = normalizers.NFC()
         self.word_coder.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
-        self.words, self.known, self.splitter = Kept(), Kept(), Chunks()
+        self.words, self.others = Kept(), Kept()
 
-    def _encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), CALL_WORDS):
-            part = new[i:i + CALL_WORDS]
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Packed ids of lower-cased runs of letters."""
+        out = []
+        for i in range(0, len(words), CALL_WORDS):
+            part = words[i:i + CALL_WORDS]
             ids = np.array(self.word_coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stops) == len(part):
                 packed = ids.tobytes()
-                self.words.young.update(zip(part, (packed[a:b] for a, b in zip([0, *stops], stops))))
+                out.extend([packed[a:b] for a, b in zip([0, *stops], stops)])
             else:  # letters that the tokenizer does not take for one run
-                self.words.young.update((w, self._encode(w)) for w in part)
-
-    def _chunks(self, keys: list[int], chunks: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct chunks."""
-        known, words = self.known, self.words
-        known.age()
-        words.age()
-        out = list(map(known.get, keys))
+                out.extend(map(self._whole, part))
+        return out
+
+    def _words(self, keys: list[int], words: list[bytes]) -> list[bytes | None]:
+        """Packed ids of runs of letters (ASCII lower-cased); None for those
+        that are not letters alone, or whose lower case depends on their place."""
+        out = self.words.get(keys)
         new = [i for i, ids in enumerate(out) if ids is None]
-        split, need = [], set()
-        for i in new:
-            c = chunks[i].decode("utf-8")
-            word = c.rstrip(PUNCTUATION)
-            lower = word.lower()
-            # lower-casing the sigma depends on its place
-            if lower.isalpha() and (c.isascii() or "\u03a3" not in c):
-                tail = c[len(word):]
-                if tail and words.get(tail) is None:
-                    need.add(tail)
-            else:
-                lower, tail = c, ""
-            if words.get(lower) is None:
-                need.add(lower)
-            split.append((lower, tail))
-        # what changes when lower-cased once more, or holds other signs, is encoded as it stands
-        runs = [w for w in need if w.isalpha() and w.lower() == w]
-        self._learn(runs)
-        code = words.young
-        code.update((w, self._encode(w)) for w in need.difference(runs))
-        for i, (word, tail) in zip(new, split):
-            out[i] = known.young[keys[i]] = code[word] + code[tail] if tail else code[word]
+        if new:
+            texts = b"\n".join([words[i] for i in new]).decode("utf-8").split("\n")
+            lower = list(map(str.lower, texts))
+            fit = [x.isalpha() and (t is x or "\u03a3" not in t and x.lower() == x) for t, x in zip(texts, lower)]
+            coded = iter(self._runs([x for x, f in zip(lower, fit) if f]))
+            known = self.words.young
+            for i, f in zip(new, fit):
+                out[i] = known[keys[i]] = next(coded) if f else b""
+        return [ids or None for ids in out]
+
+    def _others(self, chunks: list[bytes]) -> list[bytes]:
+        out = self.others.get(chunks)
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = self.others.young[chunks[i]] = self._whole(chunks[i].decode("utf-8"))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        keys, chunks, number, text = self.splitter.split(texts)
-        coded = self._chunks(keys, chunks)
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        size = sizes[number]
-        ends = np.cumsum(size)
-        start = (np.cumsum(sizes) - sizes)[number] - (ends - size)
-        ids = flat[np.arange(int(size.sum())) + np.repeat(start, size)].tobytes()
-        cuts = np.append(0, ends)[np.searchsorted(text, np.arange(len(texts) + 1))] * 4
+        data = "\n".join(texts).encode("utf-8")
+        sizes = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts), np.int64, len(texts))
+        buf = np.frombuffer(data, np.uint8)
+        kind = KIND[buf]
+        solid = np.zeros(len(buf) + 2, np.int8)
+        solid[1:-1] = kind != BLANK
+        steps = np.diff(solid)
+        starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+        if not len(starts):
+            return [b""] * len(texts)
+        breaks = np.append(np.flatnonzero(kind != LETTER), len(buf))
+        heads = breaks[np.searchsorted(breaks, starts)]  # where a chunk's letters end
+        marks = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(kind == PUNCTUATION, out=marks[1:])
+        simple = (heads > starts) & (marks[ends] - marks[heads] == ends - heads)
+        at = np.flatnonzero(simple)
+        lowered = Bytes(LOWER[buf].tobytes())
+        keys, words, number = lowered.distinct(starts[at], heads[at])
+        coded = self._words(keys, words)
+        fit = np.fromiter((ids is not None for ids in coded), bool, len(coded))[number]
+        simple[at[~fit]] = False
+        at, number = at[fit], number[fit]
+        _, tails, tail = lowered.distinct(heads[at], ends[at])
+        rest = np.flatnonzero(~simple)
+        other, chunks = pd.factorize(np.array([data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist())], object))
+
+        table = [ids or b"" for ids in coded] + self._others(tails) + self._others(list(chunks)) + [b""]
+        which = np.full((len(starts), 2), len(table) - 1)
+        which[at, 0] = number
+        which[at, 1] = len(coded) + tail
+        which[rest, 0] = len(coded) + len(tails) + other
+        which = which.ravel()
+        flat = np.frombuffer(b"".join(table), "<u4")
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        size = lengths[which]
+        stop = np.cumsum(size)
+        shift = (np.cumsum(lengths) - lengths)[which] - (stop - size)
+        ids = flat[np.arange(int(stop[-1])) + np.repeat(shift, size)].tobytes()
+        text_of = np.searchsorted(np.cumsum(sizes + 1), starts, side="right")
+        cuts = np.append(0, stop)[2 * np.searchsorted(text_of, np.arange(len(texts) + 1))] * 4
         return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
