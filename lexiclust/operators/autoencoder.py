@@ -125,12 +125,11 @@ def _grad_sums(layers: list[Layer], x: np.ndarray, y: np.ndarray, w: np.ndarray)
     return flat, loss
 
 
-def _partition_step(layers, vec_col, target_col, weight_col, batch_col, batch):
+def _partition_step(layers, vec_col, target_col, weight_col):
+    """One row per partition: the gradient's sums, then loss and row count."""
     def run(batches):
         g_tot, l_tot, n_tot = None, 0.0, 0
         for pdf in batches:
-            if batch_col is not None:
-                pdf = pdf[pdf[batch_col] == batch]
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
@@ -141,17 +140,20 @@ def _partition_step(layers, vec_col, target_col, weight_col, batch_col, batch):
             l_tot += loss
             n_tot += len(pdf)
         if g_tot is not None:
-            yield pd.DataFrame({"g": [g_tot], "loss": [l_tot], "n": [n_tot]})
+            yield pd.DataFrame({"g": [np.concatenate([g_tot, [l_tot, n_tot]])]})
     return run
 
 
-def _reduce(df: DataFrame, layers, vec_col, target_col, weight_col, batch_col=None, batch=0):
-    parts = df.mapInPandas(_partition_step(layers, vec_col, target_col, weight_col, batch_col, batch),
-                           "g array<double>, loss double, n long")
-    summed = parts.select(F.posexplode("g").alias("i", "v"), "loss", "n")
-    grads = summed.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one value per parameter
-    tot = parts.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
-    return np.array([r["v"] for r in grads]), float(tot["loss"] or 0.0), int(tot["n"] or 0)
+def _reduce(df: DataFrame, layers, vec_col, target_col, weight_col):
+    parts = df.mapInPandas(_partition_step(layers, vec_col, target_col, weight_col), "g array<double>")
+    summed = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    rows = summed.collect()  # one value per parameter, and two: one pass over the data a step
+    if not rows:
+        return np.zeros(0), 0.0, 0
+    total = np.zeros(len(rows))
+    for r in rows:
+        total[r["i"]] = r["v"]
+    return total[:-2], float(total[-2]), int(total[-1])
 
 
 def mse(net: Network, df: DataFrame, vec_col: str = "embedding", target_col: str | None = None) -> float:
@@ -187,14 +189,11 @@ def fit(net: Network, train: DataFrame, epochs: int = 10, lr: float = 1e-3, step
     t = 0
     d_out = net.layers[-1].w.shape[1]
     for epoch in range(epochs):
-        frame = data
-        bcol = None
-        if steps_per_epoch > 1:
-            frame = data.withColumn("_b", F.pmod(hash_int(f"{seed}:{epoch}", id_col), steps_per_epoch))
-            bcol = "_b"
+        batch_no = F.pmod(hash_int(f"{seed}:{epoch}", id_col), steps_per_epoch)
         losses, count = 0.0, 0
         for step in range(steps_per_epoch):
-            g, loss, n = _reduce(frame, net.layers, vec_col, target_col, weight_col, bcol, step)
+            frame = data if steps_per_epoch == 1 else data.where(batch_no == step)
+            g, loss, n = _reduce(frame, net.layers, vec_col, target_col, weight_col)
             if n == 0:
                 continue
             g = g / (n * d_out)
@@ -245,6 +244,7 @@ def stacked_fit(train: DataFrame, dims: list[int], activation: str | None = "tan
     then the chain (encoders, reversed decoders) is fine-tuned end to end."""
     encs, decs, hist = [], [], []
     cur_train, cur_val = train, val
+    held = []
     for i in range(1, len(dims)):
         ae = single_autoencoder(dims[i - 1], dims[i], activation, seed + i)
         fit(ae, cur_train, epochs, lr, steps_per_epoch, cur_val, vec_col, None, weight_col, id_col, seed + i)
@@ -254,7 +254,10 @@ def stacked_fit(train: DataFrame, dims: list[int], activation: str | None = "tan
         decs.insert(0, dec)
         udf = apply_udf([enc])
         cur_train = cur_train.withColumn(vec_col, udf(F.col(vec_col))).persist()
+        held.append(cur_train)
         cur_val = cur_val.withColumn(vec_col, udf(F.col(vec_col))) if cur_val is not None else None
+    for frame in held:
+        frame.unpersist()
     model = Stacked(encs, decs, hist)
     if fine_tune:
         net = model.chain()
@@ -278,7 +281,7 @@ def config_sweep(train: DataFrame, val: DataFrame, test: DataFrame, configs: lis
     """Grid of ``(dims, activation, epochs)``: train/val/test MSE per config."""
     rows = []
     for dims, activation, epochs in configs:
-        model = stacked_fit(train, list(dims), activation, epochs, lr, val, vec_col, steps_per_epoch=steps_per_epoch)
+        model = stacked_fit(train, list(dims), activation, epochs, lr, None, vec_col, steps_per_epoch=steps_per_epoch)
         net = model.chain()
         for name, frame in (("train", train), ("val", val), ("test", test)):
             rows.append({"dims": "-".join(map(str, dims)), "activation": str(activation), "epochs": epochs,

@@ -22,9 +22,11 @@ def sample_exact(df: DataFrame, n: int, key_cols: list[str], seed=1984) -> DataF
 
 def split_exact(df: DataFrame, sizes: dict[str, int] | None, key_cols: list[str], seed=1984,
                 fractions: dict[str, float] | None = None, out_col: str = "split") -> DataFrame:
-    """Disjoint splits of exact sizes in hash order (rows beyond the sizes get
-    no split and are dropped).  Either ``sizes`` (row counts) or ``fractions``
-    (``floor(f * n)`` rows each) is given; order of the dict = order of cuts.
+    """Disjoint splits in hash order; order of the dict = order of cuts.
+
+    With ``sizes`` (row counts) the parts have exactly those sizes and rows
+    beyond them get no split and are left out.  With ``fractions`` every part
+    has ``floor(f * n)`` rows and the last one takes all that remain.
 
     The rank is a distributed dense index (range sort + per-partition
     offsets), not a one-partition ``row_number``."""
@@ -35,9 +37,10 @@ def split_exact(df: DataFrame, sizes: dict[str, int] | None, key_cols: list[str]
         sizes = {k: int(f * n) for k, f in (fractions or {}).items()}
     expr = None
     lo = 0
+    last = list(sizes)[-1] if fractions else None
     for name, size in sizes.items():
         hi = lo + int(size)
-        test = (F.col("_r") >= lo) & (F.col("_r") < hi)
+        test = (F.col("_r") >= lo) & ((F.col("_r") < hi) | F.lit(name == last))
         expr = F.when(test, F.lit(name)) if expr is None else expr.when(test, F.lit(name))
         lo = hi
     return ranked.withColumn(out_col, expr).where(F.col(out_col).isNotNull()).drop("_h", "_r")
@@ -45,7 +48,8 @@ def split_exact(df: DataFrame, sizes: dict[str, int] | None, key_cols: list[str]
 
 def split_fractions(df: DataFrame, fractions: dict[str, float], key_cols: list[str], seed=1984,
                     out_col: str = "split") -> DataFrame:
-    """As ``split_exact`` with sizes ``floor(f * count)`` (one count action)."""
+    """As ``split_exact`` with sizes ``floor(f * count)``, the last part with the
+    remainder (one count action)."""
     return split_exact(df, None, key_cols, seed, fractions=fractions, out_col=out_col)
 
 

@@ -103,17 +103,23 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, label_col: str = "labe
                      id_col: str = "vec_id", vec_col: str = "embedding",
                      max_values: int = 50_000_000) -> DataFrame:
     """Assign each row to the closest centre: ``(id, nearest, dist)``; ties by
-    the smaller label.  The K centres are packed into one row (K x d values,
-    size checked against ``max_values``) and broadcast; each row then scans
-    the packed centres in a JVM array loop - no n x K join output."""
+    the smaller label; ids are unique.  Centres are packed into one row and
+    broadcast, at most ``max_values`` numbers at once; each row scans the packed
+    centres in a JVM array loop - no n x K join output.  More centres are
+    scanned in blocks, of whose minima the least counts."""
     kd = centroids.agg(F.sum(F.size("centroid"))).first()[0] or 0
-    if kd > max_values:
-        raise ValueError(f"{kd} centre values exceed the broadcast bound {max_values}")
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct(
-        F.col(label_col).cast("long").alias("l"), F.col("centroid").alias("c")))).alias("_cs")) \
-        .withColumn("_k", F.lit(1))
+    blocks = max(1, -(-kd // max_values))
+    part = F.pmod(F.xxhash64(label_col), F.lit(blocks))
     v = df.select(id_col, vx.as_double(vec_col).alias("_v")).withColumn("_k", F.lit(1))
-    j = v.join(F.broadcast(packed), "_k")
-    dists = F.transform("_cs", lambda s: F.struct(vx.l2_dist(F.col("_v"), s["c"]).alias("d"), s["l"].alias("l")))
-    best = F.array_min(dists)
-    return j.select(id_col, best["l"].alias("nearest"), best["d"].alias("dist"))
+    found = None
+    for b in range(blocks):
+        packed = centroids.where(part == b).agg(F.array_sort(F.collect_list(F.struct(
+            F.col(label_col).cast("long").alias("l"), F.col("centroid").alias("c")))).alias("_cs")) \
+            .withColumn("_k", F.lit(1))
+        j = v.join(F.broadcast(packed), "_k")
+        dists = F.transform("_cs", lambda s: F.struct(vx.l2_dist(F.col("_v"), s["c"]).alias("d"), s["l"].alias("l")))
+        scan = j.select(id_col, F.array_min(dists).alias("_best"))
+        found = scan if found is None else found.unionByName(scan)
+    if blocks > 1:
+        found = found.groupBy(id_col).agg(F.min("_best").alias("_best"))
+    return found.select(id_col, F.col("_best.l").alias("nearest"), F.col("_best.d").alias("dist"))

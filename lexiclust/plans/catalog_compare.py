@@ -30,7 +30,6 @@ SELECT CASE WHEN r < floor(0.5 * n) THEN 'real' ELSE 'generated' END AS sample,
   SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v,
          row_number() OVER (ORDER BY {q.hash_key(42, 'vec_id')}, vec_id) - 1 AS r, count(*) OVER () AS n
   FROM embeddings)
-WHERE r < 2 * floor(0.5 * n)
 """
 
 
@@ -143,8 +142,9 @@ SELECT g AS {group}, test, {sig_sql('statistic')} AS statistic, {sig_sql('pvalue
 """
 
 
-def _tests_spark(vals, group):
-    r = ts.two_sample_tests(vals, group_col=group, sample_col="sample")
+def _tests_spark(vals, group, exact_up_to=0):
+    """The oracle has the asymptotic p-value; ``ks_2samp_exact`` the exact one."""
+    r = ts.two_sample_tests(vals, group_col=group, sample_col="sample", exact_up_to=exact_up_to)
     return r.select(group, "test", vx.sig("statistic").alias("statistic"), vx.sig("pvalue").alias("pvalue"))
 
 
@@ -182,6 +182,11 @@ def _ks_2samp(spark, d):
     return _tests_spark(events_vals(spark, d), "grp").where(F.col("test") == "ks")
 
 
+@register("ks_2samp_exact")
+def _ks_2samp_exact(spark, d):
+    return _tests_spark(halves_stats(spark, d), "stat", exact_up_to=10_000).where(F.col("test") == "ks")
+
+
 @register("cluster_sizes", f"""
 WITH {cs_sql_cte(HALVES_SRC)}
 SELECT label, CAST(max(CASE WHEN sample = 'real' THEN n_l END) AS BIGINT) AS real_size,

@@ -26,6 +26,16 @@ def _vector_ngrams(spark, d):
     return x.select(F.col("ngram_id").cast("long"), F.col("dim").cast("long"), "value")
 
 
+@register("vector_ngrams_pca")
+def _vector_ngrams_pca(spark, d):
+    """n-grams of the vectors reduced to their first 16 principal components."""
+    from ..operators import reduce as rd
+    e = load(spark, d, "embeddings")
+    reduced = rd.pca_transform(e, rd.pca_fit(e, 16)).select("vec_id", F.col("reduced").alias("embedding"))
+    x = ng.vector_ngrams(reduced, 3).select("ngram_id", F.posexplode("embedding").alias("dim", "value"))
+    return x.select(F.col("ngram_id").cast("long"), F.col("dim").cast("long"), "value")
+
+
 TOKEN_NGRAMS_SQL = f"""
 s AS ({STREAM_SQL}),
 w AS (SELECT a.pos AS window_id, a.token || ' ' || b.token || ' ' || c.token AS ngram, a.token AS t0, b.token AS t1,

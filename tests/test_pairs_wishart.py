@@ -61,103 +61,39 @@ def test_row_label_sums(spark, pts):
         assert math.isclose(r.sum_dist, d[int(r.vec_id), m].sum(), rel_tol=1e-9, abs_tol=1e-12)
 
 
-def wishart_reference_rule(points, k, h):
-    """The rule as stated in the survey (single global pass, shared noise
-    state, argsort of d_k with ties by index) - an independent oracle."""
-    n, dim = points.shape
-    d = brute(points)
-    np.fill_diagonal(d, np.inf)
-    idx = np.arange(n)
-    nbrs = np.array([np.lexsort((idx, d[i]))[:k] for i in range(n)])
-    dk = d[idx, nbrs[:, -1]]
-    order = np.lexsort((idx, dk))
-    lab = -np.ones(n, dtype=int)
-    clusters = [[1.0, 1.0, 0]]
-    members = {0: []}
-    const = math.gamma(dim / 2 + 1) / math.pi ** (dim / 2)
-    for i in order:
-        u = np.unique(lab[nbrs[i]])
-        u = u[u != -1]
-        if len(u) == 0:
-            lab[i] = len(clusters)
-            members[len(clusters)] = [i]
-            clusters.append([dk[i], dk[i], 0])
-            continue
-        if u.min() == u.max():
-            c = u[0]
-            if clusters[c][2] < 0.5:
-                lab[i] = c
-                members.setdefault(c, []).append(i)
-                clusters[c][0] = min(clusters[c][0], dk[i])
-                clusters[c][1] = max(clusters[c][1], dk[i])
-            else:
-                lab[i] = 0
-            continue
-        if min(clusters[c][2] for c in u) > 0.5:
-            lab[i] = 0
-            continue
-        with np.errstate(all="ignore"):
-            sig = {c: (np.power(clusters[c][0], -dim) - np.power(clusters[c][1], -dim)) * k / n * const >= h
-                   for c in u}
-        sigs = [c for c in u if sig[c]]
-        if len(sigs) > 1 or u.min() == 0:
-            lab[i] = 0
-            for c in sigs:
-                clusters[c][2] = 1
-            for c in u:
-                if c == 0 or sig[c]:
-                    continue
-                for j in members.get(c, []):
-                    lab[j] = 0
-                members[c] = []
-        else:
-            keep = u.min()
-            for c in u:
-                if c == keep:
-                    continue
-                for j in members.get(c, []):
-                    lab[j] = keep
-                    members[keep].append(j)
-                    clusters[keep][0] = min(clusters[keep][0], dk[j])
-                    clusters[keep][1] = max(clusters[keep][1], dk[j])
-                members[c] = []
-            lab[i] = keep
-            members[keep].append(i)
-            clusters[keep][0] = min(clusters[keep][0], dk[i])
-            clusters[keep][1] = max(clusters[keep][1], dk[i])
-    uniq = np.unique(lab)
-    new = np.argsort(uniq)
-    if uniq[0] != 0:
-        new = new + 1
-    m = dict(zip(uniq, new))
-    return np.array([m[x] for x in lab])
-
-
-@pytest.mark.parametrize("k,h", [(2, 0.01), (3, 1.0), (3, 50.0), (4, 0.3)])
-def test_wishart_matches_reference_rule(spark, k, h):
-    rng = np.random.default_rng(7)
-    pts = np.vstack([rng.normal(c, 0.35, size=(30, 2)) for c in [(0, 0), (3, 3)]]
-                    + [rng.uniform(-2, 5, size=(10, 2)), np.array([[20.0, 20.0], [20.5, 20.0], [21.0, 20.2]])])
-    got = wi.wishart(frame(spark, pts), k, h, block_rows=16).toPandas().sort_values("vec_id")["label"].to_numpy()
-    exp = wishart_reference_rule(pts, k, h)
-    assert (got == exp).all()
-
-
-def test_wishart_h_changes_result():
-    rng = np.random.default_rng(1)
-    pts = np.vstack([rng.normal(c, 0.5, size=(40, 2)) for c in [(0, 0), (2.5, 0)]])
-    a = wishart_reference_rule(pts, 3, 0.01)
-    b = wishart_reference_rule(pts, 3, 5.0)
-    assert not np.array_equal(a, b)
-    assert np.array_equal(wi.wishart_local(pts, 3, 0.01), a)
-    assert np.array_equal(wi.wishart_local(pts, 3, 5.0), b)
-
-
-def test_wishart_radius_matches_local(spark):
-    rng = np.random.default_rng(11)
-    pts = np.vstack([rng.normal(c, 0.3, size=(20, 2)) for c in [(0, 0), (3, 0)]])
-    got = wi.wishart_radius(frame(spark, pts), 3, 0.05, block_rows=16).toPandas().sort_values("vec_id")["label"]
-    assert (got.to_numpy() == wi.wishart_radius_local(pts, 3, 0.05)).all()
+# Labels derived by hand from the rule: points are visited by the distance to
+# their k-th neighbour (ties by id); a point without labelled neighbours founds a
+# cluster, one with a single open cluster among them joins it.
+LINE = np.array([[x, 0.0] for x in (0, 1, 2, 4, 6, 7, 8)])
+
+
+def labels_of(spark, points, k, h, fit=wi.wishart):
+    got = fit(frame(spark, points), k, h, block_rows=16).toPandas().sort_values("vec_id")
+    return got["label"].tolist()
+
+
+def test_two_groups_far_apart(spark):
+    pts = np.array([[0, 0], [1, 0], [2, 0], [10, 0], [11, 0], [12, 0]])
+    for h in (0.01, 100.0):  # no point sees two clusters: the height plays no part
+        assert labels_of(spark, pts, 2, h) == [1, 1, 1, 2, 2, 2]
+
+
+def test_bridge_merges_when_one_cluster_is_significant(spark):
+    # 1 and 7 found clusters; 0, 2 and the bridge 4 join the first; 6 sees both: the first has
+    # (1 - 1/4) * 2 / 7 / pi = 0.068, the second 0, so at 0.05 the second joins the first
+    assert labels_of(spark, LINE, 2, 0.05) == [1] * 7
+
+
+def test_bridge_becomes_noise_when_both_are_significant(spark):
+    # below zero both count as significant: 6 is noise and closes them, and 8, which sees the noise
+    # and the closed second cluster, is noise too
+    assert labels_of(spark, LINE, 2, -1.0) == [1, 1, 1, 1, 0, 2, 0]
+
+
+def test_far_point_keeps_to_its_neighbours(spark):
+    # the outlier is visited last and joins the only cluster it sees
+    pts = np.array([[0, 0], [1, 0], [2, 0], [50, 0]])
+    assert labels_of(spark, pts, 2, 1.0) == [1, 1, 1, 1]
 
 
 def test_connected_components(spark):
