@@ -58,14 +58,14 @@ def context_drift(tokens: DataFrame, word_col: str, ctx_col: str, id_col: str =
                   vec_col: str = "embedding", block_rows: int = pr.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Spread of contextual vectors: per word, distances between its vectors
     in different contexts; per context, distances between different words.
-    Aggregated inside the pair engine (``(kind, key, mean_dist, max_dist,
-    n_pairs)``) - no pair list per word is emitted."""
+    Only pairs of one key are formed and they are aggregated in the tasks:
+    ``(kind, key, mean_dist, max_dist, n_pairs)``."""
     out = None
     for kind, key in (("same_word", word_col), ("same_context", ctx_col)):
-        s = pr.label_pair_stats(tokens, key, id_col, vec_col, block_rows)
-        s = s.where(F.col("label_i") == F.col("label_j")).select(
-            F.lit(kind).alias("kind"), F.col("label_i").alias("key"),
-            F.try_divide(F.col("sum_dist"), F.col("n_pairs")).alias("mean_dist"), "max_dist", "n_pairs")
+        own = pr.own_label_sums(tokens, key, id_col, vec_col, block_rows).where("n_own > 0")
+        s = own.groupBy(F.col(key).alias("key")).agg(
+            F.try_divide(F.sum("sum_dist"), F.sum("n_own")).alias("mean_dist"), F.max("max_dist").alias("max_dist"),
+            F.sum("n_own").alias("n_pairs")).select(F.lit(kind).alias("kind"), "key", "mean_dist", "max_dist", "n_pairs")
         out = s if out is None else out.unionByName(s)
     return out
 

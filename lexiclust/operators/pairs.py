@@ -131,6 +131,7 @@ def stream_topk(queries: DataFrame, refs: DataFrame, k: int, metric: str = "eucl
                                   "bi": np.full((len(qq), k), np.iinfo(np.int64).max, dtype=np.int64), "q": []})
                 rid = rs["_id"].to_numpy()
                 dm = distances(state["qm"], _matrix(rs), metric=metric)
+                dm[np.isnan(dm)] = np.inf  # a zero vector has no direction: it is nobody's neighbour
                 for i, e in enumerate(state["ex"]):
                     if e is not None and len(e):
                         dm[i, np.isin(rid, e)] = np.inf
@@ -162,54 +163,41 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
     return out.select(F.col("qid").alias(id_col), "rank", F.col("id").alias("nbr_id"), "dist")
 
 
-def knn_cells(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``(id, rank, nbr_id, dist)``: the k nearest other rows (self excluded
-    by id), ranked by ``(dist, nbr_id)``; rank starts at 1."""
-    x, b = _cells(df, id_col, vec_col, [], block_rows)
-
-    def top_k(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _split(pdf, b)
-        li, ri = left["_id"].to_numpy(), right["_id"].to_numpy()
-        d = distances(_matrix(left), _matrix(right))
-        outs = []
-
-        def emit(ids, other_ids, dm):
-            if dm.shape[1] == 0 or dm.shape[0] == 0:
-                return
-            kk = min(k, dm.shape[1])
-            order = np.lexsort((np.broadcast_to(other_ids, dm.shape), dm), axis=1)[:, :kk]
-            rows = np.repeat(ids, kk)
-            nb = other_ids[order].ravel()
-            dd = np.take_along_axis(dm, order, axis=1).ravel()
-            keep = np.isfinite(dd)
-            outs.append(pd.DataFrame({"id": rows[keep], "nbr_id": nb[keep], "dist": dd[keep]}))
-
-        if same:
-            d = d.copy()
-            d[li[:, None] == ri[None, :]] = np.inf
-            emit(li, ri, d)
-        else:
-            emit(li, ri, d)
-            emit(ri, li, d.T)
-        if not outs:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        return pd.concat(outs, ignore_index=True)
-
-    cand = x.groupBy("_cell").applyInPandas(top_k, "id long, nbr_id long, dist double")
-    # at most k * B candidates per id: a bounded group
-    w = Window.partitionBy("id").orderBy("dist", "nbr_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(id_col), F.col("rank").cast("long").alias("rank"),
-                         "nbr_id", "dist")
-
-
 def kth_distance(neigh: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """``(id, dk)``: distance to the k-th nearest other row."""
     return neigh.where(F.col("rank") == k).select(id_col, F.col("dist").alias("dk"))
 
 
+def own_label_sums(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
+                   block_rows: int = DEFAULT_BLOCK_ROWS, metric: str = "euclidean") -> DataFrame:
+    """``(label, id, sum_dist, n_own, max_dist)`` of every row to the other rows
+    of its label; pairs of unlike labels are never formed.  A label is cut into
+    blocks of about ``block_rows`` rows, and a task holds two of them."""
+    rows = df.select(F.col(label_col).cast("long").alias("_lab"), F.col(id_col).alias("_id"),
+                     F.transform(vec_col, lambda v: v.cast("double")).alias("_v"))
+    blocks = rows.groupBy("_lab").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_b"))
+    x = rows.join(blocks, "_lab").withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_b")).cast("int"))
+    x = x.withColumn("_oth", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    x = x.withColumn("_lo", F.least("_blk", "_oth")).withColumn("_hi", F.greatest("_blk", "_oth")).drop("_oth", "_b")
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["_blk"] == pdf["_lo"]], pdf[pdf["_blk"] == pdf["_hi"]]
+        same = pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0]
+        parts = []
+        if len(left) and len(right):
+            d = distances(_matrix(left), _matrix(right), metric=metric)
+            if same:
+                np.fill_diagonal(d, 0.0)
+            for ids, m, n in ((left["_id"], d, d.shape[1] - same),) + (() if same else ((right["_id"], d.T, d.shape[0]),)):
+                parts.append(pd.DataFrame({"_lab": pdf["_lab"].iloc[0], "_id": ids.to_numpy(), "s": m.sum(axis=1),
+                                           "n": n, "m": m.max(axis=1)}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["_lab", "_id", "s", "n", "m"])
+
+    part = x.groupBy("_lab", "_lo", "_hi").applyInPandas(cell, "_lab long, _id long, s double, n long, m double")
+    out = part.groupBy("_lab", "_id").agg(F.sum("s").alias("sum_dist"), F.sum("n").alias("n_own"), F.max("m").alias("max_dist"))
+    return out.select(F.col("_lab").alias(label_col), F.col("_id").alias(id_col), "sum_dist", "n_own", "max_dist")
+
+
 # --------------------------------------------------------------------------
 # label-pair aggregates over ordered pairs i != j
 

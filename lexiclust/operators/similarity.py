@@ -76,7 +76,7 @@ def word_pair_eval(vectors: DataFrame, pairs: DataFrame, word_col: str = "word",
     v1 = vectors.select(F.col(word_col).alias("w1"), F.col(vec_col).alias("v1"))
     v2 = vectors.select(F.col(word_col).alias("w2"), F.col(vec_col).alias("v2"))
     j = pairs.join(v1, "w1").join(v2, "w2").withColumn(
-        "sim", 1 - vx.cosine_distance(vx.as_double("v1"), vx.as_double("v2")))
+        "sim", F.round(1 - vx.cosine_distance(vx.as_double("v1"), vx.as_double("v2")), 12))  # noise makes no ranks
     j = j.select("w1", "w2", "score", "sim")
     r = avg_rank(avg_rank(j, "score", "rs", ["w1", "w2"]), "sim", "rc", ["w1", "w2"])
     total = pairs.agg(F.count("*")).scalar()
@@ -97,9 +97,8 @@ def medoids(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec
             block_rows: int = pr.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per label the member with the smallest mean cosine distance to the
     other members (ties: smaller id): ``(label, medoid_id, mean_cos_dist)``."""
-    sums = pr.row_label_sums(df, label_col, id_col, vec_col, block_rows, metric="cosine")
-    own = sums.where(F.col("other_label") == F.col("label")).where(F.col("n_other") > 0) \
-        .select("label", id_col, F.try_divide(F.col("sum_dist"), F.col("n_other")).alias("m"))
+    sums = pr.own_label_sums(df, label_col, id_col, vec_col, block_rows, metric="cosine").where("n_own > 0")
+    own = sums.select(F.col(label_col).alias("label"), id_col, F.try_divide(F.col("sum_dist"), F.col("n_own")).alias("m"))
     best = own.groupBy("label").agg(F.min(F.struct("m", id_col)).alias("b"))
     return best.select(F.col("label").alias(label_col), F.col(f"b.{id_col}").alias("medoid_id"),
                        F.col("b.m").alias("mean_cos_dist"))

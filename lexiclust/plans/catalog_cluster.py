@@ -244,10 +244,10 @@ def _dk(spark, d, k):
 
 
 @register("radius_join", f"""
-WITH {BASE},
-dk AS (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
+WITH {BASE.replace("pairs AS (", "pairs AS MATERIALIZED (")},
+dk AS MATERIALIZED (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
        FROM pairs) WHERE rk = 3),
-rk AS (SELECT vec_id, dk, row_number() OVER (ORDER BY dk, vec_id) AS rnk FROM dk)
+rk AS MATERIALIZED (SELECT vec_id, dk, row_number() OVER (ORDER BY dk, vec_id) AS rnk FROM dk)
 SELECT p.i AS vec_id, p.j AS nbr_id, {sig_sql('p.dist')} AS dist FROM pairs p
 JOIN rk ri ON p.i = ri.vec_id JOIN rk rj ON p.j = rj.vec_id
 WHERE p.dist <= ri.dk AND rj.rnk < ri.rnk
@@ -260,8 +260,8 @@ def _radius_join(spark, d):
 
 
 @register("ball_volume", f"""
-WITH {BASE},
-dk AS (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
+WITH {BASE.replace("pairs AS (", "pairs AS MATERIALIZED (")},
+dk AS MATERIALIZED (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
        FROM pairs) WHERE rk = 3)
 SELECT vec_id, {sig_sql('(64 / 2.0) * ln(pi()) - lgamma(64 / 2.0 + 1) + 64 * ln(dk)')} AS log_volume FROM dk
 """)
@@ -272,8 +272,8 @@ def _ball_volume(spark, d):
 
 
 @register("knn_density", f"""
-WITH {BASE},
-dk AS (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
+WITH {BASE.replace("pairs AS (", "pairs AS MATERIALIZED (")},
+dk AS MATERIALIZED (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
        FROM pairs) WHERE rk = 2)
 SELECT vec_id, {sig_sql('ln(3) - ((64 / 2.0) * ln(pi()) - lgamma(64 / 2.0 + 1) + 64 * ln(dk)) - ln((SELECT n FROM meta))')}
        AS log_density FROM dk

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import load
+from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import annotate as an
 from ..operators import corpus as co
@@ -117,8 +118,12 @@ def _analogy_distance(spark, d):
 
 
 PRON_SQL = ", ".join(f"'{p}'" for p in an.PRONOUNS)
-ANN_SQL = f"""
-s AS ({SENT_SQL}),
+
+
+def ann_sql(sentences: str) -> str:
+    """CTEs ``ann2`` (annotated tokens) over ``sentences(doc_id, sent_no, sentence)``."""
+    return f"""
+s AS ({sentences}),
 tk AS (SELECT doc_id, sent_no, unnest(string_split(sentence, ' ')) AS text,
               unnest(range(len(string_split(sentence, ' ')))) AS tok_no FROM s),
 ann AS (SELECT *, CASE WHEN lower(text) IN ({PRON_SQL}) THEN 'PRON' WHEN regexp_full_match(text, '[0-9]+') THEN 'NUM'
@@ -129,27 +134,62 @@ ann2 AS (SELECT *, CASE WHEN pos = 'PRON' THEN '-PRON-' ELSE lower(text) END AS
 """
 
 
-@register("normalize_tokens", f"""
-WITH {ANN_SQL},
+ANN_SQL = ann_sql(SENT_SQL)
+NORM_SQL = """
 w AS (SELECT doc_id, sent_no, tok_no, CASE WHEN ent_type <> '' THEN text WHEN pos = 'PUNCT' THEN NULL
              WHEN pos = 'PRON' THEN 'HE' WHEN pos = 'NUM' THEN 'NUMBER'
              WHEN substr(lemma, 2, length(lemma) - 2) = 'PRON' THEN 'HE'
-             WHEN substr(lemma, 2, length(lemma) - 2) = 'NUM' THEN 'NUMBER' ELSE lower(lemma) END AS w FROM ann2)
-SELECT doc_id, sent_no, string_agg(w, ' ' ORDER BY tok_no) AS sentence FROM w WHERE w IS NOT NULL
-GROUP BY doc_id, sent_no
+             WHEN substr(lemma, 2, length(lemma) - 2) = 'NUM' THEN 'NUMBER' ELSE lower(lemma) END AS w FROM ann2),
+norm AS (SELECT doc_id, sent_no, coalesce(string_agg(w, ' ' ORDER BY tok_no), '') AS sentence FROM w
+         GROUP BY doc_id, sent_no)
+"""
+
+
+def folded_sql(sentences: str, step: str) -> str:
+    """``sentences`` with ``step(acc, class, text)`` applied for each entity in order."""
+    return f"""
+SELECT n.doc_id, n.sent_no, coalesce(list_reduce(ents, lambda acc, x: {step}, sentence), sentence) AS sentence
+FROM {sentences} n LEFT JOIN (
+  SELECT doc_id, sent_no, list(ent_type || chr(1) || text ORDER BY tok_no) AS ents FROM ann2 WHERE ent_type <> ''
+  GROUP BY doc_id, sent_no) e ON n.doc_id = e.doc_id AND n.sent_no = e.sent_no
+"""
+
+
+ENT, ENT_CLASS = "split_part(x, chr(1), 2)", "split_part(x, chr(1), 1)"
+SUBSTITUTED_SQL = folded_sql("norm", f"""replace(acc, ' ' || {ENT} || ' ', CASE {ENT_CLASS}
+  WHEN 'CARDINAL' THEN ' {tx.ENTITY_WORDS['CARDINAL']} ' ELSE ' {tx.ENTITY_WORDS['PERSON']} ' END)""")
+SUFFIX1_SQL = folded_sql("s", f"""CASE WHEN lower({ENT}) = {ENT} AND upper({ENT}) <> {ENT}
+  THEN replace(acc, ' ' || {ENT} || ' ', ' ' || {ENT_CLASS} || '1 ')
+  ELSE replace(replace(acc, ' ' || {ENT} || ' ', ' ' || {ENT_CLASS} || '1 '),
+               ' ' || lower({ENT}) || ' ', ' ' || {ENT_CLASS} || '1 ') END""")
+
+
+@register("normalize_tokens", f"""
+WITH {ANN_SQL}, {NORM_SQL}
+SELECT doc_id, sent_no, sentence FROM norm
 """)
 def _normalize_tokens(spark, d):
     ann, _ = an.lexicon_annotations(co.split_sentences(load(spark, d, "documents")))
     return an.normalize_tokens(ann)
 
 
-@register("substitute_entities")
+@register("substitute_entities", f"""
+WITH {ANN_SQL}, {NORM_SQL}
+SELECT doc_id, sent_no, trim(regexp_replace(sentence, '{tx.SPACE}{tx.SPACE}+', ' ', 'g')) AS sentence FROM ({SUBSTITUTED_SQL})
+""")
 def _substitute_entities(spark, d):
     ann, ents = an.lexicon_annotations(co.split_sentences(load(spark, d, "documents")))
     return an.substitute_entities(an.normalize_tokens(ann), ents)
 
 
-@register("tag_tokens_suffix1")
+@register("tag_tokens_suffix1", f"""
+WITH sub AS (WITH {ANN_SQL} {SUFFIX1_SQL}),
+{ann_sql("SELECT * FROM sub")},
+t AS (SELECT doc_id, sent_no, CAST(tok_no AS BIGINT) AS tok_no, CASE WHEN right(text, 1) = '1' THEN text
+        WHEN pos = 'PROPN' THEN '{tx.POS_WORDS_SUFFIX1['PROPN']}' WHEN pos = 'PRON' THEN '{tx.POS_WORDS_SUFFIX1['PRON']}'
+        WHEN pos = 'NUM' THEN '{tx.POS_WORDS_SUFFIX1['NUM']}' WHEN pos <> 'PUNCT' THEN lower(lemma) END AS token FROM ann2)
+SELECT * FROM t WHERE token IS NOT NULL
+""")
 def _tag_tokens_suffix1(spark, d):
     sents = co.split_sentences(load(spark, d, "documents"))
     ann, ents = an.lexicon_annotations(sents)

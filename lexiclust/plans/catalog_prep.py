@@ -10,6 +10,7 @@ from ..operators import corpus as co
 from ..operators import lookup as lk
 from ..operators import sampling as sp
 from ..operators import stats as st
+from ..operators.ordering import global_index
 from . import sqlgen as q
 from .catalog import register
 from .catalog_text import BENCH_VOCAB_SQL, CLEAN_TOKENS_SQL, FILTER_TOKENS_SQL, LINES_SQL
@@ -25,23 +26,37 @@ def bench_vocab(spark, d):
 
 
 def keyed_vectors(spark, d):
-    """Keyed vectors from the given tables: the benchmark vocabulary (sorted)
-    zipped with the embedding rows (by ``vec_id``) -> ``(idx, word, vec_id, embedding)``."""
-    e = load(spark, d, "embeddings").select("vec_id", "embedding")
-    return lk.zip_by_position(bench_vocab(spark, d), ["word"], e, ["vec_id"])
+    """Keyed vectors from the given tables, one for every word of the benchmark
+    vocabulary: word number ``idx`` (sorted) gets embedding row ``idx mod n``
+    (by ``vec_id``), its elements rotated by ``idx div n`` places so that no two
+    words share a vector -> ``(idx, word, vec_id, embedding)``."""
+    words = global_index(bench_vocab(spark, d), ["word"], "idx")
+    rows = global_index(load(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "_row")
+    n = max(rows.count(), 1)
+    size = F.size("embedding")
+    by = F.pmod(F.floor(F.col("idx") / n), size).cast("int")
+    turned = F.concat(F.slice("embedding", by + 1, size), F.slice("embedding", F.lit(1), by))
+    return words.join(rows, F.col("idx") % n == F.col("_row")).select("idx", "word", "vec_id", turned.alias("embedding"))
 
 
 KEYED_SQL = f"""
-SELECT CAST(v.idx AS BIGINT) AS idx, word, vec_id FROM
-  (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM ({BENCH_VOCAB_SQL})) v
-  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings) e ON v.idx = e.idx
+SELECT CAST(v.idx AS BIGINT) AS idx, word, vec_id, list_concat(e.embedding[turn + 1:], e.embedding[1:turn]) AS embedding FROM
+  (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx, (SELECT count(*) FROM embeddings) AS n
+   FROM ({BENCH_VOCAB_SQL})) v
+  JOIN (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings) e0 ON v.idx % n = e0.row
+  JOIN LATERAL (SELECT e0.embedding, CAST((v.idx // v.n) % len(e0.embedding) AS BIGINT) AS turn) e ON true
 """
-DEFAULT_WORD = "a"  # in the zipped vocabulary at every scale (sorted first)
+DEFAULT_WORD = "a"  # in the vocabulary at every scale (sorted first)
 
 
-@register("zip_by_position", KEYED_SQL)
+@register("zip_by_position", f"""
+SELECT CAST(v.idx AS BIGINT) AS idx, word, vec_id FROM
+  (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM ({BENCH_VOCAB_SQL})) v
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings) e ON v.idx = e.idx
+""")
 def _zip_by_position(spark, d):
-    return keyed_vectors(spark, d).select("idx", "word", "vec_id")
+    e = load(spark, d, "embeddings").select("vec_id")
+    return lk.zip_by_position(bench_vocab(spark, d), ["word"], e, ["vec_id"]).select("idx", "word", "vec_id")
 
 
 @register("embed_tokens_default", f"""
@@ -103,7 +118,7 @@ SPLIT_SQL = f"""
 SELECT doc_id, sent_no, sentence, CASE
     WHEN r < floor(0.8 * n) THEN 'train'
     WHEN r < floor(0.8 * n) + floor(0.1 * n) THEN 'val'
-    WHEN r < floor(0.8 * n) + 2 * floor(0.1 * n) THEN 'test' END AS split
+    ELSE 'test' END AS split
 FROM (SELECT *, row_number() OVER (ORDER BY {q.hash_key(1984, 'doc_id', 'sent_no')}, doc_id, sent_no) - 1 AS r,
              count(*) OVER () AS n FROM ({SENT_SQL}))
 """
@@ -133,11 +148,9 @@ def _split_stats(spark, d):
 
 
 @register("split_80_20", f"""
-SELECT vec_id, CASE WHEN r < floor(0.8 * n) THEN 'train' WHEN r < floor(0.8 * n) + floor(0.2 * n) THEN 'test' END
-       AS split
+SELECT vec_id, CASE WHEN r < floor(0.8 * n) THEN 'train' ELSE 'test' END AS split
 FROM (SELECT vec_id, row_number() OVER (ORDER BY {q.hash_key(7, 'vec_id')}, vec_id) - 1 AS r, count(*) OVER () AS n
       FROM embeddings)
-WHERE r < floor(0.8 * n) + floor(0.2 * n)
 """)
 def _split_80_20(spark, d):
     e = load(spark, d, "embeddings").select("vec_id")

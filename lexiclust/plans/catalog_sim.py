@@ -17,13 +17,12 @@ from ..operators.ordering import global_index
 from . import sqlgen as q
 from .catalog import register
 from .catalog_cluster import sig_sql
-from .catalog_prep import BENCH_VOCAB_SQL, FILTER_TOKENS_SQL, KEYED_SQL, bench_vocab
+from .catalog_prep import BENCH_VOCAB_SQL, FILTER_TOKENS_SQL, KEYED_SQL, bench_vocab, keyed_vectors
 
 
 def kv(spark, d):
-    e = load(spark, d, "embeddings").select("vec_id", "embedding")
-    return lk.zip_by_position(bench_vocab(spark, d), ["word"], e, ["vec_id"]).select("idx", "word", "vec_id",
-                                                                                       "embedding")
+    """Keyed vectors under the word's own number as ``vec_id``."""
+    return keyed_vectors(spark, d).select("idx", "word", F.col("idx").alias("vec_id"), "embedding")
 
 
 def analogies(spark, d):
@@ -36,8 +35,7 @@ def analogies(spark, d):
 
 
 SIM_SQL = f"""
-kv AS (SELECT k.word, k.vec_id, CAST(e.embedding AS DOUBLE[]) AS v FROM ({KEYED_SQL}) k JOIN embeddings e
-       ON e.vec_id = k.vec_id),
+kv AS MATERIALIZED (SELECT word, idx AS vec_id, CAST(embedding AS DOUBLE[]) AS v FROM ({KEYED_SQL})),
 kvl AS (SELECT word, vec_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM kv),
 nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS nr FROM kvl GROUP BY vec_id),
 ul AS (SELECT kvl.word, kvl.vec_id, dim, x / nr AS u FROM kvl JOIN nrm ON kvl.vec_id = nrm.vec_id),
@@ -134,7 +132,7 @@ def word_pairs(spark, d):
 
 @register("word_pair_eval", f"""
 WITH {SIM_SQL},{PAIRS_SQL},
-j AS (SELECT pp.w1, pp.w2, pp.score, list_cosine_similarity(a.v, b.v) AS sim FROM pp JOIN kv a ON a.word = pp.w1
+j AS (SELECT pp.w1, pp.w2, pp.score, round(list_cosine_similarity(a.v, b.v), 12) AS sim FROM pp JOIN kv a ON a.word = pp.w1
       JOIN kv b ON b.word = pp.w2),
 r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs,
              rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2.0 AS rc FROM j)

@@ -9,7 +9,7 @@ writer funnels the data through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import global_index
@@ -29,10 +29,13 @@ def scan_corpus_files(spark: SparkSession, pattern: str) -> DataFrame:
     part_author = F.regexp_extract(path, "/author=([^/]+)/", 1)
     part_title = F.regexp_extract(path, "/title=([^/]+)/", 1)
     title = F.when(part_title != "", part_title).otherwise(base)
+    # the text sink ends its one row with a line end that is not the text's
+    own = F.when((part_title != "") & F.col("value").endswith("\n"),
+                 F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     return df.select(path.alias("path"),
                      F.when(part_author != "", part_author).otherwise(parent).alias("author"),
                      F.regexp_extract(title, r"\((.*?)\)", 1).alias("style"),
-                     title.alias("name"), F.col("value").alias("text"))
+                     title.alias("name"), own.alias("text"))
 
 
 def scan_text_lines(spark: SparkSession, pattern: str) -> DataFrame:
@@ -42,36 +45,91 @@ def scan_text_lines(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def scan_keyed_vectors(spark: SparkSession, pattern: str) -> DataFrame:
-    """word2vec text format -> ``(word, embedding array<float>)``; the
-    ``count dim`` header line is skipped."""
-    lines = spark.read.text(pattern)
+    """word2vec text format -> ``(word, embedding array<float>)``.  The first
+    line of the first file is the ``count dim`` header; a header or line of
+    another form raises."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("_file"))
+    first = lines.agg(F.min("_file")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "word string, embedding array<float>")
+    head = spark.read.text(first).first()["value"]
+    pieces = head.split(" ")
+    if len(pieces) != 2 or not all(p.isdigit() for p in pieces):
+        raise ValueError(f"no 'count dim' header: {head[:40]!r}")
+    dim = int(pieces[1])
+    like_head = (F.col("_file") == first) & (F.col("value") == head)
+    body = lines.where(~like_head).select("value")
+    again = lines.where(like_head).count() - 1  # a 1-dimension line may equal the header
+    if again:
+        body = body.unionByName(spark.range(again).select(F.lit(head).alias("value")))
     parts = F.split(F.trim("value"), " ")
-    body = lines.where(F.size(parts) > 2)
-    return body.select(F.element_at(parts, 1).alias("word"),
-                       F.slice(parts, 2, 1 << 30).cast("array<float>").alias("embedding"))
+    checked = F.when(F.size(parts) == dim + 1, parts).otherwise(
+        F.raise_error(F.concat(F.lit(f"not a word and {dim} numbers: "), F.substring("value", 1, 40))))
+    return (body.select(checked.alias("_p"))
+            .select(F.element_at("_p", 1).alias("word"), F.slice("_p", 2, max(dim, 1)).cast("array<float>").alias("embedding")))
 
 
 def sink_keyed_vectors(df: DataFrame, path: str, word_col: str = "word", vec_col: str = "embedding",
-                       order_col: str | None = None, parts: int = 8) -> None:
-    """word2vec text format: a ``count dim`` header, then ``word f1 ... fd``.
-    The header gets order key -1 so it is the first line of the first part."""
+                       order_col: str | None = None) -> None:
+    """word2vec text format: a ``count dim`` header, then ``word f1 ... fd`` in
+    the order of ``order_col`` (by its own type; default: the word)."""
     order = F.col(order_col) if order_col else F.col(word_col)
-    n = df.count()
-    d = df.agg(F.max(F.size(vec_col))).first()[0] or 0
-    body = df.select(order.cast("string").alias("_k"), F.lit(1).alias("_h"),
+    n, d = df.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    body = df.select(F.lit(1).alias("_h"), order.alias("_k"),
                      F.concat_ws(" ", F.col(word_col), F.concat_ws(" ", F.col(vec_col).cast("array<string>")))
                      .alias("value"))
-    head = df.sparkSession.createDataFrame([("", 0, f"{n} {d}")], "_k string, _h int, value string")
-    out = head.unionByName(body).repartitionByRange(parts, "_h", "_k").sortWithinPartitions("_h", "_k")
+    kind = body.schema["_k"].dataType
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_h"), F.lit(None).cast(kind).alias("_k"),
+                                           F.lit(f"{n} {d or 0}").alias("value"))
+    out = head.unionByName(body).repartitionByRange("_h", "_k").sortWithinPartitions("_h", "_k")
     out.select("value").write.mode("overwrite").text(path)
 
 
+def sink_analogies(df: DataFrame, path: str, section_col: str = "section", order_col: str = "qid",
+                   word_cols: tuple[str, ...] = ("w0", "w1", "w2", "w3")) -> None:
+    """Analogy text format: a ``: section`` line, then four words a line; a
+    section is never split over files."""
+    body = df.select(F.col(section_col).cast("string").alias("_s"), F.col(order_col).alias("_o"),
+                     F.concat_ws(" ", *word_cols).alias("value"))
+    head = df.select(F.col(section_col).cast("string").alias("_s")).distinct().select(
+        "_s", F.lit(None).cast(body.schema["_o"].dataType).alias("_o"), F.concat(F.lit(": "), F.col("_s")).alias("value"))
+    out = head.unionByName(body).repartitionByRange("_s").sortWithinPartitions("_s", "_o")
+    out.select("value").write.mode("overwrite").text(path)
+
+
+def scan_analogies(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(section, a, b, c, d)`` of analogy files; a line that is neither a
+    section nor four words raises.  Words before any section have section null."""
+    lines = spark.read.text(pattern, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("no", "line"),
+                                                            F.col("_metadata.file_path").alias("file"))
+    lines = lines.select("file", "no", F.trim(F.regexp_replace("line", "\t|\r", " ")).alias("line")).where("line <> ''")
+    lines = lines.withColumn("head", F.when(F.col("line").startswith(":"), F.trim(F.substring("line", 2, 1 << 30))))
+    inside = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("section", F.last("head", ignorenulls=True).over(inside)).where("head IS NULL")
+    w = F.split("line", " +")
+    w = F.when(F.size(w) == 4, w).otherwise(F.raise_error(F.concat(F.lit("not four words: "), F.col("line"))))
+    return lines.select("section", w.alias("w")).select("section", *[F.col("w")[i].alias(n) for i, n in enumerate("abcd")])
+
+
+def scan_word_pairs(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(a, b, score)`` of word-pair files: two words and a number, parted by
+    tabs, commas or blanks; ``#`` lines are comments."""
+    line = F.trim("value")
+    rows = spark.read.text(pattern).where((line != "") & ~line.startswith("#")).select(F.split(line, "[\t, ]+").alias("w"))
+    w = F.when(F.size("w") == 3, F.col("w")).otherwise(F.raise_error(F.lit("not two words and a number")))
+    return rows.select(w.alias("w")).select(F.col("w")[0].alias("a"), F.col("w")[1].alias("b"), F.col("w")[2].cast("double").alias("score"))
+
+
 def scan_vector_matrix(spark: SparkSession, matrix_path: str, vocab_path: str) -> DataFrame:
     """Matrix rows (Parquet ``vec_id, embedding``) zipped with a vocabulary
-    file (one word per line, file order): ``(idx, word, vec_id, embedding)``."""
+    (one word per line, in the order of file names and lines):
+    ``(idx, word, vec_id, embedding)``."""
     m = spark.read.parquet(matrix_path)
-    v = spark.read.text(vocab_path).withColumn("_line", F.monotonically_increasing_id())
-    vi = global_index(v, ["_line"], "idx").select("idx", F.col("value").alias("word"))
+    # a split is read in line order; files and splits are ordered by path and offset
+    v = spark.read.text(vocab_path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                           F.col("_metadata.file_block_start").alias("_at"),
+                                           F.monotonically_increasing_id().alias("_line"))
+    vi = global_index(v, ["_file", "_at", "_line"], "idx").select("idx", F.col("value").alias("word"))
     mi = global_index(m, ["vec_id"], "idx")
     return vi.join(mi, "idx")
 
@@ -81,9 +139,9 @@ def sink_vectors(df: DataFrame, path: str) -> None:
 
 
 def sink_sentences(df: DataFrame, path: str, split_col: str = "split", text_col: str = "sentence",
-                   order_cols: tuple[str, ...] = ("doc_id", "sent_no"), parts: int = 8) -> None:
+                   order_cols: tuple[str, ...] = ("doc_id", "sent_no")) -> None:
     """One sentence per line under ``split=<name>/`` folders, in order."""
-    out = df.repartitionByRange(parts, split_col, *order_cols).sortWithinPartitions(split_col, *order_cols)
+    out = df.repartitionByRange(split_col, *order_cols).sortWithinPartitions(split_col, *order_cols)
     out.select(split_col, F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(split_col).text(path)
 
 
@@ -114,11 +172,11 @@ def sink_corpus_files(df: DataFrame, path: str, author_col: str = "author", titl
 
 def sink_mirrored_layout(df: DataFrame, root: str, path_col: str = "path", author_col: str = "author",
                          text_col: str = "text", src: str = "EnLit", dst: str = "EnLitPreprocessed") -> None:
-    """Cleaned texts under the mirrored root: the source path's ``src``
-    folder becomes ``dst`` (kept as a column), partitioned by author."""
-    df.select(F.col(author_col).alias("author"), mirrored_path(F.col(path_col), src, dst).alias("mirrored"),
-              F.col(text_col).alias("value")) \
-        .write.mode("overwrite").partitionBy("author").parquet(root)
+    """Cleaned texts as files under the mirrored root ``<root>/<dst>``, one
+    folder per author and mirrored file name."""
+    name = F.element_at(F.split(mirrored_path(F.col(path_col), src, dst), "/"), -1)
+    sink_corpus_files(df.select(F.col(author_col).alias("author"), name.alias("title"), F.col(text_col).alias("text")),
+                      f"{root.rstrip('/')}/{dst}")
 
 
 def roundtrip_equal(a: DataFrame, b: DataFrame) -> DataFrame:
