@@ -29,8 +29,10 @@ CONTRACTION_RULES = [
 ]
 # Characters kept by the symbol filter: word characters and . ? ! ;
 SYMBOL_FILTER = r"[^\p{L}\p{N}_.?!;]"
+# White space as Unicode has it (\s of Java and of RE2 is ASCII only).
+SPACE = (r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # Sentence delimiter of the plain splitter.
-SENTENCE_DELIMS = r"[.;!?]\s*"
+SENTENCE_DELIMS = r"[.;!?]" + SPACE + "*"
 # Delimiter kept by the delimiter-keeping splitter.
 KEPT_DELIMS = r"([.;!?] *)"
 # Rule-based sentence splitter pieces.
@@ -39,9 +41,32 @@ RULE_DIGITS = "([0-9])"
 RULE_PREFIXES = "(Mr|St|Mrs|Ms|Dr)[.]"
 RULE_SUFFIXES = "(Inc|Ltd|Jr|Sr|Co)"
 RULE_STARTERS = (r"(Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s"
-                 r"|However\s|That\s|This\s|Wherever)")
+                 r"|However\s|That\s|This\s|Wherever)").replace(r"\s", SPACE)
 RULE_ACRONYMS = "([A-Z][.][A-Z][.](?:[A-Z][.])?)"
 RULE_WEBSITES = "[.](com|net|org|io|gov)"
+# Steps of the rule-based splitter in their order: (kind, what, replacement).
+RULE_STEPS = [
+    ("text", "\n", " "),
+    ("pattern", RULE_PREFIXES, "$1<prd>"),
+    ("pattern", RULE_WEBSITES, "<prd>$1"),
+    ("text", "Ph.D.", "Ph<prd>D<prd>"),
+    ("pattern", SPACE + RULE_ALPHABETS + "[.] ", " $1<prd> "),
+    ("pattern", RULE_ACRONYMS + " " + RULE_STARTERS, "$1<stop> $2"),
+    ("pattern", "[.]".join([RULE_ALPHABETS] * 3) + "[.]", "$1<prd>$2<prd>$3<prd>"),
+    ("pattern", "[.]".join([RULE_ALPHABETS] * 2) + "[.]", "$1<prd>$2<prd>"),
+    ("pattern", RULE_DIGITS + "[.]" + RULE_DIGITS, "$1<prd>$2"),
+    ("pattern", " " + RULE_SUFFIXES + "[.] " + RULE_STARTERS, " $1<stop> $2"),
+    ("pattern", " " + RULE_SUFFIXES + "[.]", " $1<prd>"),
+    ("pattern", " " + RULE_ALPHABETS + "[.]", " $1<prd>"),
+    ("text", ".”", "”."),
+    ("text", ".\"", "\"."),
+    ("text", "!\"", "\"!"),
+    ("text", "?\"", "\"?"),
+    ("text", ".", ".<stop>"),
+    ("text", "?", "?<stop>"),
+    ("text", "!", "!<stop>"),
+    ("text", "<prd>", "."),
+]
 # ASCII punctuation (Python's string.punctuation) for the token filter chain.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Entity label -> replacement word (18 classes).
@@ -107,32 +132,16 @@ def capitalized_pieces(col) -> Column:
 
 
 def pystrip(col) -> Column:
-    """Python ``str.strip()`` (ASCII whitespace)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Python ``str.strip()``."""
+    return F.regexp_replace(_c(col), f"\\A{SPACE}+|{SPACE}+\\z", "")
 
 
 def rule_sentence_split(col) -> Column:
     """Rule-based splitter: protects titles, acronyms, decimals, web names...;
     breaks after . ? !, drops the final fragment, strips each sentence."""
     t = F.concat(F.lit(" "), _c(col), F.lit("  "))
-    t = F.regexp_replace(t, "\n", " ")
-    t = F.regexp_replace(t, RULE_PREFIXES, "$1<prd>")
-    t = F.regexp_replace(t, RULE_WEBSITES, "<prd>$1")
-    t = F.replace(t, F.lit("Ph.D."), F.lit("Ph<prd>D<prd>"))
-    t = F.regexp_replace(t, r"\s" + RULE_ALPHABETS + "[.] ", " $1<prd> ")
-    t = F.regexp_replace(t, RULE_ACRONYMS + " " + RULE_STARTERS, "$1<stop> $2")
-    t = F.regexp_replace(t, RULE_ALPHABETS + "[.]" + RULE_ALPHABETS + "[.]" + RULE_ALPHABETS + "[.]",
-                         "$1<prd>$2<prd>$3<prd>")
-    t = F.regexp_replace(t, RULE_ALPHABETS + "[.]" + RULE_ALPHABETS + "[.]", "$1<prd>$2<prd>")
-    t = F.regexp_replace(t, RULE_DIGITS + "[.]" + RULE_DIGITS, "$1<prd>$2")
-    t = F.regexp_replace(t, " " + RULE_SUFFIXES + "[.] " + RULE_STARTERS, " $1<stop> $2")
-    t = F.regexp_replace(t, " " + RULE_SUFFIXES + "[.]", " $1<prd>")
-    t = F.regexp_replace(t, " " + RULE_ALPHABETS + "[.]", " $1<prd>")
-    for a, b in ((".”", "”."), (".\"", "\"."), ("!\"", "\"!"), ("?\"", "\"?")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    for p in (".", "?", "!"):
-        t = F.replace(t, F.lit(p), F.lit(p + "<stop>"))
-    t = F.replace(t, F.lit("<prd>"), F.lit("."))
+    for kind, what, by in RULE_STEPS:
+        t = F.replace(t, F.lit(what), F.lit(by)) if kind == "text" else F.regexp_replace(t, what, by)
     pieces = F.split(t, "<stop>")
     kept = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.transform(kept, pystrip)
@@ -144,19 +153,19 @@ def normalize_filters(col) -> Column:
     t = F.lower(_c(col))
     t = F.regexp_replace(t, "<([^>]+)>", "")
     t = F.regexp_replace(t, _PUNCT_CLASS + "+", " ")
-    t = F.regexp_replace(t, r"(\s)+", " ")
+    t = F.regexp_replace(t, SPACE + "+", " ")
     t = F.regexp_replace(t, "[0-9]+", "")
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(t, SPACE + "+"), lambda w: w != "")
 
 
 def words(col) -> Column:
     """Python ``str.split()``: whitespace split, empty pieces dropped."""
-    return F.filter(F.split(_c(col), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_c(col), SPACE + "+"), lambda w: w != "")
 
 
 def wc_regex_split(col) -> Column:
     """``len(re.split(r'\\s+', t))``: empty edge pieces count."""
-    return F.size(F.split(_c(col), r"\s+", -1))
+    return F.size(F.split(_c(col), SPACE + "+", -1))
 
 
 def wc_split(col) -> Column:
@@ -171,7 +180,7 @@ def wc_spaces(col) -> Column:
 def clean_book_text(col) -> Column:
     """Blank-line runs -> one newline, space runs -> one space, then every
     line prefixed by a space."""
-    t = F.regexp_replace(_c(col), r"\n\s*\n", "\n")
+    t = F.regexp_replace(_c(col), "\n" + SPACE + "*\n", "\n")
     t = F.regexp_replace(t, " +", " ")
     return F.concat(F.lit(" "), F.replace(t, F.lit("\n"), F.lit("\n ")))
 

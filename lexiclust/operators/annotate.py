@@ -61,9 +61,9 @@ def normalize_tokens(ann: DataFrame, id_col: str = "doc_id", sent_col: str = "se
             .when(F.col("pos").isin(*tx.POS_WORDS), _pos_map(F.col("pos"), tx.POS_WORDS))
             .when(inner.isin(*tx.POS_WORDS), _pos_map(inner, tx.POS_WORDS))
             .otherwise(F.lower("lemma")))
-    w = ann.select(id_col, sent_col, "tok_no", word.alias("w")).where(F.col("w").isNotNull())
+    w = ann.select(id_col, sent_col, "tok_no", word.alias("w"))  # a sentence without kept tokens stays, empty
     g = w.groupBy(id_col, sent_col).agg(F.array_sort(F.collect_list(F.struct("tok_no", "w"))).alias("_t"))
-    return g.select(id_col, sent_col, F.array_join(F.transform("_t", lambda s: s["w"]), " ").alias("sentence"))
+    return g.select(id_col, sent_col, F.array_join(F.transform("_t", lambda s: s["w"]), " ").alias("sentence"))  # nulls drop out
 
 
 def substitute_entities(normalized: DataFrame, ents: DataFrame, id_col: str = "doc_id",
@@ -78,7 +78,7 @@ def substitute_entities(normalized: DataFrame, ents: DataFrame, id_col: str = "d
     folded = F.aggregate(F.coalesce(F.col("_e"), F.array().cast(eg.schema["_e"].dataType)), F.col("sentence"),
                          lambda acc, x: F.replace(acc, F.concat(F.lit(" "), x["t"], F.lit(" ")),
                                                   F.concat(F.lit(" "), F.coalesce(x["c"], x["t"]), F.lit(" "))))
-    return j.select(id_col, sent_col, F.trim(F.regexp_replace(folded, r"\s\s+", " ")).alias("sentence"))
+    return j.select(id_col, sent_col, F.trim(F.regexp_replace(folded, tx.SPACE + tx.SPACE + "+", " ")).alias("sentence"))
 
 
 def substitute_entities_suffix1(text_df: DataFrame, ents: DataFrame, id_col: str = "doc_id",

@@ -167,12 +167,7 @@ def char_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for doc, text in zip(pdf[id_col], pdf[text_col]):
                 if text is None:
                     continue
-                first = {}
-                for i, c in enumerate(text):
-                    if c not in first:
-                        first[c] = i
-                cnt = Counter(text)
-                rows.extend((doc, c, cnt[c], p) for c, p in first.items())
+                rows.extend((doc, c, n, text.find(c)) for c, n in Counter(text).items())
             yield pd.DataFrame(rows, columns=[id_col, "ch", "n", "p"])
 
     from collections import Counter
@@ -184,6 +179,23 @@ def char_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         F.col("cnt").cast("long").alias("cnt"))
 
 
+def char_sequence(df: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, char_ids)``: every text as the sequence of its characters' ids in
+    ``index(ch, char_id)`` (one row per character: bounded by the character
+    set); characters that the index lacks become null."""
+    known = index.agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("char_id").cast("long")))).alias("_map"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ids = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.try_element_at(F.col("_map"), c))
+    return df.select(id_col, text_col).withColumn("_map", known.scalar()).select(id_col, ids.alias("char_ids"))
+
+
+def char_text(sequences: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, text)``: the inverse of ``char_sequence``."""
+    known = index.agg(F.map_from_entries(F.collect_list(F.struct(F.col("char_id").cast("long"), "ch"))).alias("_map"))
+    chars = F.transform("char_ids", lambda i: F.try_element_at(F.col("_map"), i))
+    return sequences.withColumn("_map", known.scalar()).select(id_col, F.array_join(chars, "").alias("text"))
+
+
 def extract_path_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Folder / name parts of a path or URL: host, path, base name."""
     u = F.col(url_col)

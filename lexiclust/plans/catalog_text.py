@@ -15,7 +15,7 @@ def doc_path():
     return F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"),
                     F.lit(" ("), F.col("lang"), F.lit(").txt"))
 DOC_PATH_SQL = "(source || '/doc' || CAST(doc_id AS VARCHAR) || ' (' || lang || ').txt')"
-WC_RE_SQL = "CAST(len(regexp_split_to_array(text, '\\s+')) AS BIGINT)"
+WC_RE_SQL = f"CAST(len(regexp_split_to_array(text, '{tx.SPACE}+')) AS BIGINT)"
 CLEAN_TOKENS_SQL = f"SELECT doc_id, unnest({q.clean_tokens('text')}) AS token FROM documents"
 FILTER_TOKENS_SQL = (f"SELECT doc_id, CAST(tok_no AS BIGINT) AS tok_no, token FROM ("
                      f"SELECT doc_id, {q.posexplode(q.normalize_filters('text'), 'token', 'tok_no')} FROM documents)")
@@ -272,7 +272,7 @@ def _normalize_filters(spark, d):
 
 @register("clean_book_text", """
 SELECT source AS author, doc_id,
-       ' ' || replace(regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(10), 'g'), ' +', ' ', 'g'),
+       ' ' || replace(regexp_replace(regexp_replace(text, '\\n{tx.SPACE}*\\n', chr(10), 'g'), ' +', ' ', 'g'),
                       chr(10), chr(10) || ' ') AS text
 FROM documents
 """)
@@ -301,18 +301,38 @@ def _word_count_variants(spark, d):
                                  tx.wc_spaces("text").cast("long").alias("wc_spaces"))
 
 
-@register("char_index", """
+CHAR_INDEX_SQL = """
 WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(len(string_split(text, '')))) AS p
            FROM documents),
 a AS (SELECT ch, count(*) AS cnt, min(doc_id) AS fd FROM c WHERE ch <> '' GROUP BY ch),
 f AS (SELECT a.ch, a.cnt, a.fd, min(c.p) AS fp FROM a JOIN c ON c.ch = a.ch AND c.doc_id = a.fd
       GROUP BY a.ch, a.cnt, a.fd)
 SELECT ch, CAST(row_number() OVER (ORDER BY cnt DESC, fd, fp) - 1 AS BIGINT) AS char_id, cnt FROM f
-""")
+"""
+
+
+@register("char_index", CHAR_INDEX_SQL)
 def _char_index(spark, d):
     return co.char_index(docs(spark, d))
 
 
+@register("char_sequence", f"""
+WITH idx AS ({CHAR_INDEX_SQL}),
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(len(string_split(text, '')))) AS p FROM documents),
+t AS (SELECT doc_id, count(*) AS n_chars, md5(string_agg(CAST(char_id AS VARCHAR), ' ' ORDER BY p)) AS ids_md5
+      FROM c JOIN idx ON c.ch = idx.ch WHERE c.ch <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(t.n_chars, 0) AS n_chars, coalesce(ids_md5, md5('')) AS ids_md5, md5(text) AS text_md5
+FROM documents LEFT JOIN t USING (doc_id)
+""")
+def _char_sequence(spark, d):
+    index = co.char_index(docs(spark, d))
+    seq = co.char_sequence(docs(spark, d), index)
+    back = co.char_text(seq, index).select("doc_id", F.md5("text").alias("text_md5"))
+    ids = F.md5(F.array_join(F.transform("char_ids", lambda i: i.cast("string")), " "))
+    return seq.select("doc_id", F.size("char_ids").cast("long").alias("n_chars"), ids.alias("ids_md5")).join(back, "doc_id")
+
+
+
 @register("distinct_words", f"""
 SELECT count(DISTINCT token) AS n_distinct FROM ({CLEAN_TOKENS_SQL})
 """)

@@ -37,42 +37,29 @@ def clean_tokens(e: str) -> str:
 
 
 def words(e: str) -> str:
-    return f"list_filter(regexp_split_to_array({e}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({e}, '{tx.SPACE}+'), lambda w: w <> '')"
 
 
 def normalize_filters(e: str) -> str:
     t = f"lower({e})"
     t = f"regexp_replace({t}, '<([^>]+)>', '', 'g')"
     t = f"regexp_replace({t}, {lit(tx._PUNCT_CLASS + '+')}, ' ', 'g')"
-    t = f"regexp_replace({t}, '(\\s)+', ' ', 'g')"
+    t = f"regexp_replace({t}, '{tx.SPACE}+', ' ', 'g')"
     t = f"regexp_replace({t}, '[0-9]+', '', 'g')"
-    return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({t}, '{tx.SPACE}+'), lambda w: w <> '')"
 
 
 def pystrip(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({e}, '\\A{tx.SPACE}+|{tx.SPACE}+\\z', '', 'g')"
 
 
 def rule_sentence_split(e: str) -> str:
     t = f"(' ' || {e} || '  ')"
-    t = f"replace({t}, chr(10), ' ')"
-    t = f"regexp_replace({t}, {lit(tx.RULE_PREFIXES)}, '\\1<prd>', 'g')"
-    t = f"regexp_replace({t}, {lit(tx.RULE_WEBSITES)}, '<prd>\\1', 'g')"
-    t = f"replace({t}, 'Ph.D.', 'Ph<prd>D<prd>')"
-    t = f"regexp_replace({t}, {lit(chr(92) + 's' + tx.RULE_ALPHABETS + '[.] ')}, ' \\1<prd> ', 'g')"
-    t = f"regexp_replace({t}, {lit(tx.RULE_ACRONYMS + ' ' + tx.RULE_STARTERS)}, '\\1<stop> \\2', 'g')"
-    a = tx.RULE_ALPHABETS
-    t = f"regexp_replace({t}, {lit(a + '[.]' + a + '[.]' + a + '[.]')}, '\\1<prd>\\2<prd>\\3<prd>', 'g')"
-    t = f"regexp_replace({t}, {lit(a + '[.]' + a + '[.]')}, '\\1<prd>\\2<prd>', 'g')"
-    t = f"regexp_replace({t}, {lit(tx.RULE_DIGITS + '[.]' + tx.RULE_DIGITS)}, '\\1<prd>\\2', 'g')"
-    t = f"regexp_replace({t}, {lit(' ' + tx.RULE_SUFFIXES + '[.] ' + tx.RULE_STARTERS)}, ' \\1<stop> \\2', 'g')"
-    t = f"regexp_replace({t}, {lit(' ' + tx.RULE_SUFFIXES + '[.]')}, ' \\1<prd>', 'g')"
-    t = f"regexp_replace({t}, {lit(' ' + a + '[.]')}, ' \\1<prd>', 'g')"
-    for x, y in ((".”", "”."), (".\"", "\"."), ("!\"", "\"!"), ("?\"", "\"?")):
-        t = f"replace({t}, {lit(x)}, {lit(y)})"
-    for p in (".", "?", "!"):
-        t = f"replace({t}, {lit(p)}, {lit(p + '<stop>')})"
-    t = f"replace({t}, '<prd>', '.')"
+    for kind, what, by in tx.RULE_STEPS:
+        if kind == "text":
+            t = f"replace({t}, {lit(what)}, {lit(by)})"
+        else:
+            t = f"regexp_replace({t}, {lit(what)}, {lit(by.replace('$', chr(92)))}, 'g')"
     return (f"list_transform(list_slice(string_split({t}, '<stop>'), 1, "
             f"len(string_split({t}, '<stop>')) - 1), lambda s: {pystrip('s')})")
 
