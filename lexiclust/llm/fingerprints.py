@@ -33,8 +33,8 @@ SHINGLE = 5
 BINS = 512
 LOW_BITS = 4
 #: documents of one range of ids, and the most ranges (more documents make them longer)
-RANGE_ROWS = 2000
-MOST_RANGES = 20_000
+RANGE_ROWS = 500
+MOST_RANGES = 100_000
 SEED = 7
 
 _rng = np.random.default_rng(SEED)
