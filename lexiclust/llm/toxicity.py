@@ -386,7 +386,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         from hashlib import md5
         kernel = WordKernel(model.marks) if model.marks else None
-        for rows in text_slices(batches, 6_000_000):
+        for rows in text_slices(batches, 4_000_000):
             margins = np.full(len(rows), model.bias)
             if kernel:
                 split, chunks = _words_of([t for _, t in rows])
