@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pairs as pr
 from . import vectors as vv
 from .validity import ClusterValidity
 
@@ -54,11 +55,7 @@ def cluster_stats(cv: ClusterValidity, stats: list[str] | None = None) -> DataFr
         elif s == "sd_scat":
             out.append(_out(s, big.join(cv.lab, "label"), F.col("var_norm")))
         elif s == "silhouette":
-            r = cv.rls
-            same = F.col("other_label") == F.col("label")
-            per = r.groupBy("vec_id", "label").agg(
-                F.max(F.when(same, F.try_divide(F.col("sum_dist"), F.col("n_other")))).alias("a"),
-                F.min(F.when(~same, F.try_divide(F.col("sum_dist"), F.col("n_other")))).alias("b"))
+            per = pr.scanned_rows(cv.scan).withColumnsRenamed({"own_mean": "a", "near_mean": "b"})
             sil = per.groupBy("label").agg(F.avg(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("m"))
             out.append(_out(s, big.join(sil, "label"), F.try_divide(F.col("m"), k_unique)))
         elif s == "db_score":

@@ -249,71 +249,112 @@ def label_pair_stats(df: DataFrame, label_col: str = "label", id_col: str = "vec
                       .otherwise(F.col("min_nz_dist")).alias("min_nz_dist"))
 
 
-def row_label_sums(df: DataFrame, label_col: str = "label", id_col: str = "vec_id",
-                   vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS,
-                   metric: str = "euclidean") -> DataFrame:
-    """``(id, label, other_label, sum_dist, n_other, max_dist, min_nz_dist)``:
-    for every row, its distances to the other rows of each label (self
-    excluded), reduced per label with one sort of the cell's columns."""
-    x, b = _cells(df, id_col, vec_col, [F.col(label_col).cast("long").alias("_lab")], block_rows)
-
-    def agg(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _split(pdf, b)
-        d = distances(_matrix(left), _matrix(right), metric=metric)
-        parts = []
-
-        def side(ids, labs, other_ids, other_labs, dm, self_block):
-            if dm.shape[0] == 0 or dm.shape[1] == 0:
+def label_scan(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
+               block_rows: int = DEFAULT_BLOCK_ROWS, step: int = 512) -> DataFrame:
+    """What the validity indices need of all pairs, in one streaming pass.
+
+    A task holds one block of rows while all rows stream by in label order; it
+    keeps running sums of the current label only.  Rows of two kinds come out:
+    ``pair`` = false: one per row, ``id, label, own_sum, own_n`` (other rows of
+    its label) and ``near`` (the least mean distance to another label);
+    ``pair`` = true: one per block and pair of labels, ``label, other, s, c, mx,
+    mn`` (ordered pairs of distinct rows; ``mn`` over distances above zero)."""
+    base = df.select(F.col(id_col).alias("_id"), F.col(label_col).cast("long").alias("_lab"),
+                     F.transform(vec_col, lambda v: v.cast("double")).alias("_v"))
+    n = base.count()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    b = max(1, min(n, max(math.ceil(n / block_rows), 2 * par)))
+    held = base.withColumn("_a", F.pmod(F.xxhash64("_id"), F.lit(b))).withColumn("_role", F.lit(0))
+    passing = base.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_role", F.lit(1))
+    x = held.unionByName(passing).repartition(b, "_a").sortWithinPartitions("_a", "_role", "_lab")
+    names = ["pair", "id", "label", "own_sum", "own_n", "near", "other", "s", "c", "mx", "mn"]
+
+    class Block:
+        """Running sums of one block's rows (sorted by label)."""
+
+        def __init__(self, rows: pd.DataFrame):
+            self.ids, self.labels, self.m = rows["_id"].to_numpy(), rows["_lab"].to_numpy(), _matrix(rows)
+            self.groups, self.starts = np.unique(self.labels, return_index=True)
+            self.own_sum, self.own_n = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+            self.near = np.full(len(rows), np.inf)
+            self.open = None  # label, sums, count, largest, least above zero
+            self.pairs = []
+
+        def add(self, labels: np.ndarray, m: np.ndarray):
+            d = distances(self.m, m)
+            cut = np.flatnonzero(np.append(True, labels[1:] != labels[:-1]))
+            sums, top = np.add.reduceat(d, cut, axis=1), np.maximum.reduceat(d, cut, axis=1)
+            low = np.minimum.reduceat(np.where(d > 0, d, np.inf), cut, axis=1)
+            sizes = np.diff(np.append(cut, len(labels)))
+            for k, (label, size) in enumerate(zip(labels[cut].tolist(), sizes.tolist())):
+                now = (sums[:, k], size, top[:, k], low[:, k])
+                if self.open is not None and self.open[0] == label:
+                    _, s, c, mx, mn = self.open
+                    self.open = (label, s + now[0], c + size, np.maximum(mx, now[2]), np.minimum(mn, now[3]))
+                else:
+                    self.close()
+                    self.open = (label, *now)
+
+        def close(self):
+            if self.open is None:
                 return
-            order = np.argsort(other_labs, kind="stable")
-            sl = other_labs[order]
-            uniq, starts = np.unique(sl, return_index=True)
-            dd = dm[:, order]
-            selfm = (ids[:, None] == other_ids[order][None, :]) if self_block else None
-            sums = np.add.reduceat(dd, starts, axis=1)
-            cnt = np.broadcast_to(np.diff(np.append(starts, len(sl))), sums.shape).astype(np.int64).copy()
-            mx_src = dd if selfm is None else np.where(selfm, -np.inf, dd)
-            mn_src = np.where(dd > 0, dd, np.inf) if selfm is None else np.where(selfm | (dd <= 0), np.inf, dd)
-            mx = np.maximum.reduceat(mx_src, starts, axis=1)
-            mn = np.minimum.reduceat(mn_src, starts, axis=1)
-            if self_block:  # the row itself was counted once in its own label
-                own = np.searchsorted(uniq, labs)
-                cnt[np.arange(len(ids)), own] -= 1
-            parts.append(pd.DataFrame({
-                "id": np.repeat(ids, len(uniq)), "lab": np.repeat(labs, len(uniq)),
-                "olab": np.tile(uniq, len(ids)), "s": sums.ravel(), "c": cnt.ravel(),
-                "mx": mx.ravel(), "mn": mn.ravel()}))
-
-        li, la = left["_id"].to_numpy(), left["_lab"].to_numpy()
-        ri, ra = right["_id"].to_numpy(), right["_lab"].to_numpy()
-        side(li, la, ri, ra, d, same)
-        if not same:
-            side(ri, ra, li, la, d.T, False)
-        if not parts:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "lab": pd.Series([], dtype="int64"),
-                                 "olab": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float64"),
-                                 "c": pd.Series([], dtype="int64"), "mx": pd.Series([], dtype="float64"),
-                                 "mn": pd.Series([], dtype="float64")})
-        return pd.concat(parts, ignore_index=True)
+            label, s, c, mx, mn = self.open
+            own = self.labels == label
+            self.own_sum[own], self.own_n[own] = s[own], c - 1
+            self.near[~own] = np.minimum(self.near[~own], s[~own] / c)
+            count = np.diff(np.append(self.starts, len(self.labels))) * (c - (self.groups == label))
+            part = pd.DataFrame({"label": self.groups, "other": label, "s": np.add.reduceat(s, self.starts), "c": count,
+                                 "mx": np.maximum.reduceat(mx, self.starts), "mn": np.minimum.reduceat(mn, self.starts)})
+            self.pairs.append(part[part["c"] > 0])
+            self.open = None
+
+        def result(self) -> pd.DataFrame:
+            self.close()
+            rows = pd.DataFrame({"id": self.ids, "label": self.labels, "own_sum": self.own_sum, "own_n": self.own_n,
+                                 "near": self.near})
+            # whole numbers stay whole: no gaps that would turn them into floats
+            both = [rows.assign(pair=False, other=0, c=0), *(p.assign(pair=True, id=0, own_n=0) for p in self.pairs)]
+            return pd.concat(both, ignore_index=True).reindex(columns=names)
 
-    part = x.groupBy("_cell").applyInPandas(
-        agg, "id long, lab long, olab long, s double, c long, mx double, mn double")
-    out = part.groupBy("id", "lab", "olab").agg(F.sum("s").alias("sum_dist"), F.sum("c").alias("n_other"),
-                                                F.max("mx").alias("max_dist"), F.min("mn").alias("min_nz_dist"))
-    inf = float("inf")
-    return out.select(F.col("id").alias(id_col), F.col("lab").alias("label"),
-                      F.col("olab").alias("other_label"), "sum_dist", "n_other",
-                      F.when(F.col("max_dist") == -inf, F.lit(None).cast("double")).otherwise(F.col("max_dist"))
-                      .alias("max_dist"),
-                      F.when(F.col("min_nz_dist") == inf, F.lit(None).cast("double")).otherwise(F.col("min_nz_dist"))
-                      .alias("min_nz_dist"))
-
-
-def label_pairs_from_rows(rows: DataFrame) -> DataFrame:
-    """``label_pair_stats`` rolled up from ``row_label_sums`` (no second pair pass)."""
-    g = rows.where(F.col("n_other") > 0).groupBy(F.col("label").alias("label_i"), F.col("other_label").alias("label_j"))
-    return g.agg(F.sum("sum_dist").alias("sum_dist"), F.sum("n_other").alias("n_pairs"),
-                 F.max("max_dist").alias("max_dist"), F.min("min_nz_dist").alias("min_nz_dist"))
+    def scan(batches):
+        block, rows, place = None, [], None
+        for pdf in batches:
+            for a, g in pdf.groupby("_a", sort=False):
+                if a != place:
+                    if block is not None:
+                        yield block.result()
+                    block, rows, place = None, [], a
+                mine, others = g[g["_role"] == 0], g[g["_role"] == 1]
+                if len(mine):
+                    rows.append(mine)
+                if len(others) and block is None and rows:
+                    block = Block(pd.concat(rows, ignore_index=True))
+                if block is not None:
+                    for i in range(0, len(others), step):
+                        part = others.iloc[i:i + step]
+                        block.add(part["_lab"].to_numpy(), _matrix(part))
+        if block is not None:
+            yield block.result()
+
+    return x.mapInPandas(scan, "pair boolean, id long, label long, own_sum double, own_n long, near double, other long, "
+                               "s double, c long, mx double, mn double")
+
+
+def scanned_rows(scan: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """``(id, label, own_mean, near_mean)`` of a ``label_scan``: null where a row
+    is alone in its label, or no other label exists."""
+    rows = scan.where(~F.col("pair"))
+    near = F.when(F.col("near") < float("inf"), F.col("near"))
+    return rows.select(F.col("id").alias(id_col), "label", F.try_divide("own_sum", "own_n").alias("own_mean"),
+                       near.alias("near_mean"))
+
+
+def scanned_pairs(scan: DataFrame) -> DataFrame:
+    """``label_pair_stats`` from a ``label_scan``."""
+    g = scan.where("pair").groupBy(F.col("label").alias("label_i"), F.col("other").alias("label_j")).agg(
+        F.sum("s").alias("sum_dist"), F.sum("c").alias("n_pairs"), F.max("mx").alias("max_dist"), F.min("mn").alias("mn"))
+    return g.select("label_i", "label_j", "sum_dist", "n_pairs", "max_dist",
+                    F.when(F.col("mn") < float("inf"), F.col("mn")).alias("min_nz_dist"))
 
 
 def radius_pairs(df: DataFrame, radius_col: str, rank_col: str, id_col: str = "vec_id",

@@ -5,10 +5,10 @@ Three shared passes feed every index:
 * centroid pass - long-form deviations -> per-label scatter (K rows),
   global scatter (1 row), centroid distances (K^2 rows);
 * pair pass - blocked all-pairs engine -> label-pair distance aggregates
-  and per-row sums by label (for silhouette);
+  and each row's own and nearest label mean (for silhouette);
 * kNN pass - exact 10-NN (CVNN separation).
 
-Each pass result is small next to the input (K x d, K^2, n x K, n x k rows)
+Each pass result is small next to the input (K x d, K^2, n, n x k rows)
 and is written once through a reliable checkpoint, so the dozen metrics read
 it instead of re-running the pair engine.
 
@@ -112,11 +112,11 @@ class ClusterValidity:
     # -- pair and kNN passes
     @cached_property
     def lps(self):
-        return cut_lineage(pr.label_pairs_from_rows(self.rls))
+        return cut_lineage(pr.scanned_pairs(self.scan))
 
     @cached_property
-    def rls(self):
-        return cut_lineage(pr.row_label_sums(self.df, block_rows=self.block_rows))
+    def scan(self):
+        return cut_lineage(pr.label_scan(self.df, block_rows=self.block_rows))
 
     @cached_property
     def knn(self):
@@ -160,13 +160,8 @@ class ClusterValidity:
         return self._row("dunn", self.lps, F.try_divide(num, den))
 
     def _silhouette_rows(self):
-        r = self.rls
-        same = F.col("other_label") == F.col("label")
-        mean_d = F.try_divide(F.col("sum_dist"), F.col("n_other"))
-        per = r.groupBy("vec_id", "label").agg(
-            F.max(F.when(same, mean_d)).alias("a"), F.max(F.when(same, F.col("n_other"))).alias("n_same"),
-            F.min(F.when(~same & (F.col("n_other") > 0), mean_d)).alias("b"))
-        s = F.when(F.coalesce(F.col("n_same"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
+        per = pr.scanned_rows(self.scan).withColumnsRenamed({"own_mean": "a", "near_mean": "b"})
+        s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
             F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
         return per.withColumn("s", F.when(F.isnan(s), F.lit(0.0)).otherwise(s))
 

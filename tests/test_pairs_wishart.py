@@ -50,15 +50,35 @@ def test_label_pair_stats(spark, pts):
         assert math.isclose(r.max_dist, d[m].max(), rel_tol=1e-12)
 
 
-def test_row_label_sums(spark, pts):
+def test_label_scan_rows(spark, pts):
     labels = np.repeat([0, 1, 2], 26)[: len(pts)]
-    got = pr.row_label_sums(frame(spark, pts, labels), block_rows=12).toPandas()
+    got = pr.scanned_rows(pr.label_scan(frame(spark, pts, labels), block_rows=12, step=7)).toPandas()
     d = brute(pts)
-    for _, r in got.sample(30, random_state=0).iterrows():
-        m = (labels == r.other_label)
-        m[int(r.vec_id)] = False
-        assert r.n_other == m.sum()
-        assert math.isclose(r.sum_dist, d[int(r.vec_id), m].sum(), rel_tol=1e-9, abs_tol=1e-12)
+    assert sorted(got.vec_id) == list(range(len(pts)))
+    for r in got.itertuples():
+        i = int(r.vec_id)
+        own = (labels == labels[i]) & (np.arange(len(pts)) != i)
+        assert math.isclose(r.own_mean, d[i, own].mean(), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(r.near_mean, min(d[i, labels == x].mean() for x in set(labels) - {labels[i]}), rel_tol=1e-9)
+
+
+def test_a_row_alone_and_a_single_label(spark):
+    pts = np.array([[0.0, 0], [1, 0], [5, 0]])
+    lone = pr.scanned_rows(pr.label_scan(frame(spark, pts, np.array([0, 0, 1])))).toPandas().set_index("vec_id")
+    assert np.isnan(lone.own_mean[2]) and lone.near_mean[2] == 4.5
+    one = pr.scanned_rows(pr.label_scan(frame(spark, pts, np.array([0, 0, 0])))).toPandas()
+    assert one.near_mean.isna().all()
+
+
+def test_own_label_sums(spark, pts):
+    labels = np.repeat([0, 1, 2], 26)[: len(pts)]
+    d = brute(pts)
+    got = pr.own_label_sums(frame(spark, pts, labels), block_rows=6).toPandas()
+    assert len(got) == len(pts)
+    for r in got.itertuples():
+        own = (labels == r.label) & (np.arange(len(pts)) != r.vec_id)
+        assert r.n_own == own.sum() and math.isclose(r.sum_dist, d[int(r.vec_id), own].sum(), rel_tol=1e-9)
+        assert math.isclose(r.max_dist, d[int(r.vec_id), own].max(), rel_tol=1e-9)
 
 
 # Labels derived by hand from the rule: points are visited by the distance to
@@ -112,11 +132,11 @@ def test_approx_knn_recall(spark, pts):
     assert (approx.groupby("vec_id")["rank"].max() <= k).all()
 
 
-def test_label_pairs_from_rows_equal_direct(spark, pts):
+def test_scanned_pairs_equal_the_cells(spark, pts):
     labels = np.repeat([0, 1, 2], 26)[: len(pts)]
     f = frame(spark, pts, labels)
     a = pr.label_pair_stats(f, block_rows=10).toPandas().sort_values(["label_i", "label_j"]).reset_index(drop=True)
-    b = pr.label_pairs_from_rows(pr.row_label_sums(f, block_rows=12)).toPandas() \
+    b = pr.scanned_pairs(pr.label_scan(f, block_rows=12, step=5)).toPandas() \
         .sort_values(["label_i", "label_j"]).reset_index(drop=True)
     assert (a.n_pairs.to_numpy() == b.n_pairs.to_numpy()).all()
     for c in ("sum_dist", "max_dist", "min_nz_dist"):
