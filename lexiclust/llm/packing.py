@@ -29,8 +29,8 @@ from .common import numbered, text_slices, written
 
 END_ID = 1
 CAPACITY = 2048
-#: words, and other chunks, that each of a task's two generations keeps
-KEPT = 200_000
+#: words, and other chunks, whose ids a task keeps; beyond it begins anew
+KEPT = 400_000
 #: bytes up to which strings are told apart by the rolling sum of their bytes
 SHORT = 64
 #: words that are encoded in one call
@@ -39,24 +39,6 @@ CALL_WORDS = 500
 BLANK, LETTER, PUNCTUATION, REST = range(4)
 
 
-class Kept:
-    """A memory of two generations: what was not asked for lately is dropped."""
-
-    def __init__(self, most: int = KEPT):
-        self.most, self.young, self.old = most, {}, {}
-
-    def get(self, keys: list) -> list:
-        """Values of the keys, None for unknown ones."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        out = list(map(self.young.get, keys))
-        for i in [i for i, value in enumerate(out) if value is None]:
-            value = self.old.get(keys[i])
-            if value is not None:
-                out[i] = self.young[keys[i]] = value
-        return out
-
-
 class Bytes:
     """Rolling sums of a byte buffer: the key of any stretch in constant time."""
 
@@ -124,7 +106,8 @@ class Coder:
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
-        self.words, self.others = Kept(), Kept()
+        self.words: dict[int, bytes] = {}
+        self.others: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -143,26 +126,29 @@ class Coder:
                 out.extend(map(self._whole, part))
         return out
 
-    def _words(self, keys: list[int], words: list[bytes]) -> list[bytes | None]:
-        """Packed ids of runs of letters (ASCII lower-cased); None for those
-        that are not letters alone, or whose lower case depends on their place."""
-        out = self.words.get(keys)
+    def _words(self, keys: list[int], words: list[bytes]) -> list[bytes]:
+        """Packed ids of runs of letters (ASCII lower-cased); none for those that
+        are not letters alone, or whose lower case depends on their place."""
+        if len(self.words) > KEPT:
+            self.words = {}
+        out = list(map(self.words.get, keys))
         new = [i for i, ids in enumerate(out) if ids is None]
         if new:
             texts = b"\n".join([words[i] for i in new]).decode("utf-8").split("\n")
             lower = list(map(str.lower, texts))
             fit = [x.isalpha() and (t is x or "\u03a3" not in t and x.lower() == x) for t, x in zip(texts, lower)]
             coded = iter(self._runs([x for x, f in zip(lower, fit) if f]))
-            known = self.words.young
             for i, f in zip(new, fit):
-                out[i] = known[keys[i]] = next(coded) if f else b""
-        return [ids or None for ids in out]
+                out[i] = self.words[keys[i]] = next(coded) if f else b""
+        return out
 
     def _others(self, chunks: list[bytes]) -> list[bytes]:
-        out = self.others.get(chunks)
+        if len(self.others) > KEPT:
+            self.others = {}
+        out = list(map(self.others.get, chunks))
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = self.others.young[chunks[i]] = self._whole(chunks[i].decode("utf-8"))
+                out[i] = self.others[chunks[i]] = self._whole(chunks[i].decode("utf-8"))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -186,14 +172,16 @@ class Coder:
         lowered = Bytes(LOWER[buf].tobytes())
         keys, words, number = lowered.distinct(starts[at], heads[at])
         coded = self._words(keys, words)
-        fit = np.fromiter((ids is not None for ids in coded), bool, len(coded))[number]
+        fit = np.ones(len(coded), bool)
+        fit[[i for i, ids in enumerate(coded) if not ids]] = False
+        fit = fit[number]
         simple[at[~fit]] = False
         at, number = at[fit], number[fit]
         _, tails, tail = lowered.distinct(heads[at], ends[at])
         rest = np.flatnonzero(~simple)
         other, chunks = pd.factorize(np.array([data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist())], object))
 
-        table = [ids or b"" for ids in coded] + self._others(tails) + self._others(list(chunks)) + [b""]
+        table = coded + self._others(tails) + self._others(list(chunks)) + [b""]
         which = np.full((len(starts), 2), len(table) - 1)
         which[at, 0] = number
         which[at, 1] = len(coded) + tail
@@ -228,7 +216,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         coder = Coder(rules)
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
-        for rows in text_slices(batches, 1_000_000):
+        for rows in text_slices(batches, 500_000):
             out = ([], [], [], [], [])
             for (doc, _), ids in zip(rows, coder.encode([t for _, t in rows])):
                 ids += end
