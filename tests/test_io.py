@@ -27,7 +27,7 @@ def test_keyed_vectors_text_roundtrip(spark):
     out = tempfile.mkdtemp(prefix="lexiclust-w2v-", dir="/tmp")
     rows = [(f"w{i}", [float(i), i / 3.0, -1.5]) for i in range(40)]
     df = spark.createDataFrame(rows, "word string, embedding array<float>")
-    fs.sink_keyed_vectors(df, f"{out}/v", parts=4)
+    fs.sink_keyed_vectors(df, f"{out}/v")
     parts = sorted(glob.glob(f"{out}/v/part-*"))
     with open(parts[0]) as f:
         assert f.readline().strip() == "40 3"
