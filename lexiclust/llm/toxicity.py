@@ -341,7 +341,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the bounded labelled sample; what comes to the driver is at most
     ``2 * SAMPLE_DOCS * SAMPLE_SENTENCES`` vectors of ``LANDMARKS`` numbers."""
     sample, sizes = labelled_sample(docs, labels, id_col, text_col, label_col)
-    sample = written(sample, "labelled")
+    # a small sample would otherwise stay in the few tasks that found it
+    sample = written(sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, "_id"), "labelled")
     if not sizes.get(1) or not sizes.get(0):
         share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
