@@ -4,7 +4,8 @@ Each test item's word n-grams are counted over all documents; those no more
 frequent than its median one are its seeds.  Where a seed occurs in a document, the passage around
 it is aligned with the item word by word; the local alignment's score, as a
 share of the item's own score, tells exact, edited and paraphrased copies from
-chance.
+chance.  Of a long item a passage of ``COPIED`` words is a copy too, whatever its
+share; it is aligned with dear edits, so that only near-verbatim text counts.
 
 Test items travel to the tasks in blocks of at most ``block_words`` words, one
 pass over the documents for each block, so what is broadcast is bounded
@@ -35,6 +36,9 @@ SHORT_ITEM = 12
 #: least share of an item's own score that counts as a copy
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: net matched words (each edit takes EDIT of them) of a stretch that is a copy whatever the item's length
+COPIED = 30
+EDIT = -4
 #: words of test items that go to the tasks at once
 BLOCK_WORDS = 2_000_000
 WORD = re.compile(r"\w+")
@@ -117,17 +121,18 @@ class Items:
         return np.concatenate(at), np.concatenate(which)
 
 
-def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def align(item: np.ndarray, passages: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH,
+          gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman of one item against rows of ``passages`` (0 = no word):
     best score, and the row of the item and the column where it ends."""
     n, width = passages.shape
-    ramp = np.arange(1, width + 1) * -GAP
+    ramp = np.arange(1, width + 1) * -gap
     above = np.zeros((n, width + 1), np.int64)
     best = np.zeros(n, np.int64)
     end, end_item = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, w in enumerate(item):
-        step = above[:, :-1] + np.where(passages == w, MATCH, MISMATCH)
-        here = np.maximum(np.maximum(step, above[:, 1:] + GAP), 0)
+        step = above[:, :-1] + np.where(passages == w, match, mismatch)
+        here = np.maximum(np.maximum(step, above[:, 1:] + gap), 0)
         # a gap in the item: the best of all cells to the left, less a gap for each step
         here = np.maximum.accumulate(here + ramp, axis=1) - ramp
         column = here.argmax(axis=1)
@@ -140,7 +145,8 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def matches(items: Items, seeds: np.ndarray, rows: list[tuple[int, str]], threshold: float) -> list[tuple]:
     """(row, item, score, seeds, start, end) of each row and item at or above the
-    threshold; words from start to end (exclusive) are the copy."""
+    threshold or with a stretch of ``COPIED`` net words; words from start to end
+    (exclusive) are the copy."""
     texts, candidates = {}, defaultdict(lambda: defaultdict(list))  # item -> (row, window) -> diagonals
     for r, (_, text) in enumerate(rows):
         tokens = items.number_words(text)
@@ -176,9 +182,18 @@ def matches(items: Items, seeds: np.ndarray, rows: list[tuple[int, str]], thresh
                 cut = texts[r][lo:first - slack + width]
                 passages[j, :len(cut)] = cut
             score, end_item, end = align(item, passages)
-            for j in np.flatnonzero(score >= threshold * own):
+            whole = score >= threshold * own
+            passage = np.zeros(len(part), bool)
+            # a stretch of COPIED net words scores MATCH for each of them at least
+            long = np.flatnonzero(~whole & (score >= MATCH * COPIED))
+            if len(long):
+                strict, strict_item, strict_end = align(item, passages[long], 1, EDIT, EDIT)
+                passage[long] = strict >= COPIED
+                end_item[long], end[long] = strict_item, strict_end
+            for j in np.flatnonzero(whole | passage):
+                rules = (MATCH, MISMATCH, GAP) if whole[j] else (1, EDIT, EDIT)
                 r, first, n = part[j]
-                back, _, length = align(item[:end_item[j] + 1][::-1], passages[j:j + 1, :end[j] + 1][:, ::-1])
+                _, _, length = align(item[:end_item[j] + 1][::-1], passages[j:j + 1, :end[j] + 1][:, ::-1], *rules)
                 lo = max(0, first - slack)
                 found = (score[j] / own, n, int(lo + end[j] - length[0]), int(lo + end[j] + 1))
                 if r not in top or found[0] > top[r][0]:
@@ -203,7 +218,9 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int):
 
 def seed_flags(docs: DataFrame, items: Items) -> np.ndarray:
     """Which grams of a block are seeds: for each item those whose document
-    frequency over all of ``docs`` is its median or less."""
+    frequency over all of ``docs`` is its median or less; in items of over twice
+    ``COPIED`` words also those up to the median of their stretch, as a copied
+    passage may hold the item's more frequent grams only."""
     def count(batches):
         total = np.zeros(len(items.grams), np.int64)
         for rows in text_slices(batches):
@@ -223,6 +240,12 @@ def seed_flags(docs: DataFrame, items: Items) -> np.ndarray:
         n = items.gram_of(t)
         own = np.array(sorted({number[tuple(t[p:p + n])] for p in range(len(t) - n + 1)}))
         flags[own[df[own] <= np.median(df[own])]] = True
+        if len(t) > 2 * COPIED:
+            along = np.array([number[tuple(t[p:p + n])] for p in range(len(t) - n + 1)])
+            step = max(1, (COPIED - n + 1) // 2)  # every passage of COPIED words holds a whole stretch
+            for a in range(0, len(along), step):
+                part = along[a:a + step]
+                flags[part[df[part] <= np.median(df[part])]] = True
     return flags
 
 
@@ -230,8 +253,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, gram: int = GRAM, threshold:
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                  block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, score, seeds, start_word, end_word, digest`` of each
-    document and test item whose alignment reaches ``threshold``; ``digest`` is
-    the MD5 of the document's text."""
+    document and test item whose alignment reaches ``threshold`` or holds ``COPIED``
+    net words; ``digest`` is the MD5 of the document's text."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for block in _blocks(bench, item_col, item_text_col, block_words):

@@ -152,6 +152,20 @@ def test_copies_are_found_and_clean_documents_left(spark):
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_passage_under_half_of_a_long_item(spark):
+    item = [f"q{k}" for k in range(250)]
+    edited = [w if k % 12 else "changed" for k, w in enumerate(item[20:80])]
+    texts = {1: item[100:200], 2: item[210:245], 3: edited, 4: item[50:70], 5: item[:120:2], 6: []}
+    # a passage that many documents hold is more frequent than the rest of the item
+    texts |= {10 + k: item[100:140] for k in range(5)}
+    docs = spark.createDataFrame([(i, prose(80) + " " + " ".join(t) + " " + prose(80)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {1, 2, 3, 10, 11, 12, 13, 14} and got[1].score == 0.4
+    assert (got[1].start_word, got[1].end_word) == (80, 180) and (got[2].start_word, got[2].end_word) == (80, 115)
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {4, 5, 6}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs.columns
