@@ -12,7 +12,9 @@ pass over the documents for each block, so what is broadcast is bounded
 whatever the size of the benchmark.
 
 Defined results: null and empty texts match nothing; items with fewer words
-than an n-gram are compared by one seed of their whole length (items without
+than an n-gram are compared by one seed of their whole length; items of under 15
+words need a least number of matched words too, of 6 words all, and items
+of fewer words are found only in documents that hold nothing else (items without
 words match nothing); repeated items and documents are each reported; null ids
 are kept; empty tables give no rows; other columns are ignored or, in ``clean``,
 passed through.
@@ -35,6 +37,10 @@ GRAM = 3
 SHORT_ITEM = 12
 #: least share of an item's own score that counts as a copy
 THRESHOLD = 0.5
+#: a copy of an item of n words has LEAST + n // SLOPE matched words at least (all of 6), and two edits more than those at most
+LEAST, SLOPE = 5, 6
+#: items of so many words need no more than the threshold
+FULL_ITEM = 15
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: net matched words (each edit takes EDIT of them) of a stretch that is a copy whatever the item's length
 COPIED = 30
@@ -143,6 +149,14 @@ def align(item: np.ndarray, passages: np.ndarray, match: int = MATCH, mismatch:
     return best, end_item, end
 
 
+def needed(n: int, threshold: float) -> tuple[float, int]:
+    """Least score and matched words of a copy of an item of ``n`` words."""
+    if n >= FULL_ITEM:
+        return threshold * MATCH * n, 0
+    matched = LEAST + n // SLOPE
+    return max(threshold * MATCH * n, MATCH * matched + 2 * GAP), matched
+
+
 def matches(items: Items, seeds: np.ndarray, rows: list[tuple[int, str]], threshold: float) -> list[tuple]:
     """(row, item, score, seeds, start, end) of each row and item at or above the
     threshold or with a stretch of ``COPIED`` net words; words from start to end
@@ -161,6 +175,10 @@ def matches(items: Items, seeds: np.ndarray, rows: list[tuple[int, str]], thresh
         item = items.tokens[k]
         slack = len(item) // 2 + 2
         own = MATCH * len(item)
+        least, matched = needed(len(item), threshold)
+        if matched > len(item):  # only documents that hold nothing else
+            out.extend((r, items.ids[k], 1.0, len(d), 0, len(item)) for r, d in of_row.items() if np.array_equal(texts[r], item))
+            continue
         windows = []  # (row, first word, seeds): diagonals within the slack share a window
         for r, diagonals in of_row.items():
             diagonals.sort()
@@ -182,7 +200,7 @@ def matches(items: Items, seeds: np.ndarray, rows: list[tuple[int, str]], thresh
                 cut = texts[r][lo:first - slack + width]
                 passages[j, :len(cut)] = cut
             score, end_item, end = align(item, passages)
-            whole = score >= threshold * own
+            whole = score >= least
             passage = np.zeros(len(part), bool)
             # a stretch of COPIED net words scores MATCH for each of them at least
             long = np.flatnonzero(~whole & (score >= MATCH * COPIED))
@@ -194,6 +212,8 @@ def matches(items: Items, seeds: np.ndarray, rows: list[tuple[int, str]], thresh
                 rules = (MATCH, MISMATCH, GAP) if whole[j] else (1, EDIT, EDIT)
                 r, first, n = part[j]
                 _, _, length = align(item[:end_item[j] + 1][::-1], passages[j:j + 1, :end[j] + 1][:, ::-1], *rules)
+                if matched and align(item, passages[j:j + 1, end[j] - length[0]:end[j] + 1], 1, 0, 0)[0][0] < matched:
+                    continue
                 lo = max(0, first - slack)
                 found = (score[j] / own, n, int(lo + end[j] - length[0]), int(lo + end[j] + 1))
                 if r not in top or found[0] > top[r][0]:

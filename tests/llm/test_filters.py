@@ -166,6 +166,18 @@ def test_passage_under_half_of_a_long_item(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {4, 5, 6}
 
 
+def test_short_items_take_no_clean_documents(spark):
+    items = {1: "red fox jumps high", 2: "word", 3: "one two three four five six", 4: "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12"}
+    texts = {1: "the red fox ran and a dog jumps high", 2: "a word of it", 3: "one two three four five seven", 4: "so a1 a2 a3 a4 a5 a6 b",
+             5: "Red fox, jumps high!", 6: "word", 7: "count one two three four five six now", 8: "so a3 a4 a5 a6 a7 a8 a9 a10 b",
+             9: "the red fox jumps high today"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(5, 1), (6, 2), (7, 3), (8, 4)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {1, 2, 3, 4, 9}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs.columns
