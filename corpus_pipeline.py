@@ -23,8 +23,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that occur before; none is dropped."""
-    cut = line_chunks.deduplicate(docs)
+    """Documents without the multi-line chunks and the passages of over 50 words
+    that occur before; none is dropped."""
+    cut = line_chunks.deduplicate(docs, passage_words=line_chunks.PASSAGE_WORDS)
     length = F.when(F.col("_chunk_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*docs.columns)
 

@@ -113,6 +113,25 @@ def test_repeated_rows_and_null_ids_in_line_chunks(spark):
     assert len({r._chunk_removed for r in rows if r.doc_id == 1}) == 1 and all(r._chunk_removed for r in rows if r.doc_id == 1)
 
 
+def test_repeated_passages_wherever_chunks_end(spark):
+    own = lambda d, k: [f"own line {d} {i}" for i in range(k)]
+    line = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    pair, long, short = [line(1, 30), line(2, 30)], [line(3, 60)], [line(4, 5), line(5, 5)]
+    run = [line(10 + k, 12) for k in range(6)]
+    texts = [own(0, 3) + pair + own(1, 3) + long + own(2, 2) + short + own(3, 1) + run]
+    texts += [own(10 + k, k % 4 + 1) + p + own(20 + k, 2) for k, p in enumerate([pair, long, run] * 5)]
+    docs = frame(spark, [(k, "\n".join(t)) for k, t in enumerate(texts)] + [(90, None), (91, ""), (92, "\n\n")])
+    got = {r.doc_id: r for r in line_chunks.deduplicate(docs, passage_words=50).collect()}
+    assert got[0].text == "\n".join(texts[0]) and got[90].text is None and got[91].text == "" and got[92].text == "\n\n"
+    for k, t in enumerate(texts[1:], 1):
+        kept = [x for x in t if x.startswith("own")]
+        assert got[k].text == "\n".join(kept) and got[k]._chunk_removed_lines == len(t) - len(kept)
+    # what chunks alone remove goes in any case
+    chunks = {r.doc_id: r for r in line_chunks.deduplicate(docs).collect()}
+    assert all(chunks[k]._chunk_removed_lines <= got[k]._chunk_removed_lines for k in got)
+    assert sum(r._chunk_removed_lines for r in chunks.values()) < sum(r._chunk_removed_lines for r in got.values())
+
+
 def test_fingerprints(spark):
     words = [f"w{k}" for k in range(400)]
     texts = [" ".join(random.choices(words, k=random.choice([0, 1, 3, 5, 200, 900]))) for _ in range(120)]
