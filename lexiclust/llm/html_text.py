@@ -2,7 +2,10 @@
 
 Paragraphs pass points for their length and commas to their ancestors, less
 with each level; a container's points are discounted by its link density.  The
-best container is kept, with siblings that score well or read like prose.
+best container is kept with all else of the article or main element around it, or
+of its parent if there is none, in page order; only parts that are mostly links
+(or marked as no content) are left out.  Beside an article, siblings stay that
+score well or read like prose.
 
 Defined results: null or empty html gives an empty text; markup that is cut off
 or never closed is closed at the end of the page; a page without scoring
@@ -34,6 +37,8 @@ header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|popup
 sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])""", re.I | re.X)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 KEPT_WHATEVER = frozenset("html body article main".split())
+#: share of link text above which a part beside the best container is left out
+LINKS = 0.5
 STARTING_POINTS = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0,
                    "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "body": 0.0}
 
@@ -202,6 +207,39 @@ def _blocks(node: Node, out: list[str]) -> None:
     flush()
 
 
+def _around(top: Node, best: Node, out: list[str]) -> None:
+    """Append the texts of ``top``, an ancestor of ``best`` or itself, without
+    parts outside ``best`` that are mostly links; text between blocks is one part."""
+    path, node = {best}, best
+    while node is not top:
+        node = node.parent
+        path.add(node)
+    stack: list = [top]
+    while stack:
+        part = stack.pop()
+        if part is best:
+            _blocks(part, out)
+        elif part in path:
+            parts: list = []
+            for c in part.children:
+                if type(c) is Node and (c.tag in BLOCK or c in path):
+                    parts.append(c)
+                elif parts and parts[-1].tag == "#text":
+                    parts[-1].children.append(c)
+                else:
+                    parts.append(Node("#text", part))
+                    parts[-1].children.append(c)
+            stack.extend(reversed(parts))
+        elif not part.removed:
+            if part.tag == "#text":
+                for c in part.children:
+                    n = len(" ".join(c.split())) if type(c) is str else 0 if c.removed else c.text
+                    part.text += n
+                    part.linked += 0 if type(c) is str or c.removed else n if c.tag == "a" else c.linked
+            if part.linked <= LINKS * part.text:
+                _blocks(part, out)
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page: blocks joined by line ends."""
     if not page:
@@ -213,10 +251,15 @@ def main_text(page: str | None) -> str:
         _blocks(root, out)
         return "\n".join(out)
     value = best.points * (1.0 - best.linked / max(best.text, 1))
-    around = best.parent.children if best.parent is not None and best.tag not in ("body", "html") else [best]
-    for c in around:
-        if c is best:
-            _blocks(c, out)
+    article = best
+    while article is not None and article.tag not in ("article", "main"):
+        article = article.parent
+    if article is None:
+        _around(best if best.tag in ("body", "html") or best.parent is None else best.parent, best, out)
+        return "\n".join(out)
+    for c in article.parent.children:
+        if c is article:
+            _around(article, best, out)
         elif type(c) is Node and not c.removed and c.tag in BLOCK and c.text:
             density = c.linked / c.text
             good = c.points is not None and c.points * (1.0 - density) >= max(10.0, 0.2 * value)

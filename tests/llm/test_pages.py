@@ -41,6 +41,18 @@ def test_long_and_hostile_pages_end():
     assert html_text.main_text("<article>" + "<p>par, agraph</p>" * 5000).count("\n") == 4999
 
 
+def test_short_parts_beside_a_long_section_stay():
+    long = "".join(f"<p>Paragraph {k}, with commas, and some words, of its own.</p>" for k in range(30))
+    rest = """<h3>Closing</h3><section><p>A closing paragraph of some sixty characters in the text.</p></section>bare
+<b>text</b><ul><li>one<li>two</ul><pre>code</pre><table><tr><td>cell</table><blockquote>said</blockquote><p>Short.</p>"""
+    links = '<ul><li><a href="/a">Other page</a><li><a href="/b">One more</a></ul><div class="related"><p>Read, this, too.</p></div>'
+    want = ["Closing", "A closing paragraph of some sixty characters in the text.", "bare text", "one", "two", "code", "cell", "said", "Short."]
+    for tag in ("article", "main", "div"):
+        got = html_text.main_text(f"<body><nav>Menu</nav><{tag}><h1>Head</h1><section>{long}</section>{rest}{links}</{tag}><footer>Foot</footer>")
+        lines = got.split("\n")
+        assert lines[0] == "Head" and len(lines) == 31 + len(want) and lines[31:] == want
+
+
 def test_extract(spark):
     rows = [(1, "u", ARTICLE, "x"), (1, "u", ARTICLE, "x"), (None, None, None, None), (2, "v", "", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
