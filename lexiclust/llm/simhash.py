@@ -142,6 +142,22 @@ def _meet(variants: DataFrame, max_bits: int, extra: list[str]) -> DataFrame:
                                                 *[F.col("l_" + c).alias(c) for c in extra])
 
 
+def outside_pieces(max_bits: int = MAX_BITS) -> Column:
+    """``(piece, same)`` of the bits of ``fp`` outside the segment ``seg``: they
+    differ by ``max_bits`` at most, so of one piece more, about equally wide, one is equal."""
+    fp, pieces = F.col("fp"), max_bits + 1
+    split = F.lit(None).cast("array<struct<piece:int,same:bigint>>")
+    for s, (shift, w) in enumerate(_segments(max_bits)):
+        outside = fp.bitwiseAND(_mask(_ones(shift)))
+        if shift + w < BITS:
+            outside = outside.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, shift + w), shift))
+        edges = [(BITS - w) * i // pieces for i in range(pieces + 1)]
+        split = F.when(F.col("seg") == s, F.array(*[
+            F.struct(F.lit(i).alias("piece"), _part(outside, x, y - x).alias("same"))
+            for i, (x, y) in enumerate(zip(edges, edges[1:]))])).otherwise(split)
+    return split
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     """Pairs ``a, b`` of the distinct fingerprints ``fp`` within ``max_bits``."""
     segments = _segments(max_bits)
@@ -165,17 +181,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_segment: int = HOT_SEGME
                    .alias("rest")).distinct())
     key = ["seg", "pos", "rest"]
     cold_pairs = _meet(variants.join(hot, key, "left_anti"), max_bits, [])
-    # what lies outside the segment differs by max_bits at most: cut into one piece more, one piece is equal
-    pieces = max_bits + 1
-    rest_value = F.lit(None).cast("long")
-    for s, (shift, w) in enumerate(segments):
-        outside = fp.bitwiseAND(_mask(~(_ones(w) << shift)))
-        rest_value = F.when(F.col("seg") == s, outside).otherwise(rest_value)
-    edges = [BITS * i // pieces for i in range(pieces + 1)]
-    split = F.array(*[F.struct(F.lit(i).alias("piece"), _part(F.col("_outside"), a, b - a).alias("same"))
-                      for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    fine = (variants.join(hot, key, "left_semi").withColumn("_outside", rest_value)
-            .select("fp", *key, F.inline(split)))
+    fine = variants.join(hot, key, "left_semi").select("fp", *key, F.inline(outside_pieces(max_bits)))
     hot_pairs = _meet(fine, max_bits, ["piece", "same"]).select("a", "b").distinct()
     return cold_pairs.union(hot_pairs)
 

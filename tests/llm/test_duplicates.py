@@ -75,6 +75,18 @@ def test_links_equal_brute_force_also_when_split(spark, bits):
         assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
+@pytest.mark.parametrize("bits", [2, 3, 4])
+def test_a_crowded_segment_is_split(spark, bits):
+    n = 1500
+    for s, (shift, width) in enumerate(simhash._segments(bits)):
+        own = (1 << width) - 1 << shift
+        values = {random.getrandbits(64) & ~own | own // 3 & own for _ in range(n)}
+        rows = spark.createDataFrame([(v - 2 ** 64 if v >= 2 ** 63 else v, s) for v in values], "fp long, seg int")
+        sizes = rows.select(F.inline(simhash.outside_pieces(bits))).groupBy("piece", "same").count().collect()
+        assert sum(r["count"] for r in sizes) == len(values) * (bits + 1)
+        assert sum(r["count"] ** 2 for r in sizes) < n * n / 20  # joined pairs
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 199)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
