@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, scratch_path
-from . import decontaminate, fingerprints, html_text, line_chunks, packing, sharding, simhash, suffix_dedup, toxicity, warc
+from . import (decontaminate, fingerprints, html_text, license_scan, line_chunks, packing, periodic_runs, ranked_search,
+               sharding, simhash, suffix_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +81,18 @@ def _suffix_dedup(spark, d):
 @register("op8_fingerprints")
 def _fingerprints(spark, d):
     return fingerprints.with_edits(load(spark, d, "documents"))
+
+
+@register("op11_periodic_runs")
+def _periodic_runs(spark, d):
+    return periodic_runs.digests(load(spark, d, "documents"))
+
+
+@register("op12_license_scan", license_scan.SQL)
+def _license_scan(spark, d):
+    return license_scan.labelled(load(spark, d, "documents"))
+
+
+@register("op13_ranked_search", ranked_search.SQL)
+def _ranked_search(spark, d):
+    return ranked_search.search(load(spark, d, "documents"), load(spark, d, "benchmark"))
