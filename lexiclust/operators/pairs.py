@@ -1,4 +1,4 @@
-"""Blocked all-pairs engine: exact kNN, pair aggregates, radius joins.
+"""Blocked all-pairs engine: exact kNN and pair aggregates.
 
 Exact Euclidean pair work is O(n^2 d) whatever the engine; what matters is
 that it spreads evenly and never ships n^2 rows.  Rows get a block id
@@ -12,7 +12,7 @@ Spark then combines the partial results with ordinary ``groupBy``.
 Distances are ``sqrt(sum((x - y)^2))`` in float64 from the stored floats
 (not the dot-product identity), so near-ties agree with a plain SQL oracle.
 B grows with n, so the replication factor is n / block_rows: for inputs past
-~10^7 vectors use the approximate mode (``approx_knn``) instead.
+~10^7 vectors use ``neighbours.knn_graph``, ``metric`` or ``ivf`` instead.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 2048
@@ -357,52 +357,6 @@ def scanned_pairs(scan: DataFrame) -> DataFrame:
                     F.when(F.col("mn") < float("inf"), F.col("mn")).alias("min_nz_dist"))
 
 
-def radius_pairs(df: DataFrame, radius_col: str, rank_col: str, id_col: str = "vec_id",
-                 vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Range join ``(id, nbr_id, dist)``: rows j processed earlier than i
-    (``rank_j < rank_i``) within i's radius (``dist <= radius_i``)."""
-    x, b = _cells(df, id_col, vec_col, [F.col(radius_col).cast("double").alias("_r"),
-                                        F.col(rank_col).cast("long").alias("_rk")], block_rows)
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _split(pdf, b)
-        d = distances(_matrix(left), _matrix(right))
-        outs = []
-
-        def side(a, c, dm):
-            hit = (dm <= a["_r"].to_numpy()[:, None]) & (c["_rk"].to_numpy()[None, :] < a["_rk"].to_numpy()[:, None])
-            ii, jj = np.nonzero(hit)
-            outs.append(pd.DataFrame({"id": a["_id"].to_numpy()[ii], "nbr_id": c["_id"].to_numpy()[jj],
-                                      "dist": dm[ii, jj]}))
-
-        side(left, right, d)
-        if not same:
-            side(right, left, d.T)
-        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(
-            {"id": pd.Series([], dtype="int64"), "nbr_id": pd.Series([], dtype="int64"),
-             "dist": pd.Series([], dtype="float64")})
-
-    out = x.groupBy("_cell").applyInPandas(pairs, "id long, nbr_id long, dist double")
-    return out.withColumnRenamed("id", id_col)
-
-
-def approx_knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-               bucket_length: float = 2.0, num_tables: int = 3, threshold: float = float("inf")) -> DataFrame:
-    """Approximate kNN for inputs too large for exact pairs: Spark ML
-    bucketed random projection LSH self-join, then top-k per row."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    v = df.select(F.col(id_col).alias("id"), array_to_vector(vec_col).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=17).fit(v)
-    j = model.approxSimilarityJoin(v, v, threshold, distCol="dist") \
-        .select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("nbr_id"), "dist") \
-        .where(F.col("id") != F.col("nbr_id"))
-    w = Window.partitionBy("id").orderBy("dist", "nbr_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-            .select(F.col("id").alias(id_col), F.col("rank").cast("long"), "nbr_id", "dist")
-
-
 # --------------------------------------------------------------------------
 # query set x vector set: top-k by cosine similarity
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from . import ivf
 from . import pairs as pr
 from .vectors import long_form
 
@@ -39,10 +40,15 @@ def query_vectors(vectors: DataFrame, query_words: DataFrame, word_col: str = "w
 
 
 def most_similar(vectors: DataFrame, query_words: DataFrame, topn: int = 10, word_col: str = "word",
-                 id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(qid, rank, vec_id, word, sim)``."""
+                 id_col: str = "vec_id", vec_col: str = "embedding", index: ivf.Index | None = None,
+                 probes: int | None = None) -> DataFrame:
+    """``(qid, rank, vec_id, word, sim)``; exact, or by the lists of an ``index``
+    of the same vectors (``probes`` of them, measured where not given)."""
     q = query_vectors(vectors, query_words, word_col, id_col, vec_col)
-    top = pr.cross_topk(q, vectors.select(id_col, vec_col), topn, "qid", "qvec", "exclude", id_col, vec_col)
+    if index is not None:
+        top = ivf.search(index, q, topn, probes).withColumnRenamed("vec_id", id_col)
+    else:
+        top = pr.cross_topk(q, vectors.select(id_col, vec_col), topn, "qid", "qvec", "exclude", id_col, vec_col)
     return top.join(vectors.select(id_col, word_col), id_col)
 
 
@@ -56,14 +62,15 @@ def analogy_queries(analogies: DataFrame, a: str, b: str, c: str) -> DataFrame:
 
 
 def analogy_hits(vectors: DataFrame, analogies: DataFrame, a: str, b: str, c: str, expected: str,
-                 topn: int, word_col: str = "word") -> DataFrame:
+                 topn: int, word_col: str = "word", index: ivf.Index | None = None, probes: int | None = None) -> DataFrame:
     """Per analogy ``(qid, hit)``: expected word within the top ``topn``.
-    Analogies with an unknown word are skipped (inner joins)."""
+    Analogies with an unknown word are skipped (inner joins); ``index`` and
+    ``probes`` as for ``most_similar``."""
     known = vectors.select(F.col(word_col).alias("_w"))
     ok = analogies
     for col in (a, b, c, expected):
         ok = ok.join(known, F.lower(F.col(col)) == F.col("_w"), "left_semi")
-    res = most_similar(vectors, analogy_queries(ok, a, b, c), topn, word_col)
+    res = most_similar(vectors, analogy_queries(ok, a, b, c), topn, word_col, index=index, probes=probes)
     hits = res.join(ok.select("qid", F.lower(F.col(expected)).alias("_exp")), "qid") \
         .groupBy("qid").agg(F.max((F.col(word_col) == F.col("_exp")).cast("int")).alias("hit"))
     return ok.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("hit", F.lit(0)).alias("hit"))

@@ -78,7 +78,8 @@ def _most_common(spark, d):
     return st.most_common(st.token_freq(co.tokens(load(spark, d, "documents"))), 100)
 
 
-PLAN_MODULES = ["catalog_text", "catalog_prep", "catalog_cluster", "catalog_compare", "catalog_ngrams", "catalog_learn", "catalog_sim", "catalog_io", "catalog_models", "catalog_misc"]
+PLAN_MODULES = ["catalog_text", "catalog_prep", "catalog_cluster", "catalog_compare", "catalog_ngrams", "catalog_learn", "catalog_sim", "catalog_io", "catalog_models", "catalog_misc",
+                "catalog_search"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from ..functions import vectors as vx
+from ..operators import metric as me
 from ..operators import pairs as pr
 from ..operators import vectors as vv
 from ..operators import validity as va
@@ -244,18 +245,17 @@ def _dk(spark, d, k):
 
 
 @register("radius_join", f"""
-WITH {BASE.replace("pairs AS (", "pairs AS MATERIALIZED (")},
-dk AS MATERIALIZED (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
-       FROM pairs) WHERE rk = 3),
-rk AS MATERIALIZED (SELECT vec_id, dk, row_number() OVER (ORDER BY dk, vec_id) AS rnk FROM dk)
-SELECT p.i AS vec_id, p.j AS nbr_id, {sig_sql('p.dist')} AS dist FROM pairs p
-JOIN rk ri ON p.i = ri.vec_id JOIN rk rj ON p.j = rj.vec_id
-WHERE p.dist <= ri.dk AND rj.rnk < ri.rnk
+WITH e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+dk AS MATERIALIZED (SELECT i, dist AS dk, row_number() OVER (ORDER BY dist, i) AS rnk
+       FROM (SELECT i, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk FROM pairs) WHERE rk = 3),
+near AS MATERIALIZED (SELECT pairs.i, pairs.j, pairs.dist, dk.rnk FROM pairs JOIN dk ON pairs.i = dk.i WHERE pairs.dist <= dk.dk)
+SELECT near.i AS vec_id, near.j AS nbr_id, {sig_sql('near.dist')} AS dist
+FROM near JOIN dk other ON near.j = other.i WHERE other.rnk < near.rnk
 """)
 def _radius_join(spark, d):
-    ranked = _dk(spark, d, 3)
-    e = emb(spark, d).join(ranked, "vec_id")
-    r = pr.radius_pairs(e, "dk", "rnk")
+    e = emb(spark, d).join(_dk(spark, d, 3), "vec_id")
+    r = me.radius_join(e, "dk", "rnk")
     return r.select("vec_id", "nbr_id", vx.sig("dist").alias("dist"))
 
 

@@ -165,7 +165,7 @@ qword AS (SELECT kv.word FROM kv JOIN f ON f.word = kv.word ORDER BY f.cnt DESC,
 qw AS (SELECT 0 AS qid, word, 1.0 AS weight FROM qword),
 {sims_sql('qw', 10)},
 given AS (SELECT DISTINCT kv.word FROM kv JOIN (SELECT unnest({q.normalize_filters('text')}) AS word
-          FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)) b ON b.word = kv.word)
+          FROM conversations) b ON b.word = kv.word)
 SELECT 'query' AS role, kv.word, kv.vec_id FROM kv JOIN qword ON qword.word = kv.word
 UNION ALL SELECT 'similar', word, vec_id FROM top
 UNION ALL SELECT 'given', kv.word, kv.vec_id FROM kv JOIN given ON given.word = kv.word
@@ -180,8 +180,6 @@ def _word_neighbourhood(spark, d):
     query = v.join(best, "word").select(F.lit("query").alias("role"), "word", "vec_id")
     similar = sm.most_similar(v, best.select(F.lit(0).cast("long").alias("qid"), "word", F.lit(1.0).alias("weight")),
                               10).select(F.lit("similar").alias("role"), "word", "vec_id")
-    b = load(spark, d, "benchmark")
-    first = b.where(F.col("item_id") == b.agg(F.min("item_id")).scalar())
-    words = tx.explode_rows(first, tx.normalize_filters("text"), "word").distinct()
+    words = tx.explode_rows(load(spark, d, "conversations"), tx.normalize_filters("text"), "word").distinct()
     given = v.join(words, "word", "left_semi").select(F.lit("given").alias("role"), "word", "vec_id")
     return query.unionByName(similar).unionByName(given)

@@ -122,16 +122,6 @@ def test_connected_components(spark):
     assert comp == {1: 1, 2: 1, 3: 1, 7: 1, 10: 10, 11: 10, 5: 5}
 
 
-def test_approx_knn_recall(spark, pts):
-    k = 4
-    exact = pr.knn(frame(spark, pts), k, block_rows=16).toPandas()
-    approx = pr.approx_knn(frame(spark, pts), k, bucket_length=4.0, num_tables=4).toPandas()
-    e = set(zip(exact.vec_id, exact.nbr_id))
-    a = set(zip(approx.vec_id, approx.nbr_id))
-    assert len(a & e) / len(e) > 0.8
-    assert (approx.groupby("vec_id")["rank"].max() <= k).all()
-
-
 def test_scanned_pairs_equal_the_cells(spark, pts):
     labels = np.repeat([0, 1, 2], 26)[: len(pts)]
     f = frame(spark, pts, labels)
