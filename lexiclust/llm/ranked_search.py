@@ -3,20 +3,20 @@
 One pass over the texts writes a narrow forward table: per document its length
 and the counts of the terms that any query holds.  Corpus statistics come from
 all rows of it.  A shard is a run of its documents; its index holds each term's
-postings with their impacts and largest impact, and, for pairs of terms that
-stand next to each other in a query's order of rarity, the intersection list
-with the joint impact of each document and the largest one.  The index is one
-row a shard, written to the shared folder.
+postings with their parts of the impact and the largest impact, and, for pairs of
+terms that stand next to each other in a query's order of rarity, the intersection
+list with its largest joint impact.  The index is one row a shard, written to the
+shared folder.
 
 A query is answered in every shard and the best rows of all shards are merged.
 Its terms are matched to disjoint pairs, those first whose bound
 ``max(joint, first alone, second alone)`` saves most against the sum of the two
 term maxima.  Pairs and single terms in falling order of bound are essential
 until the bounds left cannot reach the threshold; only documents of essential
-lists are candidates.  For the rest a candidate in a pair's intersection list
-takes the stored joint impact, any other is held against the larger of the two
-term maxima before its single postings are looked up, and candidates whose
-bound falls below the threshold go.  The threshold starts at the k-th largest
+lists are candidates.  For the rest a candidate in a pair's intersection list is
+held against the joint maximum, any other against the larger of the two term
+maxima, and those whose bound falls below the threshold go before the single
+postings are looked up.  The threshold starts at the k-th largest
 impact that any list of the query has in the whole corpus, so it holds in every
 shard.  All skipping is safe: results equal an exhaustive scoring.
 
@@ -43,8 +43,8 @@ from .common import text_slices, written
 
 #: terms of queries that are held in memory at once; more queries go block by block
 BLOCK_TERMS = 200_000
-#: documents of a shard
-SHARD_DOCS = 8192
+#: documents of a shard, 65,536 at most
+SHARD_DOCS = 4096
 #: postings of a shard, beyond which it is closed early
 SHARD_POSTINGS = 1_500_000
 #: each term is paired with so many that follow it in a query's order of rarity
@@ -113,42 +113,49 @@ def term_pairs(queries: list[np.ndarray], df: np.ndarray, neighbours: int = NEIG
 
 
 class Shard:
-    """Postings and pair lists of some documents: ``doc`` and ``impact`` hold the
-    lists of all terms, then of all pairs, one after another, by ``cut``."""
+    """Lists of some documents by ``cut``: ``doc`` holds the documents of all terms
+    and then of all pairs, ``part`` for the terms the impact without the weight;
+    ``top`` is the largest impact of each list."""
 
-    def __init__(self, doc, impact, cut, top):
-        self.doc, self.impact, self.cut, self.top = doc, impact, cut, top
+    def __init__(self, doc, part, cut, top, weight):
+        self.doc, self.part, self.cut, self.top, self.weight = doc, part, cut, top, weight
 
-    def postings(self, unit: int):
-        own = slice(self.cut[unit], self.cut[unit + 1])
-        return self.doc[own], self.impact[own]
+    def docs(self, unit: int):
+        return self.doc[self.cut[unit]:self.cut[unit + 1]].astype(np.int64)
 
+    def impacts(self, term: int):
+        return self.weight[term] * self.part[self.cut[term]:self.cut[term + 1]].astype(np.int64)
 
-def build_shard(lengths, term, tf, bounds, pairs, weight, n: int, total: int) -> Shard:
-    """The index of the documents whose terms lie between ``bounds``."""
+
+def _largest(values: np.ndarray, k: int) -> np.ndarray:
+    return values if len(values) <= k else np.partition(values, len(values) - k)[-k:]
+
+
+def build_shard(lengths, term, tf, bounds, pairs, weight, n: int, total: int, k: int):
+    """The index of the documents whose terms lie between ``bounds``, and of every
+    list (by number) the k largest impacts."""
     doc = np.repeat(np.arange(len(lengths)), np.diff(bounds))
     m = 10 + 90 * lengths * n // total
-    impact = weight[term] * (1_000_000_000 * tf // (1000 * tf + 8 * m[doc]))
+    part = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])  # under 10^6
     order = np.lexsort((doc, term))
-    doc, impact = doc[order].astype(np.int32), impact[order]
+    doc, part = doc[order].astype(np.uint16), part[order].astype(np.int32)
     cut = np.searchsorted(term[order], np.arange(len(weight) + 1))
-    docs, impacts, sizes = [doc], [impact], [np.diff(cut)]
-    both = np.zeros(len(pairs), np.int64)
+    docs, sizes, top, best = [doc], np.zeros(len(pairs), np.int64), np.zeros(len(weight) + len(pairs), np.int64), {}
+    single = Shard(doc, part, cut, top, weight)
+    for t in np.flatnonzero(np.diff(cut)).tolist():
+        best[t] = _largest(single.impacts(t), k)
+        top[t] = best[t].max()
     for i, (a, b) in enumerate(pairs.tolist()):
-        x, y = slice(cut[a], cut[a + 1]), slice(cut[b], cut[b + 1])
-        if x.start == x.stop or y.start == y.stop:
+        if a not in best or b not in best:
             continue
-        shared, at_a, at_b = np.intersect1d(doc[x], doc[y], assume_unique=True, return_indices=True)
-        both[i] = len(shared)
-        docs.append(shared)
-        impacts.append(impact[x][at_a] + impact[y][at_b])
-    cut = np.concatenate([[0], np.cumsum(np.concatenate([sizes[0], both]))])
-    doc, impact = np.concatenate(docs), np.concatenate(impacts)
-    top = np.zeros(len(cut) - 1, np.int64)
-    filled = np.flatnonzero(np.diff(cut))
-    if len(filled):
-        top[filled] = np.maximum.reduceat(impact, cut[filled])
-    return Shard(doc, impact, cut, top)
+        shared, at_a, at_b = np.intersect1d(doc[cut[a]:cut[a + 1]], doc[cut[b]:cut[b + 1]], assume_unique=True, return_indices=True)
+        if len(shared):
+            sizes[i] = len(shared)
+            docs.append(shared)
+            best[len(weight) + i] = _largest(single.impacts(a)[at_a] + single.impacts(b)[at_b], k)
+            top[len(weight) + i] = best[len(weight) + i].max()
+    cut = np.concatenate([cut, cut[-1] + np.cumsum(sizes)])
+    return Shard(np.concatenate(docs), part, cut, top, weight), best
 
 
 def build_index(forward: DataFrame, pairs: np.ndarray, weight: np.ndarray, n: int, total: int, k: int,
@@ -158,21 +165,15 @@ def build_index(forward: DataFrame, pairs: np.ndarray, weight: np.ndarray, n: in
     def pack(rows):
         ids, lengths, found, counts = zip(*rows)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        s = build_shard(np.array(lengths, np.int64), np.concatenate(found).astype(np.int64), np.concatenate(counts).astype(np.int64),
-                        bounds, pairs, weight, n, total)
-        units, best = [], []
-        for u in np.flatnonzero(np.diff(s.cut)).tolist():
-            _, impact = s.postings(u)
-            high = impact if len(impact) <= k else np.partition(impact, len(impact) - k)[-k:]
-            units += [u] * len(high)
-            best += high.tolist()
+        s, best = build_shard(np.array(lengths, np.int64), np.concatenate(found).astype(np.int64),
+                              np.concatenate(counts).astype(np.int64), bounds, pairs, weight, n, total, k)
+        units = np.repeat(np.array(list(best), np.int32), [len(v) for v in best.values()])
+        high = pa.StructArray.from_arrays([pa.array(units), pa.array(np.concatenate(list(best.values())))], names=["unit", "impact"])
         return pa.RecordBatch.from_arrays(
             [pa.array([ids], pa.list_(pa.int64())),
-             *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
-               for x in (s.doc.astype(np.int32), s.impact.astype(np.int64), s.cut.astype(np.int64), s.top.astype(np.int64))),
-             pa.array([[{"unit": u, "impact": i} for u, i in zip(units, best)]],
-                      pa.list_(pa.struct([("unit", pa.int32()), ("impact", pa.int64())])))],
-            names=["ids", "doc", "impact", "cut", "top", "best"])
+             *(pa.array([x.tobytes()], pa.binary()) for x in (s.doc, s.part, s.cut, s.top)),
+             pa.ListArray.from_arrays(pa.array([0, len(high)], pa.int32()), high)],
+            names=["ids", "doc", "part", "cut", "top", "best"])
 
     def run(batches):
         held, postings = [], 0
@@ -192,7 +193,7 @@ def build_index(forward: DataFrame, pairs: np.ndarray, weight: np.ndarray, n: in
         if held:
             yield pack(held)
 
-    return forward.mapInArrow(run, "ids array<long>, doc binary, impact binary, cut binary, top binary, "
+    return forward.mapInArrow(run, "ids array<long>, doc binary, part binary, cut binary, top binary, "
                                    "best array<struct<unit: int, impact: long>>")
 
 
@@ -235,8 +236,7 @@ def search_shard(s: Shard, n_docs: int, units: list, k: int, threshold: int):
     # essential lists: as long as a document met for the first time could still be among the best
     while at < len(units) and left[at] >= max(threshold, 1):
         for t in units[at][2]:
-            doc, impact = s.postings(t)
-            score[doc] += impact
+            score[s.docs(t)] += s.impacts(t)
         at += 1
         threshold = raised(threshold, score)
     docs = np.flatnonzero(score)
@@ -247,19 +247,13 @@ def search_shard(s: Shard, n_docs: int, units: list, k: int, threshold: int):
         keep = mine + left[at] >= threshold
         docs, mine = docs[keep], mine[keep]
         if pair >= 0:
-            listed, joint = s.postings(pair)
-            where, both = _found(docs, listed)
-            mine[both] += joint[where[both]]
+            _, both = _found(docs, s.docs(pair))
             most = max(int(s.top[t]) for t in members)
-            keep = mine + np.where(both, 0, most) + after >= threshold
-            docs, mine, single = docs[keep], mine[keep], ~both[keep]
-        else:
-            single = np.ones(len(docs), bool)
+            keep = mine + np.where(both, s.top[pair], most) + after >= threshold
+            docs, mine = docs[keep], mine[keep]
         for t in members:
-            listed, impact = s.postings(t)
-            where, has = _found(docs, listed)
-            has &= single
-            mine[has] += impact[where[has]]
+            where, has = _found(docs, s.docs(t))
+            mine[has] += s.impacts(t)[where[has]]
         at += 1
         threshold = raised(threshold, mine)
     keep = (mine >= threshold) & (mine > 0)
@@ -308,7 +302,7 @@ def _search_block(docs: DataFrame, block: list, k: int, id_col: str, text_col: s
             for i in range(batch.num_rows):
                 ids = batch.column(0)[i].as_py()
                 s = Shard(*(np.frombuffer(batch.column(c)[i].as_py(), kind)
-                            for c, kind in ((1, np.int32), (2, np.int64), (3, np.int64), (4, np.int64))))
+                            for c, kind in ((1, np.uint16), (2, np.int32), (3, np.int64), (4, np.int64))), weight)
                 out = ([], [], [])
                 for (row, query), start in zip(asked, starts):
                     found, score = search_shard(s, len(ids), matched_units(query, s, pair_of, n_terms, df), k, start)
@@ -318,7 +312,7 @@ def _search_block(docs: DataFrame, block: list, k: int, id_col: str, text_col: s
                     out[2].extend(-b[0] for b in best)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "doc_id", "score"])
 
-    return index.select("ids", "doc", "impact", "cut", "top").mapInArrow(run, "query long, doc_id long, score long")
+    return index.select("ids", "doc", "part", "cut", "top").mapInArrow(run, "query long, doc_id long, score long")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text",
