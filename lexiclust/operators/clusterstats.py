@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import extremes
 from . import pairs as pr
 from . import vectors as vv
 from .validity import ClusterValidity
@@ -28,11 +29,25 @@ def _out(name: str, df: DataFrame, value) -> DataFrame:
                      value.cast("double").alias("value"))
 
 
+def _within(cv: ClusterValidity, stats: list[str]) -> DataFrame | None:
+    """``label, sum_dist, n_pairs, max_dist`` inside labels: from the pair pass if a
+    statistic needs it anyway, else from pairs of equal labels, and for the
+    largest distance alone from the rows that can reach it."""
+    if "scan" in cv.__dict__ or "silhouette" in stats:
+        return cv.lps.where(F.col("label_i") == F.col("label_j")).select(
+            F.col("label_i").alias("label"), "sum_dist", "n_pairs", "max_dist")
+    if "mean_dist" in stats:
+        return pr.own_label_sums(cv.df, block_rows=cv.block_rows).groupBy("label").agg(
+            F.sum("sum_dist").alias("sum_dist"), F.sum("n_own").alias("n_pairs"), F.max("max_dist").alias("max_dist"))
+    if "max_dist" in stats:
+        return extremes.diameters(cv.df, block_rows=cv.block_rows).withColumnRenamed("diameter", "max_dist")
+    return None
+
+
 def cluster_stats(cv: ClusterValidity, stats: list[str] | None = None) -> DataFrame:
     stats = stats or STATS
     sizes = cv.df.groupBy("label").agg(F.count("*").alias("n_l"))
-    within = cv.lps.where(F.col("label_i") == F.col("label_j")).select(
-        F.col("label_i").alias("label"), "sum_dist", "n_pairs", "max_dist")
+    within = _within(cv, stats)
     big = sizes.where(F.col("n_l") >= 2)
     rcd = vv.row_centroid_distance(cv.df).groupBy("label").agg(
         F.avg("dist").alias("mean_cd"), F.sum("dist").alias("sum_cd"))

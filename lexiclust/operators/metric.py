@@ -96,8 +96,8 @@ def _blocks(placed: DataFrame, block_rows: int):
     return dealt, bounds
 
 
-def _visits(placed: DataFrame, bounds: DataFrame, points: np.ndarray) -> DataFrame:
-    """``id, v, radius, order`` of each row with every block it must visit."""
+def _visits(rows: DataFrame, bounds: DataFrame, points: np.ndarray) -> DataFrame:
+    """``id, radius, order`` of each row with every block it must visit."""
     span = {r["cell"]: (r["lo"], r["hi"]) for r in bounds.groupBy("cell").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}  # one row a pivot
     cells = np.array(sorted(span), np.int64)
@@ -121,7 +121,7 @@ def _visits(placed: DataFrame, bounds: DataFrame, points: np.ndarray) -> DataFra
                      pa.array(cells[c]), pa.array(np.column_stack([d[i, c], wide[i, c]]).tolist(), pa.list_(pa.float64()))],
                     names=names)
 
-    asked = placed.where("radius >= 0 and not isnan(radius)").select("id", "v", "radius", "order")
+    asked = rows.where("radius >= 0 and not isnan(radius)").select("id", "v", "radius", "order")
     to_cells = asked.mapInArrow(run, "id long, radius double, order long, cell long, near array<double>")
     d, wide = F.col("near")[0], F.col("near")[1]
     met = to_cells.join(bounds, "cell").where((d - wide <= F.col("hi")) & (d + wide >= F.col("lo")) &
@@ -129,42 +129,66 @@ def _visits(placed: DataFrame, bounds: DataFrame, points: np.ndarray) -> DataFra
     return met.select("id", "radius", "order", "cell", "slice", "part")
 
 
-def _prepared(df, radius_col, order_col, id_col, vec_col, block_rows, most_pivots):
-    order = F.col(order_col).cast("long") if order_col else F.lit(None).cast("long")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"),
-                     F.col(radius_col).cast("double").alias("radius"), order.alias("order"))
-    rows = cut_lineage(rows)
+def _prepared(queries: DataFrame, rows: DataFrame, block_rows: int, most_pivots: int):
+    """Members of the blocks of ``rows``, the blocks' bounds, and the visits of ``queries``."""
     n = rows.count()
     if not n:
         return None
     points = pivots(rows, n, most=most_pivots)
-    members, bounds = _blocks(_placed(rows, points), block_rows)
+    members, bounds = _blocks(_placed(rows.select("id", "v", "order", "group"), points), block_rows)
     bounds = cut_lineage(bounds)
-    return rows, members, bounds, _visits(rows, bounds, points)
+    return members, bounds, _visits(queries, bounds, points)
+
+
+def _rows(df, id_col, vec_col, radius_col=None, order_col=None, group_col=None):
+    def taken(col, kind):
+        return (F.col(col) if col else F.lit(None)).cast(kind)
+    return cut_lineage(df.select(
+        F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"),
+        taken(radius_col, "double").alias("radius"), taken(order_col, "long").alias("order"), taken(group_col, "long").alias("group")))
 
 
 def visited_share(df: DataFrame, radius_col: str, order_col: str | None = None, id_col: str = "vec_id",
                   vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, most_pivots: int = MOST_PIVOTS) -> float:
     """Share of all ordered pairs of rows that the join compares."""
-    ready = _prepared(df, radius_col, order_col, id_col, vec_col, block_rows, most_pivots)
+    rows = _rows(df, id_col, vec_col, radius_col, order_col)
+    ready = _prepared(rows, rows, block_rows, most_pivots)
     if ready is None:
         return 0.0
-    rows, _, bounds, visits = ready
+    _, bounds, visits = ready
     pairs = visits.join(bounds, ["cell", "slice", "part"]).agg(F.sum("members")).first()[0] or 0
     return pairs / rows.count() ** 2
 
 
 def radius_join(df: DataFrame, radius_col: str, order_col: str | None = None, id_col: str = "vec_id",
-                vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+                vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, most_pivots: int = MOST_PIVOTS,
+                apart_col: str | None = None) -> DataFrame:
     """``(id, nbr_id, dist)``: for each row the other rows within its own radius,
-    with ``order_col`` only those of a smaller order."""
-    ready = _prepared(df, radius_col, order_col, id_col, vec_col, block_rows, most_pivots)
+    with ``order_col`` only those of a smaller order, with ``apart_col`` only those
+    of another value."""
+    rows = _rows(df, id_col, vec_col, radius_col, order_col, apart_col)
+    return _search(rows, rows, id_col, block_rows, most_pivots, others=True, ordered=bool(order_col), apart=bool(apart_col))
+
+
+def radius_search(queries: DataFrame, points: DataFrame, radius_col: str, id_col: str = "vec_id", vec_col: str = "embedding",
+                  point_id: str = "vec_id", point_vec: str = "embedding", apart: tuple[str, str] | None = None,
+                  block_rows: int = BLOCK_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """``(id, nbr_id, dist)``: for each query row the ``points`` within its radius,
+    with ``apart`` (a column of each) only those of another value."""
+    own, other = apart or (None, None)
+    asked = _rows(queries, id_col, vec_col, radius_col, None, own)
+    return _search(asked, _rows(points, point_id, point_vec, group_col=other), id_col, block_rows, most_pivots, apart=bool(apart))
+
+
+def _search(queries, rows, id_col, block_rows, most_pivots, others=False, ordered=False, apart=False) -> DataFrame:
+    ready = _prepared(queries, rows, block_rows, most_pivots)
     if ready is None:
-        return df.sparkSession.createDataFrame([], f"{id_col} long, nbr_id long, dist double")
-    rows, members, bounds, visits = ready
+        return rows.sparkSession.createDataFrame([], f"{id_col} long, nbr_id long, dist double")
+    members, bounds, visits = ready
     block = ["cell", "slice", "part"]
-    held = members.select(*block, F.lit(0).alias("role"), "id", "v", F.lit(None).cast("double").alias("radius"), "order")
-    coming = visits.join(rows.select("id", "v"), "id").select(*block, F.lit(1).alias("role"), "id", "v", "radius", "order")
+    held = members.select(*block, F.lit(0).alias("role"), "id", "v", F.lit(None).cast("double").alias("radius"), "order", "group")
+    coming = visits.join(queries.select("id", "v", "group"), "id").select(
+        *block, F.lit(1).alias("role"), "id", "v", "radius", "order", "group")
     met = held.unionByName(coming).repartition(*block).sortWithinPartitions(*block, "role")
 
     def pairs(batches):
@@ -178,26 +202,32 @@ def radius_join(df: DataFrame, radius_col: str, order_col: str | None = None, id
                 key, role = tuple(keys[a, :3].tolist()), keys[a, 3]
                 part = batch.slice(a, b - a)
                 ids, m = part.column(4).to_numpy(), _matrix(part.column(5))
-                order = part.column(7).to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
+                order, group = (part.column(c).fill_null(0).to_numpy() for c in (7, 8))
                 if key != place:
                     place, mine = key, None
                 if role == 0:  # a block may begin in one batch and end in the next
-                    mine = [(ids, m, order)] if mine is None else [*mine, (ids, m, order)]
+                    mine = [(ids, m, order, group)] if mine is None else [*mine, (ids, m, order, group)]
+                    continue
+                if mine is None:
                     continue
-                own_ids, own, own_order = (np.concatenate(x) for x in zip(*mine))
-                mine = [(own_ids, own, own_order)]
+                own_ids, own, own_order, own_group = (np.concatenate(x) for x in zip(*mine))
+                mine = [(own_ids, own, own_order, own_group)]
                 radius = part.column(6).to_numpy(zero_copy_only=False)
                 for s in range(0, len(ids), 512):
-                    x, r = m[s:s + 512], radius[s:s + 512, None]
+                    x, r, step = m[s:s + 512], radius[s:s + 512, None], slice(s, s + 512)
                     square, error = _rough(x, own)
-                    near = (square - error <= (r * (1 + SLACK)) ** 2) & (ids[s:s + 512, None] != own_ids[None, :])
-                    if order_col:
-                        near &= own_order[None, :] < order[s:s + 512, None]
+                    near = square - error <= (r * (1 + SLACK)) ** 2
+                    if others:
+                        near &= ids[step, None] != own_ids[None, :]
+                    if ordered:
+                        near &= own_order[None, :] < order[step, None]
+                    if apart:
+                        near &= own_group[None, :] != group[step, None]
                     i, j = np.nonzero(near)
                     diff = x[i] - own[j]
                     d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
                     ok = d <= r[i, 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[s:s + 512][i[ok]]), pa.array(own_ids[j[ok]]), pa.array(d[ok])],
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[step][i[ok]]), pa.array(own_ids[j[ok]]), pa.array(d[ok])],
                                                      names=[id_col, "nbr_id", "dist"])
 
     return met.mapInArrow(pairs, f"{id_col} long, nbr_id long, dist double")

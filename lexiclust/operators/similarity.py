@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from . import ivf
 from . import pairs as pr
-from .vectors import long_form
+from .vectors import centroid_arrays
 
 
 def unit_long(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -100,12 +100,16 @@ def avg_rank(df: DataFrame, col: str, out: str, key: list[str]) -> DataFrame:
     return idx.join(ties, col).drop("_i")
 
 
-def medoids(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
-            block_rows: int = pr.DEFAULT_BLOCK_ROWS) -> DataFrame:
+def medoids(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per label the member with the smallest mean cosine distance to the
-    other members (ties: smaller id): ``(label, medoid_id, mean_cos_dist)``."""
-    sums = pr.own_label_sums(df, label_col, id_col, vec_col, block_rows, metric="cosine").where("n_own > 0")
-    own = sums.select(F.col(label_col).alias("label"), id_col, F.try_divide(F.col("sum_dist"), F.col("n_own")).alias("m"))
-    best = own.groupBy("label").agg(F.min(F.struct("m", id_col)).alias("b"))
-    return best.select(F.col("label").alias(label_col), F.col(f"b.{id_col}").alias("medoid_id"),
-                       F.col("b.m").alias("mean_cos_dist"))
+    other members (ties: smaller id): ``(label, medoid_id, mean_cos_dist)``.
+    Cosines are linear in the unit vectors: those of a row to all others of its
+    label sum to ``u . (sum of the label) - u . u``, so no pair of rows is formed."""
+    unit = df.select(F.col(label_col).cast("long").alias("label"), F.col(id_col).alias("id"),
+                     vx.unit(vx.as_double(vec_col)).alias("u"))
+    centre = centroid_arrays(unit, "label", "id", "u")
+    rows = unit.join(centre, "label").where(F.col("n") > 1)
+    others = vx.dot("u", "centroid") * F.col("n") - vx.dot("u", "u")
+    own = rows.select("label", "id", (1.0 - F.try_divide(others, F.col("n") - 1)).alias("m"))
+    best = own.groupBy("label").agg(F.min(F.struct("m", "id")).alias("b"))
+    return best.select(F.col("label").alias(label_col), F.col("b.id").alias("medoid_id"), F.col("b.m").alias("mean_cos_dist"))

@@ -3,11 +3,15 @@
 Three shared passes feed every index:
 
 * centroid pass - long-form deviations -> per-label scatter (K rows),
-  global scatter (1 row), centroid distances (K^2 rows);
+  global scatter (1 row), extremes of the centroid distances (K rows; K^2 only
+  for hubert);
 * pair pass - blocked all-pairs engine -> label-pair distance aggregates
   and each row's own and nearest label mean (for silhouette);
 * kNN pass - exact 10-NN (CVNN separation).
 
+S_Dbw finds the midpoints near a row by a radius search over the centroids, and
+Dunn alone needs no pair pass: ``extremes`` prunes to the rows that can matter.
+
 Each pass result is small next to the input (K x d, K^2, n, n x k rows)
 and is written once through a reliable checkpoint, so the dozen metrics read
 it instead of re-running the pair engine.
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
+from . import extremes
+from . import metric
 from . import pairs as pr
 from . import vectors as vv
 
@@ -76,13 +82,18 @@ class ClusterValidity:
         r = self.glob.first()
         return {c: F.lit(r[c]) for c in ("sst", "var_norm", "std_norm")}
 
+    @cached_property
+    def _ext(self):
+        """Extremes of each centroid's distances to the others; K rows."""
+        spread = vv.row_centroid_distance(self.df).groupBy("label").agg(F.avg("dist").alias("spread"))
+        return cut_lineage(vv.centroid_extremes(self.cen_arr.join(spread, "label"), spread_col="spread",
+                                                block_rows=self.block_rows).join(spread, "label"))
+
     @cached_property
     def _cd_vals(self):
-        r = self.cd.agg(F.max("d").alias("maxd"), F.min("d").alias("mind")).first()
-        inv = self.cd.groupBy("label_a").agg(F.try_divide(F.lit(1.0), F.sum("d")).alias("inv")) \
-            .agg(F.sum("inv")).first()[0]
-        return {"maxd": F.lit(r["maxd"]).cast("double"), "mind": F.lit(r["mind"]).cast("double"),
-                "inv": F.lit(inv).cast("double")}
+        r = self._ext.agg(F.max("max_d").alias("maxd"), F.min("min_d").alias("mind"),
+                          F.sum(F.try_divide(F.lit(1.0), F.col("sum_d"))).alias("inv")).first()
+        return {c: F.lit(r[c]).cast("double") for c in ("maxd", "mind", "inv")}
 
     # -- centroid pass
     @cached_property
@@ -153,12 +164,23 @@ class ClusterValidity:
         return self._row("i_index", self.lab, F.try_divide(F.sqrt(sst) * maxd, self.k * F.sum(F.sqrt("ss"))))
 
     def dunn(self):
+        """From the pair pass where it has run, else by pruned extremes."""
+        if "scan" not in self.__dict__:
+            return self._row("dunn", self._extremes, F.try_divide(F.max("gap"), F.coalesce(F.max("diameter"), F.lit(0.0))))
         cross = F.col("label_i") != F.col("label_j")
         num = F.when(F.sum(F.when(cross & F.col("min_nz_dist").isNull(), 1).otherwise(0)) > 0, F.lit(None)) \
             .otherwise(F.min(F.when(cross, F.col("min_nz_dist"))))
         den = F.coalesce(F.max(F.when(~cross, F.col("max_dist"))), F.lit(0.0))
         return self._row("dunn", self.lps, F.try_divide(num, den))
 
+    @cached_property
+    def _extremes(self):
+        """One row: ``gap``, the least distance above 0 of rows of unlike labels (null
+        where two labels have one point in common and no other), and ``diameter``."""
+        diameter = extremes.diameters(self.df, block_rows=self.block_rows).agg(F.max("diameter")).scalar()
+        gap = extremes.label_gap(self.df, block_rows=self.block_rows)
+        return cut_lineage(gap.select("gap", diameter.alias("diameter")))
+
     def _silhouette_rows(self):
         per = pr.scanned_rows(self.scan).withColumnsRenamed({"own_mean": "a", "near_mean": "b"})
         s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
@@ -172,14 +194,9 @@ class ClusterValidity:
         return self._row("silhouette", rows, val)
 
     def _db_scores(self):
-        s = vv.row_centroid_distance(self.df).groupBy("label").agg(F.avg("dist").alias("s"))
-        sa = s.select(F.col("label").alias("label_a"), F.col("s").alias("sa"))
-        sb = s.select(F.col("label").alias("label_b"), F.col("s").alias("sb"))
-        j = self.cd.join(sa, "label_a").join(sb, "label_b")
-        ratio = F.when(F.col("d") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("sa") + F.col("sb"), F.col("d")))
-        per = j.groupBy("label_a").agg(F.max(ratio).alias("score"))
-        all_s_zero = s.agg(F.max("s") == 0).scalar()
-        all_d_zero = self.cd.agg(F.coalesce(F.max("d"), F.lit(0.0)) == 0).scalar()
+        per = self._ext.where(F.col("score").isNotNull()).select(F.col("label").alias("label_a"), "score")
+        all_s_zero = self._ext.agg(F.max("spread") == 0).scalar()
+        all_d_zero = self._ext.agg(F.coalesce(F.max("max_d"), F.lit(0.0)) == 0).scalar()
         return per, all_s_zero, all_d_zero
 
     def davies_bouldin(self):
@@ -206,26 +223,25 @@ class ClusterValidity:
         v = self.df.select("vec_id", "label", "embedding")
         own = v.join(cen.select("label", "centroid"), "label") \
             .groupBy("label").agg(F.sum((vx.l2_dist("embedding", "centroid") <= radius).cast("long")).alias("dens"))
-        a = cen.select(F.col("label").alias("label_a"), F.col("centroid").alias("ca"))
-        b = cen.select(F.col("label").alias("label_b"), F.col("centroid").alias("cb"))
-        # label pairs from the centroid-distance table (equi-joins only)
-        mids = self.cd.select("label_a", "label_b").join(a, "label_a").join(b, "label_b") \
-            .select("label_a", "label_b", vx.scale(vx.add("ca", "cb"), F.lit(0.5)).alias("mid"))
-        near = v.join(mids, v.label == mids.label_a).groupBy("label_a", "label_b").agg(
-            F.sum((vx.l2_dist("embedding", "mid") <= radius).cast("long")).alias("cnt"))
-        rev = near.select(F.col("label_a").alias("label_b"), F.col("label_b").alias("label_a"),
-                          F.col("cnt").alias("cnt_rev"))
-        pair = near.join(rev, ["label_a", "label_b"])
+        # |x - (ca + cb) / 2| <= r means |(2 x - ca) - cb| <= 2 r: centroids within a radius of one point a row
+        mirrored = v.join(cen.select("label", "centroid"), "label").select(
+            "vec_id", "label", vx.sub(vx.scale("embedding", F.lit(2.0)), "centroid").alias("embedding"), (2 * radius).alias("r"))
+        hits = metric.radius_search(mirrored, cen, "r", point_id="label", point_vec="centroid", apart=("label", "label"),
+                                    block_rows=self.block_rows)
+        counted = hits.join(v.select("vec_id", "label"), "vec_id").groupBy(
+            F.col("label").alias("label_a"), F.col("nbr_id").alias("label_b")).agg(F.count(F.lit(1)).alias("cnt"))
         da = own.select(F.col("label").alias("label_a"), F.col("dens").alias("da"))
         db = own.select(F.col("label").alias("label_b"), F.col("dens").alias("db"))
-        pair = pair.join(da, "label_a").join(db, "label_b")
-        mx = F.greatest("da", "db")
-        term = F.when(mx == 0, F.lit(None)).otherwise(F.try_divide(F.col("cnt") + F.col("cnt_rev"), mx))
+        # the term (cnt_ab + cnt_ba) / max(da, db) of both orders: every count enters twice; pairs without hits add 0
+        shares = counted.join(da, "label_a").join(db, "label_b").agg(
+            F.sum(F.try_divide(F.col("cnt"), F.greatest("da", "db")))).scalar()
         all_std = self._glob_vals["std_norm"]
         scat = F.try_divide(self.lab.agg(F.sum("std_norm")).scalar(), all_std * self.k)
-        dens_bw = F.when(F.sum(F.when(term.isNull(), 1).otherwise(0)) > 0, F.lit(None)) \
-            .otherwise(F.try_divide(F.sum(term), self.k * (self.k - 1)))
-        return self._row("s_dbw", pair, dens_bw + scat)
+        # two labels of density 0 leave a term undefined
+        undefined = (F.count(F.lit(1)) < 2) | (F.sum((F.col("dens") == 0).cast("int")) > 1)
+        dens_bw = F.when(undefined, F.lit(None)).otherwise(
+            F.try_divide(2.0 * F.coalesce(shares, F.lit(0.0)), self.k * (self.k - 1)))
+        return self._row("s_dbw", own, dens_bw + scat)
 
     def cvnn(self):
         within = self.lps.where(F.col("label_i") == F.col("label_j")).select(

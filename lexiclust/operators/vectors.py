@@ -9,10 +9,13 @@ back by label; Spark/AQE decide broadcast vs shuffle from measured size.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from .blockscan import block_scan, matrix
 
 
 def long_form(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -123,3 +126,80 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, label_col: str = "labe
     if blocks > 1:
         found = found.groupBy(id_col).agg(F.min("_best").alias("_best"))
     return found.select(id_col, F.col("_best.l").alias("nearest"), F.col("_best.d").alias("dist"))
+
+
+def centroid_extremes(centroids: DataFrame, label_col: str = "label", spread_col: str | None = None,
+                      block_rows: int = 2048) -> DataFrame:
+    """``(label, sum_d, max_d, min_d, score)`` of each centroid's distances to the
+    others: blocks of packed centroids pass each other and keep running extremes,
+    so K rows leave a block, never K x K.  ``score`` is the largest
+    ``(spread + other spread) / distance`` (0 where the distance is 0)."""
+    rows = centroids.select(F.col(label_col).cast("long").alias("label"), vx.as_double("centroid").alias("c"),
+                            (F.col(spread_col) if spread_col else F.lit(0.0)).cast("double").alias("s"))
+
+    class Extremes:
+        def __init__(self, mine):
+            self.label, self.c, self.s = mine["label"].to_numpy(), matrix(mine["c"]), mine["s"].to_numpy()
+            self.sum, self.high = np.zeros(len(self.label)), np.full(len(self.label), -np.inf)
+            self.low, self.score = np.full(len(self.label), np.inf), np.full(len(self.label), -np.inf)
+
+        def add(self, rows):
+            label, c, s = rows["label"].to_numpy(), matrix(rows["c"]), rows["s"].to_numpy()
+            step = max(1, (1 << 22) // max(1, c.size))  # bounds the temporary
+            for a in range(0, len(self.label), step):
+                own = slice(a, a + step)
+                diff = self.c[own, None, :] - c[None, :, :]
+                d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+                other = self.label[own, None] != label[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = np.where(d > 0, (self.s[own, None] + s[None, :]) / d, 0.0)
+                self.sum[own] += np.where(other, d, 0.0).sum(axis=1)
+                self.high[own] = np.maximum(self.high[own], np.where(other, d, -np.inf).max(axis=1))
+                self.low[own] = np.minimum(self.low[own], np.where(other, d, np.inf).min(axis=1))
+                self.score[own] = np.maximum(self.score[own], np.where(other, ratio, -np.inf).max(axis=1))
+
+        def result(self):
+            alone = ~np.isfinite(self.high)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(self.label), *(pa.array(x, mask=alone) for x in (self.sum, self.high, self.low, self.score))],
+                names=["label", "sum_d", "max_d", "min_d", "score"])
+
+    return block_scan(rows, rows, "label", Extremes, "label long, sum_d double, max_d double, min_d double, score double", block_rows)
+
+
+def square_silhouette(df: DataFrame, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
+                      block_rows: int = 2048) -> DataFrame:
+    """``(id, label, s)``: the silhouette of squared distances.  The mean squared
+    distance of x to a label is ``|x|^2 - 2 x.mean + mean |y|^2``, so the labels'
+    sums stand for their rows and no pair of rows is formed.  A row alone in its
+    label has 0; null where there is no other label."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), vx.as_double(vec_col).alias("v"))
+    squares = rows.groupBy("label").agg(F.avg(vx.dot("v", "v")).alias("square"), F.count(F.lit(1)).alias("n"))
+    labels = centroid_arrays(rows, "label", "id", "v").drop("n").join(squares, "label")
+    held = rows.select("id", "label", "v", F.lit(None).cast("double").alias("square"), F.lit(None).cast("long").alias("n"))
+    passing = labels.select(F.lit(None).cast("long").alias("id"), "label", F.col("centroid").alias("v"), "square", "n")
+
+    class Means:
+        def __init__(self, mine):
+            self.id, self.label, self.v = mine["id"].to_numpy(), mine["label"].to_numpy(), matrix(mine["v"])
+            self.square = np.einsum("ij,ij->i", self.v, self.v)
+            self.own, self.other = np.full(len(self.id), np.nan), np.full(len(self.id), np.inf)
+
+        def add(self, rows):
+            label, mean, square, n = rows["label"].to_numpy(), matrix(rows["v"]), rows["square"].to_numpy(), rows["n"].to_numpy()
+            d = np.maximum(self.square[:, None] - 2.0 * (self.v @ mean.T) + square[None, :], 0.0)
+            same = self.label[:, None] == label[None, :]
+            i, j = np.nonzero(same)
+            several = n[j] > 1
+            self.own[i[several]] = d[i, j][several] * n[j][several] / (n[j][several] - 1)  # the row itself is at 0
+            self.other = np.minimum(self.other, np.where(same, np.inf, d).min(axis=1))
+
+        def result(self):
+            high = np.maximum(self.own, self.other)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(high > 0, (self.other - self.own) / high, 0.0)
+            s[np.isnan(self.own)] = 0.0
+            return pa.RecordBatch.from_arrays([pa.array(self.id), pa.array(self.label), pa.array(s, mask=np.isinf(self.other))],
+                                              names=["id", "label", "s"])
+
+    return block_scan(held, passing, "id", Means, "id long, label long, s double", block_rows).withColumnRenamed("id", id_col)

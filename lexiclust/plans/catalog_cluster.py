@@ -135,6 +135,20 @@ def _cv_run_all(spark, d):
     return _cv(spark, d, va.METRICS)
 
 
+@register("cv_silhouette_square", """
+WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.v, b.v), 2)) AS s, count(*) AS n
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),
+m AS (SELECT vec_id, max(CASE WHEN label = other THEN s / n END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b
+      FROM p GROUP BY vec_id)
+SELECT 'silhouette_square' AS metric, """ + sig_sql("avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END)") + """ AS value FROM m
+""")
+def _cv_silhouette_square(spark, d):
+    """The approximate form: squared distances, from label sums in one scan."""
+    rows = vv.square_silhouette(emb(spark, d))
+    return rows.agg(F.avg("s").alias("s")).select(F.lit("silhouette_square").alias("metric"), vx.sig("s").alias("value"))
+
+
 # --------------------------------------------------------------------------
 # P3 vector statistics
 
