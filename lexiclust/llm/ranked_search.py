@@ -17,8 +17,8 @@ lists are candidates.  For the rest a candidate in a pair's intersection list is
 held against the joint maximum, any other against the larger of the two term
 maxima, and those whose bound falls below the threshold go before the single
 postings are looked up.  The threshold starts at the k-th largest
-impact that any list of the query has in the whole corpus, so it holds in every
-shard.  All skipping is safe: results equal an exhaustive scoring.
+impact that any list of the query has in any one shard: k documents reach it, so
+it holds in every shard.  All skipping is safe: results equal an exhaustive scoring.
 
 Scores are whole numbers.  With N documents that hold a term, L terms in all, n
 in the document, and df documents with the term: ``w = floor(1000 * ln((2 N + 2)
@@ -44,7 +44,7 @@ from .common import text_slices, written
 #: terms of queries that are held in memory at once; more queries go block by block
 BLOCK_TERMS = 200_000
 #: documents of a shard, 65,536 at most
-SHARD_DOCS = 4096
+SHARD_DOCS = 2048
 #: postings of a shard, beyond which it is closed early
 SHARD_POSTINGS = 1_500_000
 #: each term is paired with so many that follow it in a query's order of rarity
@@ -63,7 +63,7 @@ def forward_table(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "
     """``doc_id, n, term, tf`` of every document with a term: its number of terms,
     and the numbers and counts of those in the vocabulary (arrays, by number)."""
     def run(batches):
-        for held in text_slices(batches):
+        for held in text_slices(batches, 1_000_000):
             ids, lengths, bounds, found, counts = [], [], [0], [], []
             for i, text in held:
                 words = terms(text)
@@ -115,10 +115,11 @@ def term_pairs(queries: list[np.ndarray], df: np.ndarray, neighbours: int = NEIG
 class Shard:
     """Lists of some documents by ``cut``: ``doc`` holds the documents of all terms
     and then of all pairs, ``part`` for the terms the impact without the weight;
-    ``top`` is the largest impact of each list."""
+    ``top`` is the largest impact of each list, ``kth`` the k-th largest (0 of
+    shorter lists)."""
 
-    def __init__(self, doc, part, cut, top, weight):
-        self.doc, self.part, self.cut, self.top, self.weight = doc, part, cut, top, weight
+    def __init__(self, doc, part, cut, top, kth, weight):
+        self.doc, self.part, self.cut, self.top, self.kth, self.weight = doc, part, cut, top, kth, weight
 
     def docs(self, unit: int):
         return self.doc[self.cut[unit]:self.cut[unit + 1]].astype(np.int64)
@@ -127,53 +128,50 @@ class Shard:
         return self.weight[term] * self.part[self.cut[term]:self.cut[term + 1]].astype(np.int64)
 
 
-def _largest(values: np.ndarray, k: int) -> np.ndarray:
-    return values if len(values) <= k else np.partition(values, len(values) - k)[-k:]
-
-
 def build_shard(lengths, term, tf, bounds, pairs, weight, n: int, total: int, k: int):
-    """The index of the documents whose terms lie between ``bounds``, and of every
-    list (by number) the k largest impacts."""
+    """The index of the documents whose terms lie between ``bounds``."""
     doc = np.repeat(np.arange(len(lengths)), np.diff(bounds))
     m = 10 + 90 * lengths * n // total
     part = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])  # under 10^6
     order = np.lexsort((doc, term))
     doc, part = doc[order].astype(np.uint16), part[order].astype(np.int32)
     cut = np.searchsorted(term[order], np.arange(len(weight) + 1))
-    docs, sizes, top, best = [doc], np.zeros(len(pairs), np.int64), np.zeros(len(weight) + len(pairs), np.int64), {}
-    single = Shard(doc, part, cut, top, weight)
+    n_terms = len(weight)
+    docs, sizes = [doc], np.zeros(len(pairs), np.int64)
+    top, kth = np.zeros(n_terms + len(pairs), np.int64), np.zeros(n_terms + len(pairs), np.int64)
+    single = Shard(doc, part, cut, top, kth, weight)
+
+    def bounded(unit, impacts):
+        top[unit] = impacts.max()
+        if len(impacts) >= k:
+            kth[unit] = np.partition(impacts, len(impacts) - k)[-k]
+
     for t in np.flatnonzero(np.diff(cut)).tolist():
-        best[t] = _largest(single.impacts(t), k)
-        top[t] = best[t].max()
+        bounded(t, single.impacts(t))
     for i, (a, b) in enumerate(pairs.tolist()):
-        if a not in best or b not in best:
+        if not top[a] or not top[b]:
             continue
         shared, at_a, at_b = np.intersect1d(doc[cut[a]:cut[a + 1]], doc[cut[b]:cut[b + 1]], assume_unique=True, return_indices=True)
         if len(shared):
             sizes[i] = len(shared)
             docs.append(shared)
-            best[len(weight) + i] = _largest(single.impacts(a)[at_a] + single.impacts(b)[at_b], k)
-            top[len(weight) + i] = best[len(weight) + i].max()
+            bounded(n_terms + i, single.impacts(a)[at_a] + single.impacts(b)[at_b])
     cut = np.concatenate([cut, cut[-1] + np.cumsum(sizes)])
-    return Shard(np.concatenate(docs), part, cut, top, weight), best
+    return Shard(np.concatenate(docs), part, cut.astype(np.int32), top, kth, weight)
 
 
 def build_index(forward: DataFrame, pairs: np.ndarray, weight: np.ndarray, n: int, total: int, k: int,
                 shard_docs: int = SHARD_DOCS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
-    """One row a shard: ``ids`` of its documents, its lists as packed numbers, and
-    ``best``: of every list the k largest impacts, as ``(unit, impact)``."""
+    """One row a shard: ``ids`` of its documents and its lists as packed numbers."""
     def pack(rows):
         ids, lengths, found, counts = zip(*rows)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        s, best = build_shard(np.array(lengths, np.int64), np.concatenate(found).astype(np.int64),
-                              np.concatenate(counts).astype(np.int64), bounds, pairs, weight, n, total, k)
-        units = np.repeat(np.array(list(best), np.int32), [len(v) for v in best.values()])
-        high = pa.StructArray.from_arrays([pa.array(units), pa.array(np.concatenate(list(best.values())))], names=["unit", "impact"])
+        s = build_shard(np.array(lengths, np.int64), np.concatenate(found).astype(np.int64),
+                        np.concatenate(counts).astype(np.int64), bounds, pairs, weight, n, total, k)
         return pa.RecordBatch.from_arrays(
             [pa.array([ids], pa.list_(pa.int64())),
-             *(pa.array([x.tobytes()], pa.binary()) for x in (s.doc, s.part, s.cut, s.top)),
-             pa.ListArray.from_arrays(pa.array([0, len(high)], pa.int32()), high)],
-            names=["ids", "doc", "part", "cut", "top", "best"])
+             *(pa.array([x.tobytes()], pa.binary()) for x in (s.doc, s.part, s.cut, s.top, s.kth))],
+            names=["ids", "doc", "part", "cut", "top", "kth"])
 
     def run(batches):
         held, postings = [], 0
@@ -193,8 +191,23 @@ def build_index(forward: DataFrame, pairs: np.ndarray, weight: np.ndarray, n: in
         if held:
             yield pack(held)
 
-    return forward.mapInArrow(run, "ids array<long>, doc binary, part binary, cut binary, top binary, "
-                                   "best array<struct<unit: int, impact: long>>")
+    return forward.mapInArrow(run, "ids array<long>, doc binary, part binary, cut binary, top binary, kth binary")
+
+
+def floors(index: DataFrame, units: int) -> np.ndarray:
+    """For every list the largest ``kth`` of all shards."""
+    def run(batches):
+        most = np.zeros(units, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                most = np.maximum(most, np.frombuffer(x.as_py(), np.int64))
+        some = np.flatnonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(most[some])], names=["unit", "kth"])
+
+    out = np.zeros(units, np.int64)
+    for r in index.select("kth").mapInArrow(run, "unit long, kth long").groupBy("unit").agg(F.max("kth").alias("kth")).collect():
+        out[r["unit"]] = r["kth"]  # one row a list of this block of queries
+    return out
 
 
 def matched_units(query: np.ndarray, s: Shard, pair_of: dict, n_terms: int, df: np.ndarray, neighbours: int = NEIGHBOURS):
@@ -284,13 +297,7 @@ def _search_block(docs: DataFrame, block: list, k: int, id_col: str, text_col: s
     pairs = term_pairs([q for _, q in asked], df)
     pair_of = {(a, b): i for i, (a, b) in enumerate(pairs.tolist())}
     index = written(build_index(forward, pairs, weight, n, total, k, shard_docs), "index")
-    # one number a list: terms and pairs of this block of queries
-    ranked = Window.partitionBy("unit").orderBy(F.col("impact").desc())
-    floor = np.zeros(len(vocabulary) + len(pairs), np.int64)
-    best = (index.select(F.explode("best").alias("b")).select("b.unit", "b.impact")
-            .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k))
-    for r in best.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("impact").alias("v")).where(F.col("n") == k).collect():
-        floor[r["unit"]] = r["v"]
+    floor = floors(index, len(vocabulary) + len(pairs))
     starts = []
     for _, q in asked:
         own = [pair_of[tuple(p)] for p in term_pairs([q], df).tolist()]
@@ -302,7 +309,7 @@ def _search_block(docs: DataFrame, block: list, k: int, id_col: str, text_col: s
             for i in range(batch.num_rows):
                 ids = batch.column(0)[i].as_py()
                 s = Shard(*(np.frombuffer(batch.column(c)[i].as_py(), kind)
-                            for c, kind in ((1, np.uint16), (2, np.int32), (3, np.int64), (4, np.int64))), weight)
+                            for c, kind in ((1, np.uint16), (2, np.int32), (3, np.int32), (4, np.int64), (5, np.int64))), weight)
                 out = ([], [], [])
                 for (row, query), start in zip(asked, starts):
                     found, score = search_shard(s, len(ids), matched_units(query, s, pair_of, n_terms, df), k, start)
@@ -312,7 +319,7 @@ def _search_block(docs: DataFrame, block: list, k: int, id_col: str, text_col: s
                     out[2].extend(-b[0] for b in best)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "doc_id", "score"])
 
-    return index.select("ids", "doc", "part", "cut", "top").mapInArrow(run, "query long, doc_id long, score long")
+    return index.mapInArrow(run, "query long, doc_id long, score long")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text",

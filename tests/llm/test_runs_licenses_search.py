@@ -226,7 +226,7 @@ def test_pair_bounds_skip_documents():
     weight = ranked_search.weights(400, df)
     query = np.arange(3)
     pairs = ranked_search.term_pairs([query], df)
-    apart, _ = ranked_search.build_shard(lengths[1:], term[3:], np.ones(len(term) - 3, np.int64), bounds[1:] - 3, pairs, weight, 400, 4000, 3)
+    apart = ranked_search.build_shard(lengths[1:], term[3:], np.ones(len(term) - 3, np.int64), bounds[1:] - 3, pairs, weight, 400, 4000, 3)
     units = ranked_search.matched_units(query, apart, {tuple(p): i for i, p in enumerate(pairs.tolist())}, 3, df)
     assert units[0][0] == max(apart.top[0], apart.top[1]) < apart.top[0] + apart.top[1]
     docs, scores = ranked_search.search_shard(apart, 399, units, 3, int(apart.top[:3].sum()))
