@@ -18,10 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blockscan import matrix
 from .ordering import hash_int
 
 ACTIVATIONS = (None, "sigmoid", "tanh", "relu", "leakyrelu", "softplus")
@@ -175,6 +177,80 @@ def mse(net: Network, df: DataFrame, vec_col: str = "embedding", target_col: str
     return float(r["s"]) / float(r["c"]) if r["c"] else float("nan")
 
 
+def _local_epoch(layers, cols, state, batch_size, lr, betas, eps, epoch):
+    """A task's epoch: Adam steps over batches of its own rows, in an order that
+    changes with the epoch.  One row: the task's weights and moments times its
+    number of rows, then loss and rows."""
+    def run(batches):
+        x, y, w = [], [], []
+        for batch in batches:
+            x.append(matrix(batch.column(0)))
+            y.append(matrix(batch.column(cols["target"])) if "target" in cols else x[-1])
+            w.append(batch.column(cols["weight"]).to_numpy().astype(np.float64) if "weight" in cols else np.ones(len(x[-1])))
+        x, y, w = (np.concatenate(p) if p else np.zeros((0, 0)) for p in (x, y, w))
+        if not len(x):
+            return
+        net = Network([Layer(l.w, l.b, l.activation) for l in layers])
+        theta, m, v, t = state
+        order, loss = np.random.default_rng(epoch).permutation(len(x)), 0.0
+        for a in range(0, len(x), batch_size):
+            rows = order[a:a + batch_size]
+            net.set_flat(theta)
+            g, batch_loss = _grad_sums(net.layers, x[rows], y[rows], w[rows])
+            g = g / (len(rows) * y.shape[1])
+            loss, t = loss + batch_loss, t + 1
+            m, v = betas[0] * m + (1 - betas[0]) * g, betas[1] * v + (1 - betas[1]) * g * g
+            theta = theta - lr * (m / (1 - betas[0] ** t)) / (np.sqrt(v / (1 - betas[1] ** t)) + eps)
+        sums = np.concatenate([np.concatenate([theta, m, v]) * len(x), [loss, len(x), t * len(x)]])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["g"])
+    return run
+
+
+def fit_batches(net: Network, train: DataFrame, epochs: int = 10, lr: float = 1e-3, batch_size: int = 64,
+                val: DataFrame | None = None, vec_col: str = "embedding", target_col: str | None = None,
+                weight_col: str | None = None, id_col: str = "vec_id", beta1: float = 0.9, beta2: float = 0.999,
+                eps: float = 1e-7, task_rows: int = 8192) -> Network:
+    """Adam in batches of ``batch_size`` rows at the price of one job an epoch:
+    every task steps through the batches of its own rows, and the tasks' weights
+    and moments are averaged by their number of rows after each epoch.  A task
+    holds about ``task_rows`` rows, dealt by a hash of the id, written once to the
+    shared folder, so that a lost executor costs a task and changes nothing."""
+    from ..session import cut_lineage
+    named = [c for c in (vec_col, target_col, weight_col) if c]
+    parts = max(1, -(-train.count() // task_rows))
+    vectors = [F.transform(c, lambda x: x.cast("double")).alias(c) for c in (vec_col, target_col) if c]
+    data = train.select(F.xxhash64(id_col).alias("_h"), *vectors, *([F.col(weight_col).cast("double")] if weight_col else []))
+    data = cut_lineage(data.repartition(parts, F.pmod("_h", F.lit(parts))).sortWithinPartitions("_h").select(*named))
+    cols = {"target": 1} if target_col else {}
+    if weight_col:
+        cols["weight"] = len(named) - 1
+    theta = net.flat()
+    state, d_out = (theta, np.zeros_like(theta), np.zeros_like(theta), 0), net.layers[-1].w.shape[1]
+    for epoch in range(epochs):
+        step = _local_epoch(net.layers, cols, state, batch_size, lr, (beta1, beta2), eps, epoch)
+        total = np.zeros(3 * len(theta) + 3)
+        for r in data.mapInArrow(step, "g array<double>").select(F.posexplode("g").alias("i", "v")) \
+                .groupBy("i").agg(F.sum("v").alias("v")).collect():  # three values a parameter
+            total[r["i"]] = r["v"]
+        n = total[-2]
+        if not n:
+            break
+        theta, m, v = np.split(total[:-3] / n, 3)
+        state = (theta, m, v, int(round(total[-1] / n)))
+        net.set_flat(theta.copy())
+        rec = {"epoch": epoch + 1, "train_loss": total[-3] / (n * d_out)}
+        if val is not None:
+            rec["val_loss"] = mse(net, val, vec_col, target_col)
+        net.history.append(rec)
+    return net
+
+
+def _trained(net, train, epochs, lr, steps_per_epoch, batch_size, val, vec_col, weight_col, id_col, seed):
+    if batch_size:
+        return fit_batches(net, train, epochs, lr, batch_size, val, vec_col, None, weight_col, id_col)
+    return fit(net, train, epochs, lr, steps_per_epoch, val, vec_col, None, weight_col, id_col, seed)
+
+
 def fit(net: Network, train: DataFrame, epochs: int = 10, lr: float = 1e-3, steps_per_epoch: int = 1,
         val: DataFrame | None = None, vec_col: str = "embedding", target_col: str | None = None,
         weight_col: str | None = None, id_col: str = "vec_id", seed: int = 0,
@@ -239,15 +315,16 @@ class Stacked:
 def stacked_fit(train: DataFrame, dims: list[int], activation: str | None = "tanh", epochs: int = 10,
                 lr: float = 1e-3, val: DataFrame | None = None, vec_col: str = "embedding",
                 weight_col: str | None = None, id_col: str = "vec_id", seed: int = 0,
-                steps_per_epoch: int = 1, fine_tune: bool = True) -> Stacked:
+                steps_per_epoch: int = 1, fine_tune: bool = True, batch_size: int | None = None) -> Stacked:
     """Greedy layer-wise training: autoencoder i learns the codes of i-1;
-    then the chain (encoders, reversed decoders) is fine-tuned end to end."""
+    then the chain (encoders, reversed decoders) is fine-tuned end to end.
+    ``batch_size`` trains in batches within the tasks (``fit_batches``)."""
     encs, decs, hist = [], [], []
     cur_train, cur_val = train, val
     held = []
     for i in range(1, len(dims)):
         ae = single_autoencoder(dims[i - 1], dims[i], activation, seed + i)
-        fit(ae, cur_train, epochs, lr, steps_per_epoch, cur_val, vec_col, None, weight_col, id_col, seed + i)
+        _trained(ae, cur_train, epochs, lr, steps_per_epoch, batch_size, cur_val, vec_col, weight_col, id_col, seed + i)
         hist += [{"stage": f"layer{i}", **h} for h in ae.history]
         enc, dec = ae.layers
         encs.append(enc)
@@ -261,7 +338,7 @@ def stacked_fit(train: DataFrame, dims: list[int], activation: str | None = "tan
     model = Stacked(encs, decs, hist)
     if fine_tune:
         net = model.chain()
-        fit(net, train, epochs, lr, steps_per_epoch, val, vec_col, None, weight_col, id_col, seed)
+        _trained(net, train, epochs, lr, steps_per_epoch, batch_size, val, vec_col, weight_col, id_col, seed)
         model.history += [{"stage": "fine_tune", **h} for h in net.history]
         n_enc = len(encs)
         model.encoders, model.decoders = net.layers[:n_enc], net.layers[n_enc:]
@@ -277,11 +354,12 @@ def decode(df: DataFrame, model: Stacked, code_col: str = "code", out_col: str =
 
 
 def config_sweep(train: DataFrame, val: DataFrame, test: DataFrame, configs: list[tuple], vec_col: str = "embedding",
-                 lr: float = 1e-3, steps_per_epoch: int = 1) -> list[dict]:
+                 lr: float = 1e-3, steps_per_epoch: int = 1, batch_size: int | None = None) -> list[dict]:
     """Grid of ``(dims, activation, epochs)``: train/val/test MSE per config."""
     rows = []
     for dims, activation, epochs in configs:
-        model = stacked_fit(train, list(dims), activation, epochs, lr, None, vec_col, steps_per_epoch=steps_per_epoch)
+        model = stacked_fit(train, list(dims), activation, epochs, lr, None, vec_col, steps_per_epoch=steps_per_epoch,
+                            batch_size=batch_size)
         net = model.chain()
         for name, frame in (("train", train), ("val", val), ("test", test)):
             rows.append({"dims": "-".join(map(str, dims)), "activation": str(activation), "epochs": epochs,

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_index, hash_int, hash_key
+from ..session import cut_lineage
+from .ordering import hash_int, hash_key
 
 
 def sample_exact(df: DataFrame, n: int, key_cols: list[str], seed=1984) -> DataFrame:
@@ -20,30 +21,87 @@ def sample_exact(df: DataFrame, n: int, key_cols: list[str], seed=1984) -> DataF
     return df.withColumn("_h", hash_key(seed, *key_cols)).orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
+#: hash prefixes counted at once: 16 to this power
+PREFIX = 4
+#: hashes of a border bucket that are looked at one by one
+BORDER_ROWS = 10_000
+
+
+def _border_hashes(hashes: DataFrame, ranks: list[int], prefix: int = PREFIX, border_rows: int = BORDER_ROWS) -> list[str | None]:
+    """The hash of each rank (from 0) in the order of ``hashes(_h)``, None beyond
+    the last row.  A histogram of hash prefixes finds the bucket of every rank;
+    buckets of more than ``border_rows`` rows are cut by longer prefixes, and only
+    the rows of what remains are sorted."""
+    found: dict[int, str | None] = {}
+    open_ = {"": [(r, r) for r in sorted(set(ranks))]}  # bucket: (rank in the whole, rank in the bucket)
+    depth = 0
+    while open_:
+        depth += prefix
+        start = F.substring("_h", 1, depth - prefix)
+        counts = hashes.where(start.isin(list(open_))).groupBy(F.substring("_h", 1, depth).alias("p")).count()
+        counts = sorted((r["p"], r["count"]) for r in counts.collect())  # 16 ** prefix rows a border at most
+        small, deeper = {}, {}
+        for bucket, wanted in open_.items():
+            inside = [(p, n) for p, n in counts if p.startswith(bucket)]
+            for rank, left in wanted:
+                at = iter(inside)
+                p, n = next(at, (None, 0))
+                while p is not None and left >= n:
+                    left -= n
+                    p, n = next(at, (None, 0))
+                if p is None:
+                    found[rank] = None
+                elif n <= border_rows or depth >= 32:
+                    small.setdefault(p, []).append((rank, left))
+                else:
+                    deeper.setdefault(p, []).append((rank, left))
+        if small:
+            border = hashes.where(F.substring("_h", 1, depth).isin(list(small))).select("_h")
+            rows = sorted(r["_h"] for r in border.collect())  # border_rows a border at most
+            for p, wanted in small.items():
+                own = [h for h in rows if h.startswith(p)]
+                found.update((rank, own[left]) for rank, left in wanted)
+        open_ = deeper
+    return [found[r] for r in ranks]
+
+
 def split_exact(df: DataFrame, sizes: dict[str, int] | None, key_cols: list[str], seed=1984,
                 fractions: dict[str, float] | None = None, out_col: str = "split") -> DataFrame:
-    """Disjoint splits in hash order; order of the dict = order of cuts.
+    """Disjoint splits in hash order of a unique key; order of the dict = order of cuts.
 
     With ``sizes`` (row counts) the parts have exactly those sizes and rows
     beyond them get no split and are left out.  With ``fractions`` every part
     has ``floor(f * n)`` rows and the last one takes all that remain.
 
-    The rank is a distributed dense index (range sort + per-partition
-    offsets), not a one-partition ``row_number``."""
-    ranked = global_index(df.withColumn("_h", hash_key(seed, *key_cols)), ["_h", *key_cols], "_r")
+    Nothing is sorted or joined: the cuts are hash values, found on the narrow
+    column of hashes (``_border_hashes``), and a row's split follows from its own
+    hash by comparison."""
+    h = hash_key(seed, *key_cols)
+    hashes = cut_lineage(df.select(h.alias("_h")))
     if sizes is None:
-        # row count from the (checkpointed) ranked rows: no extra upstream pass
-        n = ranked.agg(F.count("*")).first()[0]
+        n = hashes.count()
         sizes = {k: int(f * n) for k, f in (fractions or {}).items()}
-    expr = None
-    lo = 0
-    last = list(sizes)[-1] if fractions else None
-    for name, size in sizes.items():
-        hi = lo + int(size)
-        test = (F.col("_r") >= lo) & ((F.col("_r") < hi) | F.lit(name == last))
-        expr = F.when(test, F.lit(name)) if expr is None else expr.when(test, F.lit(name))
-        lo = hi
-    return ranked.withColumn(out_col, expr).where(F.col(out_col).isNotNull()).drop("_h", "_r")
+    ends, total = [], 0
+    for size in sizes.values():
+        total += int(size)
+        ends.append(total)
+    cuts = _border_hashes(hashes, ends)
+    if fractions:
+        cuts[-1] = None
+    expr, low, before = None, None, 0
+    for name, end, cut in zip(sizes, ends, cuts):
+        if end > before or (fractions and name == list(sizes)[-1]):
+            test = F.lit(True)
+            if low is not None:
+                test &= F.col("_h") >= low
+            if cut is not None:
+                test &= F.col("_h") < cut
+            expr = F.when(test, F.lit(name)) if expr is None else expr.when(test, F.lit(name))
+        if cut is None:
+            break
+        low, before = cut, end
+    expr = F.lit(None).cast("string") if expr is None else expr
+    return df.withColumn("_h", h).withColumn(out_col, expr).drop("_h").where(F.col(out_col).isNotNull())
 
 
 def split_fractions(df: DataFrame, fractions: dict[str, float], key_cols: list[str], seed=1984,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 
 def token_freq(tokens_df: DataFrame, col: str = "token") -> DataFrame:
@@ -73,15 +74,16 @@ def corpus_size_stats(sizes: DataFrame, size_col: str = "n_words") -> DataFrame:
 
 def histogram(values: DataFrame, col: str, bins: int = 100) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin right-closed), all bins
-    reported: ``(bin, lo, hi, cnt)``.  Min/max are one row, joined by broadcast."""
-    mn = values.agg(F.min(col).cast("double")).scalar()
-    mx = values.agg(F.max(col).cast("double")).scalar()
-    width = (mx - mn) / bins
+    reported: ``(bin, lo, hi, cnt)``.  The source is scanned once, into counts of
+    its distinct values; range and bins follow from those."""
+    counts = cut_lineage(values.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x"))
+                         .agg(F.count(F.lit(1)).alias("n")))
+    edges = counts.agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
+    mn, mx = edges.select("mn").scalar(), edges.select("mx").scalar()
     idx = F.when(mx == mn, F.lit(0)).otherwise(
-        F.least(F.floor(F.try_divide(F.col(col) - mn, mx - mn) * bins), F.lit(bins - 1)))
-    counted = values.select(idx.cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("cnt"))
-    grid = values.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")) \
-        .select(F.col("mn"), F.col("mx"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        F.least(F.floor(F.try_divide(F.col("x") - mn, mx - mn) * bins), F.lit(bins - 1)))
+    counted = counts.groupBy(idx.cast("long").alias("bin")).agg(F.sum("n").alias("cnt"))
+    grid = edges.select("mn", "mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("mx") - F.col("mn")) / bins
     grid = grid.select(F.col("bin").cast("long").alias("bin"),
                        F.round(F.col("mn") + F.col("bin") * width, 6).alias("lo"),
