@@ -78,7 +78,7 @@ def substitute_entities(normalized: DataFrame, ents: DataFrame, id_col: str = "d
     folded = F.aggregate(F.coalesce(F.col("_e"), F.array().cast(eg.schema["_e"].dataType)), F.col("sentence"),
                          lambda acc, x: F.replace(acc, F.concat(F.lit(" "), x["t"], F.lit(" ")),
                                                   F.concat(F.lit(" "), F.coalesce(x["c"], x["t"]), F.lit(" "))))
-    return j.select(id_col, sent_col, F.trim(F.regexp_replace(folded, tx.SPACE + tx.SPACE + "+", " ")).alias("sentence"))
+    return j.select(id_col, sent_col, F.trim(F.regexp_replace(folded, tx.SPACE_JVM + tx.SPACE_JVM + "+", " ")).alias("sentence"))
 
 
 def substitute_entities_suffix1(text_df: DataFrame, ents: DataFrame, id_col: str = "doc_id",

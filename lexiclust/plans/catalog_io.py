@@ -28,8 +28,8 @@ def _scan_corpus_files(spark, d):
                                 F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" ("), F.col("lang"),
                                          F.lit(")")).alias("title"), "text")
     fs.sink_corpus_files(src, out)
-    return fs.scan_corpus_files(spark, f"{out}/*/*/*.txt").select(
-        "author", "style", "name", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return fs.scan_named_corpus(spark, out).select(
+        "author", "style", F.regexp_replace("name", r"\.txt$", "").alias("name"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @register("sink_sentences", f"""
@@ -161,7 +161,7 @@ def _sink_mirrored_layout(spark, d):
                                          F.col("doc_id").cast("string"), F.lit("_raw.txt")).alias("path"),
                                 tx.decontract("text").alias("text"))
     fs.sink_mirrored_layout(src, out)
-    back = fs.scan_corpus_files(spark, f"{out}/EnLitPreprocessed/*/*/*.txt")
+    back = fs.scan_named_corpus(spark, f"{out}/EnLitPreprocessed")
     return back.select("author", F.col("name").alias("mirrored"), F.length("text").alias("n_chars"))
 
 

@@ -11,10 +11,13 @@ from ..session import load
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import annotate as an
+from ..operators import autoencoder as ae
 from ..operators import corpus as co
 from ..operators import layers as ly
+from ..operators import reduce as rd
 from .catalog import register
 from .catalog_cluster import sig_sql
+from .catalog_models import BATCH, EPOCHS, RATE
 from .catalog_prep import SENT_SQL
 from .catalog_sim import SIM_SQL, analogies, kv
 
@@ -117,6 +120,35 @@ def _analogy_distance(spark, d):
     return r.select("qid", vx.sig("l2").alias("l2"), vx.sig("cos_dist").alias("cos_dist"))
 
 
+@register("analogy_distance_pca", f"""
+WITH {SIM_SQL},
+j AS (SELECT ana.qid, a.v AS va, b.v AS vb, c.v AS vc, d.v AS vd FROM ana JOIN kv a ON a.word = ana.w[1]
+      JOIN kv b ON b.word = ana.w[2] JOIN kv c ON c.word = ana.w[3] JOIN kv d ON d.word = ana.w[4]),
+g AS (SELECT qid, list_transform(range(len(va)), lambda i: va[i + 1] - vb[i + 1] + vc[i + 1]) AS guess, vd FROM j)
+SELECT qid, {sig_sql('list_distance(guess, vd)')} AS l2, true AS shorter FROM g
+""")
+def _analogy_distance_pca(spark, d):
+    """On PCA vectors: with all components distances are those of the raw vectors
+    (the means cancel), and the first sixteen can only shorten them."""
+    v, a = kv(spark, d), analogies(spark, d)
+    fit = rd.pca_fit(v, 64)
+    whole = rd.pca_transform(v, fit)
+    part = whole.withColumn("reduced", F.slice("reduced", 1, 16))
+    l2 = ly.analogy_distance(whole, a, "w0", "w1", "w2", "w3", vec_col="reduced").select("qid", "l2")
+    less = ly.analogy_distance(part, a, "w0", "w1", "w2", "w3", vec_col="reduced").select("qid", F.col("l2").alias("less"))
+    return l2.join(less, "qid").select("qid", vx.sig("l2").alias("l2"), (F.col("less") <= F.col("l2") * (1 + 1e-9)).alias("shorter"))
+
+
+@register("analogy_distance_encoded")
+def _analogy_distance_encoded(spark, d):
+    """On the codes of an autoencoder trained on the word vectors."""
+    v = kv(spark, d)
+    model = ae.stacked_fit(v, [64, 32], "tanh", epochs=EPOCHS, lr=RATE, batch_size=BATCH)
+    coded = ae.encode(v, model)
+    r = ly.analogy_distance(coded, analogies(spark, d), "w0", "w1", "w2", "w3", vec_col="code")
+    return r.select("qid", vx.sig("l2").alias("l2"), vx.sig("cos_dist").alias("cos_dist"))
+
+
 PRON_SQL = ", ".join(f"'{p}'" for p in an.PRONOUNS)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import global_index
+from .named_files import read_named_files, write_named_files
 
 
 def scan_corpus_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -38,6 +39,16 @@ def scan_corpus_files(spark: SparkSession, pattern: str) -> DataFrame:
                      title.alias("name"), own.alias("text"))
 
 
+def scan_named_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """As ``scan_corpus_files`` for all files below ``root``, empty ones too:
+    ``(path, author, style, name, text)`` with paths below ``root``."""
+    segs = F.split("path", "/")
+    name = F.element_at(segs, -1)
+    return read_named_files(spark, root).select(
+        "path", F.coalesce(F.get(segs, F.size(segs) - 2), F.lit("")).alias("author"),
+        F.regexp_extract(name, r"\((.*?)\)", 1).alias("style"), name.alias("name"), "text")
+
+
 def scan_text_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per line ``(path, value)`` (line order is not a column; use
     ``scan_corpus_files`` + ``corpus.scan_lines`` when positions matter)."""
@@ -164,19 +175,15 @@ def mirrored_path(col, src: str = "EnLit", dst: str = "EnLitPreprocessed"):
 
 def sink_corpus_files(df: DataFrame, path: str, author_col: str = "author", title_col: str = "title",
                       text_col: str = "text") -> None:
-    """One folder per author and title (the partitioned layout read back by
-    ``scan_corpus_files``)."""
-    df.select(F.col(author_col).alias("author"), F.col(title_col).alias("title"), F.col(text_col).alias("value")) \
-        .write.mode("overwrite").partitionBy("author", "title").text(path)
-
-
-def sink_mirrored_layout(df: DataFrame, root: str, path_col: str = "path", author_col: str = "author",
-                         text_col: str = "text", src: str = "EnLit", dst: str = "EnLitPreprocessed") -> None:
-    """Cleaned texts as files under the mirrored root ``<root>/<dst>``, one
-    folder per author and mirrored file name."""
-    name = F.element_at(F.split(mirrored_path(F.col(path_col), src, dst), "/"), -1)
-    sink_corpus_files(df.select(F.col(author_col).alias("author"), name.alias("title"), F.col(text_col).alias("text")),
-                      f"{root.rstrip('/')}/{dst}")
+    """One file ``<author>/<title>.txt`` per row (read back by ``scan_named_corpus``)."""
+    write_named_files(df.select(F.concat(F.col(author_col), F.lit("/"), F.col(title_col), F.lit(".txt")).alias("path"),
+                                F.col(text_col).alias("text")), path)
+
+
+def sink_mirrored_layout(df: DataFrame, root: str, path_col: str = "path", text_col: str = "text",
+                         src: str = "EnLit", dst: str = "EnLitPreprocessed") -> None:
+    """Cleaned texts as files under the mirrored path of their source, below ``root``."""
+    write_named_files(df.select(mirrored_path(F.col(path_col), src, dst).alias("path"), F.col(text_col).alias("text")), root)
 
 
 def roundtrip_equal(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import glob
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from lexiclust.sources import named_files as nf
 from lexiclust.sources import files as fs
 
 
@@ -54,3 +56,31 @@ def test_size_map_and_mirrored_paths(spark):
     assert fs.load_size_map(spark, f"{out}/s").collect()[0]["n_words"] == 5
     m = df.select(fs.mirrored_path(F.col("path")).alias("p")).first()["p"]
     assert m == "EnLitPreprocessed/a/x_preprocessed.txt"
+
+
+def test_named_files(spark, tmp_path):
+    rows = [("a/b/one.txt", "text\n"), ("a/two (x).txt", "é\r\n"), ("three", None), ("a/empty.txt", "")]
+    target = tmp_path / "out"
+    df = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    nf.write_named_files(df, str(target))
+    found = {str(p.relative_to(target)): p.read_bytes().decode() for p in target.rglob("*") if p.is_file()}
+    assert found == {"_SUCCESS": "", **{p: t or "" for p, t in rows}}  # and no drafts
+    assert sorted(nf.read_named_files(spark, str(target)).collect()) == sorted((p, t or "") for p, t in rows)
+    nf.write_named_files(df.withColumn("text", F.lit("new")), f"file://{target}")  # a second run replaces
+    assert (target / "three").read_text() == "new"
+    nf.write_named_files(df.limit(0), str(tmp_path / "none"))
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+    assert nf.read_named_files(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("bad", ["../up.txt", "/etc/x", "a//b", None, ""])
+def test_named_files_stay_below_their_target(spark, tmp_path, bad):
+    with pytest.raises(Exception, match="not a path below the target"):
+        nf.write_named_files(spark.createDataFrame([(bad, "x")], "path string, text string"), str(tmp_path / "out"))
+
+
+def test_mirrored_layout(spark, tmp_path):
+    df = spark.createDataFrame([("EnLit/Ann/a_raw.txt", "one"), ("EnLit/Bob/b_raw.txt", "two")], "path string, text string")
+    fs.sink_mirrored_layout(df, str(tmp_path))
+    assert (tmp_path / "EnLitPreprocessed/Ann/a_preprocessed.txt").read_text() == "one"
+    assert (tmp_path / "EnLitPreprocessed/Bob/b_preprocessed.txt").read_text() == "two"

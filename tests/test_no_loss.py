@@ -88,8 +88,8 @@ def test_corpus_files_come_back_equal(spark, tmp_path):
     rows = [("a b", "t (x)", "one\ntwo"), ("a b", "u (y)", "ends with a line\n"), ("c", "v (x)", "")]
     df = spark.createDataFrame(rows, "author string, title string, text string")
     fs.sink_corpus_files(df, str(tmp_path / "c"))
-    got = fs.scan_corpus_files(spark, str(tmp_path / "c" / "*" / "*" / "*.txt"))
-    assert sorted((r["author"], r["name"], r["text"]) for r in got.collect()) == sorted(rows)
+    got = fs.scan_named_corpus(spark, str(tmp_path / "c"))
+    assert sorted((r["author"], r["name"], r["text"]) for r in got.collect()) == sorted((a, t + ".txt", x) for a, t, x in rows)
 
 
 def test_a_cluster_without_checkpoint_folder_is_refused():
