@@ -75,7 +75,7 @@ def _toxicity(spark, d):
 
 @register("op9_suffix_dedup")
 def _suffix_dedup(spark, d):
-    return suffix_dedup.deduplicate(load(spark, d, "documents"))
+    return suffix_dedup.deduplicate(load(spark, d, "documents"), keep_text=True)
 
 
 @register("op8_fingerprints")

@@ -347,13 +347,17 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     """``doc, mark, start, windows``: runs of windows of ``doc, mark, text`` that
     start anywhere else as well (a run may come in parts)."""
     spans = None
+    gram = max(1, min(gram, (min_bytes + 1) // 2))
     found = written(_occurrences(docs, gram, min_bytes), "segments")
     with_bytes = False
     while True:
         if gram == min_bytes:  # a key is one window
-            shared = found.groupBy("key").agg(F.sum("windows").alias("_n")).where("_n > 1").select("key")
-            last = found.join(shared, "key", "left_semi").select("doc", "mark", "start", F.col("windows").cast("long"))
-            return spans.unionByName(last)
+            # the windows of a segment are equal here: the first one's SHA-256 stands for its bytes beside the key
+            window = F.sha2(F.substring("bytes", 1, min_bytes), 256) if with_bytes else F.lit("")
+            found = found.withColumn("_window", window)
+            shared = found.groupBy("key", "_window").agg(F.sum("windows").alias("_n")).where("_n > 1").select("key", "_window")
+            last = found.join(shared, ["key", "_window"], "left_semi").select("doc", "mark", "start", F.col("windows").cast("long"))
+            return last if spans is None else spans.unionByName(last)
         keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("inner").alias("_inner"))
                 .where("_n > 1 OR _inner").select("key"))
         found = written(found.join(keys, "key", "left_semi"), "shared")
@@ -383,9 +387,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
 
 
 def deduplicate(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text",
-                keep_bytes: bool = False) -> DataFrame:
+                keep_bytes: bool = False, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with
-    ``keep_bytes``, the remaining bytes as ``kept``."""
+    ``keep_bytes``, the remaining bytes as ``kept``, with ``keep_text`` as ``text``
+    (a character that a cut goes through becomes U+FFFD)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.col(id_col).cast("long")
     source = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(0)).alias("doc"),
@@ -398,7 +403,7 @@ def deduplicate(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_
     def run(batches):
         from hashlib import sha256
         for batch in batches:
-            out = ([], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for doc, text, cuts in zip(*(batch.column(c) for c in ("doc_id", "text", "_cuts"))):
                 data, kept, at, spans, removed = text.as_py().encode("utf-8"), [], 0, 0, 0
                 for c in sorted((c["start"], c["stop"]) for c in cuts.as_py() or ()):
@@ -409,12 +414,15 @@ def deduplicate(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_
                     removed += max(0, c[1] - at)
                     at = max(at, c[1])
                 kept = b"".join([*kept, data[at:]])
-                for column, x in zip(out, (doc.as_py(), len(data), removed, spans, sha256(kept).hexdigest(), kept)):
+                for column, x in zip(out, (doc.as_py(), len(data), removed, spans, sha256(kept).hexdigest(), kept if keep_bytes else None,
+                                       kept.decode("utf-8", "replace") if keep_text else None)):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()),
-                 *([pa.array(out[5], pa.binary())] if keep_bytes else [])],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])])
+                 *([pa.array(out[5], pa.binary())] if keep_bytes else []), *([pa.array(out[6], pa.string())] if keep_text else [])],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+                       *(["kept"] if keep_bytes else []), *(["text"] if keep_text else [])])
 
     return joined.select("doc_id", "text", "_cuts").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else ""))
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        + (", kept binary" if keep_bytes else "") + (", text string" if keep_text else ""))

@@ -234,3 +234,16 @@ def test_suffix_dedup(spark, block, monkeypatch):
             (i, *w) for (i, _), w in zip(pairs, want))
         assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
     assert suffix_dedup.deduplicate(frame(spark, pairs).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 32, 33])
+def test_suffix_dedup_of_short_windows(spark, n):
+    base = "".join(random.choice("abcé ") for _ in range(70))
+    texts = [base, "x" + base[20:60] + "y", "q" * 50, "", "ab" * 30, base[:18] + "é" * 40]
+    pairs = list(enumerate(texts)) + [(9, None)]
+    got = suffix_dedup.deduplicate(frame(spark, pairs), n, keep_text=True).collect()
+    want = removed_by_hand([(t or "").encode() for _, t in pairs], n)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(
+        (i, *w) for (i, _), w in zip(pairs, want))
+    whole = [r for r in got if r.n_removed == 0]
+    assert all(r.text == (dict(pairs)[r.doc_id] or "") for r in whole)
