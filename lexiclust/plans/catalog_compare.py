@@ -261,3 +261,22 @@ def _cluster_significance(spark, d):
     r = wi.cluster_significance(lab, k=3, dim=64, h=1.0, n=n)
     return r.select("label", vx.sig("r_min").alias("r_min"), vx.sig("r_max").alias("r_max"),
                     vx.sig("significance").alias("significance"), "significant")
+
+
+@register("cluster_density_gap", f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+dk AS (SELECT i AS vec_id, dist AS dk FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk
+       FROM pairs) WHERE rk = 2),
+p AS (SELECT label, exp(ln(3) - ((64 / 2.0) * ln(pi()) - lgamma(64 / 2.0 + 1) + 64 * ln(dk)) - ln((SELECT count(*) FROM e))) AS p
+      FROM dk JOIN e USING (vec_id))
+SELECT label, {sig_sql('max(p) - min(p)')} AS max_gap, CAST(max(p) - min(p) >= 1.0 AS INTEGER) AS significant FROM p GROUP BY label
+""")
+def _cluster_density_gap(spark, d):
+    """The alternative significance: the largest density gap inside a label."""
+    e = emb(spark, d)
+    n = e.agg(F.count("*").cast("double")).scalar()
+    dk = pr.kth_distance(pr.knn(e, 2), 2).join(e.select("vec_id", F.col("label").cast("long").alias("label")), "vec_id")
+    dens = dk.withColumn("p", F.exp(F.log(F.lit(3.0)) - vx.log_ball_volume("dk", 64) - F.log(n)))
+    return wi.density_gap(dens).select("label", vx.sig("max_gap").alias("max_gap"),
+                                       (F.col("max_gap") >= 1.0).cast("int").alias("significant"))
