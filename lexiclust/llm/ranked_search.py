@@ -45,6 +45,7 @@ from .common import text_slices, written
 BLOCK_TERMS = 200_000
 #: documents of a shard, 65,536 at most
 SHARD_DOCS = 2048
+SHARDS_PER_TASK = 4
 #: postings of a shard, beyond which it is closed early
 SHARD_POSTINGS = 1_500_000
 #: each term is paired with so many that follow it in a query's order of rarity
@@ -296,7 +297,9 @@ def _search_block(docs: DataFrame, block: list, k: int, id_col: str, text_col: s
     weight = weights(n, df)
     pairs = term_pairs([q for _, q in asked], df)
     pair_of = {(a, b): i for i, (a, b) in enumerate(pairs.tolist())}
-    index = written(build_index(forward, pairs, weight, n, total, k, shard_docs), "index")
+    # a file of the narrow table holds far more shards than a task should build
+    dealt = forward.repartition(-(-n // (SHARDS_PER_TASK * shard_docs)), "doc_id")
+    index = written(build_index(dealt, pairs, weight, n, total, k, shard_docs), "index")
     floor = floors(index, len(vocabulary) + len(pairs))
     starts = []
     for _, q in asked:
