@@ -23,6 +23,8 @@ neighbours at distance 0; ids must be unique; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,7 @@ from ..session import cut_lineage
 
 #: rows that are compared with each other in the first graph
 CHUNK = 512
-#: neighbours kept for each row beyond those asked for
+#: neighbours kept for each row beyond those asked for, at least
 SPARE = 22
 EDGES = "array<struct<dist: double, tie: long, id: long>>"
 _LIST = pa.list_(pa.struct([("dist", pa.float64()), ("tie", pa.int64()), ("id", pa.int64())]))
@@ -199,16 +201,19 @@ def _compared(met: DataFrame, width: int) -> DataFrame:
     return ordered.mapInArrow(run, f"node long, found {EDGES}")
 
 
-def knn_graph(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", spare: int = SPARE,
+def knn_graph(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", spare: int | None = None,
               tables: int = 2, chunk: int = CHUNK, rounds: int = 12, settled: float = 0.02, seed: int = 7) -> DataFrame:
     """``(id, rank, nbr_id, dist)``: nearly the ``k`` nearest other rows of each row,
-    ranked by ``(dist, nbr_id)``; ``spare`` more are kept on the way.  Rounds end
+    ranked by ``(dist, nbr_id)``; ``spare`` more are kept on the way, where not
+    given more of them the more rows there are (5 for each doubling).  Rounds end
     when less than a share ``settled`` of the lists is new."""
-    width = k + spare
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     rows = cut_lineage(rows)
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], f"{id_col} long, rank long, nbr_id long, dist double")
+    if spare is None:
+        spare = max(SPARE, math.ceil(5 * math.log2(rows.count())) - 33)
+    width = k + spare
     state = cut_lineage(_first_graph(rows, width, tables, chunk, seed))
     for _ in range(rounds):
         state = cut_lineage(_merged(state, _compared(_meetings(rows, state, width), width), width))

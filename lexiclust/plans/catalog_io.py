@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load, scratch_path
 from ..functions import text as tx
+from ..functions import vectors as vx
 from ..sources import files as fs
 from . import sqlgen as q
 from .catalog import register
@@ -138,15 +139,13 @@ def _sink_size_map(spark, d):
     return fs.load_size_map(spark, out)
 
 
-@register("sink_csv")
+@register("sink_csv", """
+SELECT vec_id AS word_index, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings
+""")
 def _sink_csv(spark, d):
-    from ..operators import reduce as rd
     out = scratch_path(spark, "points")
-    e = load(spark, d, "embeddings")
-    fit = rd.pca_fit(e, 2)
-    pts = rd.pca_transform(e, fit).select(F.col("vec_id").alias("word_index"),
-                                          F.col("reduced")[0].alias("x"), F.col("reduced")[1].alias("y"))
-    fs.sink_csv(pts, out)
+    v = vx.as_double("embedding")
+    fs.sink_csv(load(spark, d, "embeddings").select(F.col("vec_id").alias("word_index"), v[0].alias("x"), v[1].alias("y")), out)
     return spark.read.option("header", True).schema("word_index long, x double, y double").csv(out)
 
 
