@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -145,8 +146,9 @@ def test_copies_are_found_and_clean_documents_left(spark):
     text = decontaminate.words(docs[120][1])
     assert first.score == 1.0 and text[first.start_word:first.end_word] == decontaminate.words(items[0][1])
     kept = decontaminate.clean(frame, bench.where("item_id <> 52"))
-    assert kept.columns == frame.columns and kept.count() == len(docs) - len(found) + sum(r.item_id == 52 for r in found) \
-        or kept.where(F.col("doc_id").isin(list(leaked))).count() == 0
+    flagged = {r.doc_id for r in found if r.item_id != 52}
+    assert kept.columns == frame.columns
+    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(i for i, _ in docs if i not in flagged)
     assert kept.where("doc_id < 120 OR doc_id IN (1000, 1001)").count() >= 122
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+from collections import Counter
 
 import pytest
 
@@ -76,12 +77,11 @@ def test_round_trip(spark):
     assert len(got) == len(rows)
     want = sorted((str(i), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest) for r in got) == want
-    kinds = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got)
-    assert kinds == sorted([("1", 500, "response", None), ("1", 500, "revisit", 1), ("2", 500, "revisit", 1), ("2", 500, "revisit", 1),
+    kinds = Counter((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert kinds == Counter([("1", 500, "response", None), ("1", 500, "revisit", 1), ("2", 500, "revisit", 1), ("2", 500, "revisit", 1),
                      ("3", 0, "response", None), ("4", 0, "response", None), ("5", len(EVIL), "response", None),
                      ("6", len(EVIL), "revisit", 5), ("7", 5, "response", None), ("8", 5, "response", None),
-                     ("None", 200, "response", None), ("None", 200, "revisit", None), ("None", 500, "revisit", 1)], key=str) \
-        or sorted(kinds, key=str) == sorted(kinds, key=str) and sum(k[2] == "revisit" for k in kinds) == 6
+                     ("None", 200, "response", None), ("None", 200, "revisit", None), ("None", 500, "revisit", 1)])
     nested = warc.captures(warc.read_records(spark, path)).collect()
     assert len(nested) == len(rows)
     for r in nested:
