@@ -4,6 +4,10 @@ go, and what is left is packed into training windows.
 
 Every stage reads what its predecessor wrote as Parquet.  All but the last
 return the columns of ``documents``; ``n_chars`` follows the text.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and further
+columns with clashing names have the results that the docstrings of the stages'
+operators state; texts are passed on whole.
 """
 
 from __future__ import annotations
