@@ -177,19 +177,11 @@ def mse(net: Network, df: DataFrame, vec_col: str = "embedding", target_col: str
     return float(r["s"]) / float(r["c"]) if r["c"] else float("nan")
 
 
-def _local_epoch(layers, cols, state, batch_size, lr, betas, eps, epoch):
+def _local_epoch(nets, states, cols, batch_size, lr, betas, eps, epoch):
     """A task's epoch: Adam steps over batches of its own rows, in an order that
-    changes with the epoch.  One row: the task's weights and moments times its
-    number of rows, then loss and rows."""
-    def run(batches):
-        x, y, w = [], [], []
-        for batch in batches:
-            x.append(matrix(batch.column(0)))
-            y.append(matrix(batch.column(cols["target"])) if "target" in cols else x[-1])
-            w.append(batch.column(cols["weight"]).to_numpy().astype(np.float64) if "weight" in cols else np.ones(len(x[-1])))
-        x, y, w = (np.concatenate(p) if p else np.zeros((0, 0)) for p in (x, y, w))
-        if not len(x):
-            return
+    changes with the epoch, of every network in turn.  One row a network: the task's
+    weights and moments times its number of rows, then loss and rows."""
+    def trained(layers, state, x, y, w):
         net = Network([Layer(l.w, l.b, l.activation) for l in layers])
         theta, m, v, t = state
         order, loss = np.random.default_rng(epoch).permutation(len(x)), 0.0
@@ -201,11 +193,68 @@ def _local_epoch(layers, cols, state, batch_size, lr, betas, eps, epoch):
             loss, t = loss + batch_loss, t + 1
             m, v = betas[0] * m + (1 - betas[0]) * g, betas[1] * v + (1 - betas[1]) * g * g
             theta = theta - lr * (m / (1 - betas[0] ** t)) / (np.sqrt(v / (1 - betas[1] ** t)) + eps)
-        sums = np.concatenate([np.concatenate([theta, m, v]) * len(x), [loss, len(x), t * len(x)]])
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["g"])
+        return np.concatenate([np.concatenate([theta, m, v]) * len(x), [loss, len(x), t * len(x)]])
+
+    def run(batches):
+        parts: dict[int, list] = {}
+        for batch in batches:
+            which = batch.column(0).to_numpy()
+            for net in np.unique(which).tolist():
+                some = batch.filter(pa.array(which == net))
+                x = matrix(some.column(1))
+                y = matrix(some.column(cols["target"])) if "target" in cols else x
+                w = some.column(cols["weight"]).to_numpy().astype(np.float64) if "weight" in cols else np.ones(len(x))
+                parts.setdefault(net, []).append((x, y, w))
+        for net, pieces in parts.items():
+            sums = trained(nets[net], states[net], *(np.concatenate(p) for p in zip(*pieces)))
+            yield pa.RecordBatch.from_arrays([pa.array([net], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.float64()))],
+                                             names=["net", "g"])
     return run
 
 
+def fit_many(nets: list[Network], trains: list[DataFrame], epochs: int = 10, lr: float = 1e-3, batch_size: int = 64,
+             vals: list[DataFrame | None] | None = None, vec_col: str = "embedding", target_col: str | None = None,
+             weight_col: str | None = None, id_col: str = "vec_id", beta1: float = 0.9, beta2: float = 0.999,
+             eps: float = 1e-7, task_rows: int = 8192) -> list[Network]:
+    """``fit_batches`` of several networks, each on its own rows, with one job an
+    epoch for all of them: every network comes out as if trained alone."""
+    from ..session import cut_lineage
+    named = [c for c in (vec_col, target_col, weight_col) if c]
+    data, first = None, 0
+    for i, train in enumerate(trains):
+        parts = max(1, -(-train.count() // task_rows))
+        vectors = [F.transform(c, lambda x: x.cast("double")).alias(c) for c in (vec_col, target_col) if c]
+        rows = train.select(F.lit(i).cast("long").alias("_net"), F.xxhash64(id_col).alias("_h"),
+                            *vectors, *([F.col(weight_col).cast("double")] if weight_col else []))
+        rows = rows.withColumn("_part", (F.lit(first) + F.pmod("_h", F.lit(parts))).cast("int"))
+        data, first = rows if data is None else data.unionByName(rows), first + parts
+    # one partition holds one part of one network's rows
+    data = data.repartitionById(first, F.col("_part")).sortWithinPartitions("_net", "_h").select("_net", *named)
+    data = cut_lineage(data)
+    cols = {"target": 2} if target_col else {}
+    if weight_col:
+        cols["weight"] = len(named)
+    states = [(net.flat(), np.zeros_like(net.flat()), np.zeros_like(net.flat()), 0) for net in nets]
+    for epoch in range(epochs):
+        step = _local_epoch([net.layers for net in nets], states, cols, batch_size, lr, (beta1, beta2), eps, epoch)
+        totals = [np.zeros(3 * len(state[0]) + 3) for state in states]
+        for r in data.mapInArrow(step, "net long, g array<double>").select("net", F.posexplode("g").alias("i", "v")) \
+                .groupBy("net", "i").agg(F.sum("v").alias("v")).collect():  # three values a parameter
+            totals[r["net"]][r["i"]] = r["v"]
+        for i, (net, total) in enumerate(zip(nets, totals)):
+            n = total[-2]
+            if not n:
+                continue
+            theta, m, v = np.split(total[:-3] / n, 3)
+            states[i] = (theta, m, v, int(round(total[-1] / n)))
+            net.set_flat(theta.copy())
+            rec = {"epoch": epoch + 1, "train_loss": total[-3] / (n * net.layers[-1].w.shape[1])}
+            if vals is not None and vals[i] is not None:
+                rec["val_loss"] = mse(net, vals[i], vec_col, target_col)
+            net.history.append(rec)
+    return nets
+
+
 def fit_batches(net: Network, train: DataFrame, epochs: int = 10, lr: float = 1e-3, batch_size: int = 64,
                 val: DataFrame | None = None, vec_col: str = "embedding", target_col: str | None = None,
                 weight_col: str | None = None, id_col: str = "vec_id", beta1: float = 0.9, beta2: float = 0.999,
@@ -215,34 +264,8 @@ def fit_batches(net: Network, train: DataFrame, epochs: int = 10, lr: float = 1e
     and moments are averaged by their number of rows after each epoch.  A task
     holds about ``task_rows`` rows, dealt by a hash of the id, written once to the
     shared folder, so that a lost executor costs a task and changes nothing."""
-    from ..session import cut_lineage
-    named = [c for c in (vec_col, target_col, weight_col) if c]
-    parts = max(1, -(-train.count() // task_rows))
-    vectors = [F.transform(c, lambda x: x.cast("double")).alias(c) for c in (vec_col, target_col) if c]
-    data = train.select(F.xxhash64(id_col).alias("_h"), *vectors, *([F.col(weight_col).cast("double")] if weight_col else []))
-    data = cut_lineage(data.repartition(parts, F.pmod("_h", F.lit(parts))).sortWithinPartitions("_h").select(*named))
-    cols = {"target": 1} if target_col else {}
-    if weight_col:
-        cols["weight"] = len(named) - 1
-    theta = net.flat()
-    state, d_out = (theta, np.zeros_like(theta), np.zeros_like(theta), 0), net.layers[-1].w.shape[1]
-    for epoch in range(epochs):
-        step = _local_epoch(net.layers, cols, state, batch_size, lr, (beta1, beta2), eps, epoch)
-        total = np.zeros(3 * len(theta) + 3)
-        for r in data.mapInArrow(step, "g array<double>").select(F.posexplode("g").alias("i", "v")) \
-                .groupBy("i").agg(F.sum("v").alias("v")).collect():  # three values a parameter
-            total[r["i"]] = r["v"]
-        n = total[-2]
-        if not n:
-            break
-        theta, m, v = np.split(total[:-3] / n, 3)
-        state = (theta, m, v, int(round(total[-1] / n)))
-        net.set_flat(theta.copy())
-        rec = {"epoch": epoch + 1, "train_loss": total[-3] / (n * d_out)}
-        if val is not None:
-            rec["val_loss"] = mse(net, val, vec_col, target_col)
-        net.history.append(rec)
-    return net
+    return fit_many([net], [train], epochs, lr, batch_size, [val], vec_col, target_col, weight_col, id_col,
+                    beta1, beta2, eps, task_rows)[0]
 
 
 def _trained(net, train, epochs, lr, steps_per_epoch, batch_size, val, vec_col, weight_col, id_col, seed):
@@ -353,15 +376,63 @@ def decode(df: DataFrame, model: Stacked, code_col: str = "code", out_col: str =
     return df.withColumn(out_col, apply_udf(model.decoders)(F.col(code_col)))
 
 
+def _stacked_many(train: DataFrame, configs: list[tuple], vec_col: str, lr: float, batch_size: int) -> list[Stacked]:
+    """``stacked_fit`` of every config, those of one stage and number of epochs in the same jobs."""
+    frames, models, layers = [train] * len(configs), [Stacked([], []) for _ in configs], [1] * len(configs)
+    open_ = list(range(len(configs)))
+    while open_:
+        epochs = configs[open_[0]][2]
+        # a stage: the next layer where one is left, else the chain
+        now = [c for c in open_ if configs[c][2] == epochs]
+        left = {c: layers[c] < len(configs[c][0]) for c in now}
+        nets = [single_autoencoder(configs[c][0][layers[c] - 1], configs[c][0][layers[c]], configs[c][1], layers[c])
+                if left[c] else models[c].chain() for c in now]
+        fit_many(nets, [frames[c] if left[c] else train for c in now], epochs, lr, batch_size, vec_col=vec_col)
+        for c, net in zip(now, nets):
+            model, n_enc = models[c], len(configs[c][0]) - 1
+            if left[c]:
+                enc, dec = net.layers
+                model.encoders.append(enc)
+                model.decoders.insert(0, dec)
+                model.history += [{"stage": f"layer{layers[c]}", **h} for h in net.history]
+                frames[c] = frames[c].withColumn(vec_col, apply_udf([enc])(F.col(vec_col)))
+                layers[c] += 1
+            else:
+                model.history += [{"stage": "fine_tune", **h} for h in net.history]
+                model.encoders, model.decoders = net.layers[:n_enc], net.layers[n_enc:]
+                open_.remove(c)
+    return models
+
+
+def _mse_many(nets: list[Network], df: DataFrame, vec_col: str) -> list[float]:
+    """``mse`` of several networks in one pass."""
+    chains = [net.layers for net in nets]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            sums = [float(((Network(layers).forward(x) - x) ** 2).sum()) for layers in chains]
+            yield pd.DataFrame({"net": range(len(chains)), "s": sums, "c": x.size})
+
+    got = df.select(vec_col).mapInPandas(run, "net long, s double, c long").groupBy("net").agg(
+        F.sum("s").alias("s"), F.sum("c").alias("c")).collect()  # one row a network
+    found = {r["net"]: r["s"] / r["c"] if r["c"] else float("nan") for r in got}
+    return [found.get(i, float("nan")) for i in range(len(nets))]
+
+
 def config_sweep(train: DataFrame, val: DataFrame, test: DataFrame, configs: list[tuple], vec_col: str = "embedding",
                  lr: float = 1e-3, steps_per_epoch: int = 1, batch_size: int | None = None) -> list[dict]:
-    """Grid of ``(dims, activation, epochs)``: train/val/test MSE per config."""
-    rows = []
-    for dims, activation, epochs in configs:
-        model = stacked_fit(train, list(dims), activation, epochs, lr, None, vec_col, steps_per_epoch=steps_per_epoch,
-                            batch_size=batch_size)
-        net = model.chain()
-        for name, frame in (("train", train), ("val", val), ("test", test)):
-            rows.append({"dims": "-".join(map(str, dims)), "activation": str(activation), "epochs": epochs,
-                         "split": name, "mse": mse(net, frame, vec_col)})
-    return rows
+    """Grid of ``(dims, activation, epochs)``: train/val/test MSE per config.  With
+    ``batch_size`` the configs of a stage train in the same jobs."""
+    if batch_size:
+        models = _stacked_many(train, configs, vec_col, lr, batch_size)
+    else:
+        models = [stacked_fit(train, list(dims), activation, epochs, lr, None, vec_col, steps_per_epoch=steps_per_epoch)
+                  for dims, activation, epochs in configs]
+    nets = [model.chain() for model in models]
+    losses = {name: _mse_many(nets, frame, vec_col) for name, frame in (("train", train), ("val", val), ("test", test))}
+    return [{"dims": "-".join(map(str, dims)), "activation": str(activation), "epochs": epochs, "split": name,
+             "mse": losses[name][i]}
+            for i, (dims, activation, epochs) in enumerate(configs) for name in ("train", "val", "test")]
