@@ -65,3 +65,14 @@ def test_pairs_of_one_id_are_left_out(spark):
     far = 34 ** 0.5  # (0, 9) to (3, 4)
     assert got == {(0, 0): (4, 20.0, 5.0), (0, 1): (1, pytest.approx(far), pytest.approx(far)),
                    (1, 0): (1, pytest.approx(far), pytest.approx(far))}
+
+
+def test_copies_are_equally_similar_wherever_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(pr, "TILE", 13)
+    rng = np.random.default_rng(6)
+    pts = np.repeat(rng.normal(size=(12, 31)), 7, axis=0)
+    f = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, p.tolist(), []) for i, p in enumerate(rng.normal(size=(20, 31)))],
+                              "qid long, qvec array<double>, exclude array<long>")
+    got = pr.cross_topk(q, f, 14).toPandas().sort_values(["qid", "rank"])["vec_id"].to_numpy().reshape(20, 2, 7)
+    assert (np.diff(got, axis=2) == 1).all() and (got[:, :, 0] % 7 == 0).all()
