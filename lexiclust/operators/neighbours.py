@@ -119,7 +119,7 @@ def _first_graph(rows: DataFrame, width: int, tables: int, chunk: int, seed: int
     rng, found = np.random.default_rng(seed), None
     for _ in range(tables):
         w = F.lit(rng.normal(size=first["d"]).tolist())
-        along = F.aggregate(F.zip_with("v", w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        along = F.aggregate(F.zip_with("v", w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
         ordered = rows.withColumn("_p", along).repartitionByRange("_p", F.xxhash64("id")).sortWithinPartitions("_p", F.xxhash64("id"))
 
         def run(batches):
@@ -207,7 +207,9 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "emb
     ranked by ``(dist, nbr_id)``; ``spare`` more are kept on the way, where not
     given more of them the more rows there are (5 for each doubling).  Rounds end
     when less than a share ``settled`` of the lists is new."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    # single numbers travel as such and the tasks widen them
+    kind = "float" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast(kind)).alias("v"))
     rows = cut_lineage(rows)
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], f"{id_col} long, rank long, nbr_id long, dist double")
