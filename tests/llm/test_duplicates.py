@@ -247,3 +247,20 @@ def test_suffix_dedup_of_short_windows(spark, n):
         (i, *w) for (i, _), w in zip(pairs, want))
     whole = [r for r in got if r.n_removed == 0]
     assert all(r.text == (dict(pairs)[r.doc_id] or "") for r in whole)
+
+
+def test_suffix_sort_and_expansion_start_early(monkeypatch):
+    """A block is sorted in a few rounds of several letters each, and intervals are
+    expanded from one of them; texts that end alike keep the order of their ends."""
+    rng = random.Random(7)
+    shared = bytes(rng.choice(b"abcd") for _ in range(900))
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 300))) + shared[rng.randint(0, 450):] for _ in range(40)]
+    texts += [shared[:420], shared[-60:], shared[-60:], b"", b"a" * 900, b"\0" * 401]
+    sorts = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or argsort(*a, **b))
+    found = [x.tolist() for x in suffix_dedup.repeated_windows(texts, 400)]
+    assert len(sorts) < 12  # one for each length before
+    assert found == windows_by_hand(texts, 400)
+    for n in (1, 2, 9, 60, 61, 100):
+        assert [x.tolist() for x in suffix_dedup.repeated_windows(texts[30:], n)] == windows_by_hand(texts[30:], n)
