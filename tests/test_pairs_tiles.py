@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,34 @@ def test_copies_are_equally_similar_wherever_they_stand(spark, monkeypatch):
                               "qid long, qvec array<double>, exclude array<long>")
     got = pr.cross_topk(q, f, 14).toPandas().sort_values(["qid", "rank"])["vec_id"].to_numpy().reshape(20, 2, 7)
     assert (np.diff(got, axis=2) == 1).all() and (got[:, :, 0] % 7 == 0).all()
+
+
+def test_label_scan_prepares_its_factors_once(monkeypatch):
+    """The fold's sums are those of the plain distances, for copies, rows far off and rows
+    that are not finite as well; a block's factor of the products is made once."""
+    rng = np.random.default_rng(3)
+    made = []
+    hstack = np.hstack
+    monkeypatch.setattr(np, "hstack", lambda *a, **b: made.append(1) or hstack(*a, **b))
+    for odd in (0.0, 1e9, np.inf):
+        x, y = rng.normal(size=(1100, 5)), rng.normal(size=(700, 5))
+        y[:20] = x[:20]
+        y[300] += odd
+        labels = np.sort(rng.integers(0, 4, len(y)))
+        table = lambda m, lab, first: pa.table({"_id": pa.array(np.arange(len(m)) + first), "_lab": pa.array(lab), "_v": pa.array(list(m))})
+        block = pr._label_sums(256, "euclidean", False)(table(x, np.zeros(len(x), np.int64), 10_000))
+        made.clear()
+        with np.errstate(invalid="ignore"):
+            block.add(table(y, labels, 0).combine_chunks().to_batches()[0])
+            rows = block.result().to_pylist()
+            want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        if np.isfinite(odd):
+            assert len(made) == 3  # one for each batch of 256 rows
+        pairs = {r["other"]: r for r in rows if r["pair"]}
+        for label in range(4):
+            mine = want[:, labels == label]
+            count = mine.size - (len(x) if label == 0 else 0)
+            assert pairs[label]["c"] == count
+            np.testing.assert_allclose(pairs[label]["s"], mine.sum(), rtol=1e-11)
+            np.testing.assert_allclose(pairs[label]["mx"], mine.max(), rtol=1e-11)
+            np.testing.assert_allclose(pairs[label]["mn"], mine[mine > 0].min(), rtol=1e-9)
