@@ -122,7 +122,10 @@ def _bit(pos: Column) -> Column:
 
 def _meet(variants: DataFrame, max_bits: int, extra: list[str]) -> DataFrame:
     """Pairs ``a < b`` of fingerprints within ``max_bits`` that share a variant
-    (and the ``extra`` columns); each pair passes at its first possible one."""
+    (and the ``extra`` columns); each pair passes at its first possible one.
+
+    Spark sizes a table of variants by its columns, not by the 64 rows that each
+    fingerprint becomes, so the join is named: never broadcast."""
     segments = _segments(max_bits)
     left = variants.select(*[F.col(c).alias("l_" + c) for c in variants.columns])
     right = variants.select(*[F.col(c).alias("r_" + c) for c in variants.columns])
@@ -138,7 +141,7 @@ def _meet(variants: DataFrame, max_bits: int, extra: list[str]) -> DataFrame:
         for before in segments[:s]:
             at = at & (F.bit_count(_part(differing, *before)) > 1)
         here = here | ((F.col("l_seg") == s) & at)
-    return left.join(right, cond & here).select(F.col("l_fp").alias("a"), F.col("r_fp").alias("b"),
+    return left.join(right.hint("merge"), cond & here).select(F.col("l_fp").alias("a"), F.col("r_fp").alias("b"),
                                                 *[F.col("l_" + c).alias(c) for c in extra])
 
 
@@ -176,9 +179,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_segment: int = HOT_SEGME
     # buckets that a crowded segment value falls into: one for each wildcard
     width = F.create_map(*[F.lit(x) for s, (_, w) in enumerate(segments) for x in (s, w)])[F.col("seg")]
     pos = F.explode(F.sequence(F.lit(0), width - 1)).alias("pos")
-    hot = (crowded.select("seg", "value", pos)
-           .select("seg", "pos", F.col("value").bitwiseAND(F.bitwise_not(_bit(F.col("pos"))))
-                   .alias("rest")).distinct())
+    hot = written(crowded.select("seg", "value", pos)
+                  .select("seg", "pos", F.col("value").bitwiseAND(F.bitwise_not(_bit(F.col("pos"))))
+                          .alias("rest")).distinct(), "hot")  # its own size decides how it is joined
     key = ["seg", "pos", "rest"]
     cold_pairs = _meet(variants.join(hot, key, "left_anti"), max_bits, [])
     fine = variants.join(hot, key, "left_semi").select("fp", *key, F.inline(outside_pieces(max_bits)))

@@ -264,3 +264,16 @@ def test_suffix_sort_and_expansion_start_early(monkeypatch):
     assert found == windows_by_hand(texts, 400)
     for n in (1, 2, 9, 60, 61, 100):
         assert [x.tolist() for x in suffix_dedup.repeated_windows(texts[30:], n)] == windows_by_hand(texts[30:], n)
+
+
+def test_variants_are_never_broadcast(spark):
+    """Each fingerprint becomes 64 rows, which Spark's estimate leaves out."""
+    def plan(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    small = spark.createDataFrame(fps.collect(), "fp long")  # far below Spark's threshold
+    cold = simhash.links(small, 2)
+    assert "SortMergeJoin" in plan(cold) and "Broadcast" not in plan(cold)
+    hot = plan(simhash.links(small.union(spark.range(50).select("id")), 2, hot_segment=10))
+    assert hot.count("SortMergeJoin") == 2
