@@ -7,8 +7,9 @@ those that beat a row's worst neighbour are sent to it.  Rounds end when few
 neighbours change.  Work and traffic grow with ``n * width``, never with the
 number of row blocks: no row is copied to all blocks.
 
-* The first graph comes from random projections: rows sorted by a projection are
-  cut into chunks of bounded size, so copies or dense regions make no hot key.
+* The first graph comes from several cuts of the rows into chunks of bounded size:
+  rows sorted by their nearest of some pivots and a projection, so that near rows
+  share a chunk often and copies or dense regions make no hot key.
 * A node that many rows list is split: its listers are dealt over salts of about
   ``width`` rows, each of which also gets the rows that the node lists.
 * Only candidates that improve a row leave a task, at most ``width`` for each row
@@ -33,7 +34,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 #: rows that are compared with each other in the first graph
-CHUNK = 512
+CHUNK = 4096
+#: cuts of the rows into such chunks
+TABLES = 8
+#: pivots of a cut, at most
+MOST_PIVOTS = 1024
 #: neighbours kept for each row beyond those asked for, at least
 SPARE = 22
 EDGES = "array<struct<dist: double, tie: long, id: long>>"
@@ -102,25 +107,71 @@ class _Best:
             yield self.batch()
 
 
+def _edges(column) -> tuple[np.ndarray, ...]:
+    """The edges of an Arrow list column: number of the row, distance, tie, id."""
+    sizes = np.diff(column.offsets.to_numpy())  # no list is null
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), *(flat.field(i).to_numpy() for i in range(3))
+
+
 def _merged(state: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """``id, near, fresh``: the best ``width`` of the old and the found edges of
     each row, and which of them are new."""
     lists = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("_found"))  # width for each task at most
     none = F.array().cast(EDGES)
     joined = state.join(lists, state["id"] == lists["node"], "left")
-    near = F.slice(F.array_sort(F.array_distinct(F.concat("near", F.coalesce("_found", none)))), 1, width)
-    out = joined.select("id", F.col("near").alias("_old"), near.alias("near"))
-    return out.select("id", "near", F.transform("near", lambda e: ~F.array_contains("_old", e)).alias("fresh"))
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                old, new = _edges(part.column(1)), _edges(part.column(2))
+                row, d, tie, ids = (np.concatenate(x) for x in zip(old, new))
+                fresh = np.arange(len(row)) >= len(old[0])
+                order = np.lexsort((fresh, ids, tie, d, row))  # of equal edges the old one comes first
+                row, d, tie, ids, fresh = row[order], d[order], tie[order], ids[order], fresh[order]
+                first = np.ones(len(row), bool)
+                first[1:] = (row[1:] != row[:-1]) | (d[1:] != d[:-1]) | (tie[1:] != tie[:-1]) | (ids[1:] != ids[:-1])
+                row, d, tie, ids, fresh = row[first], d[first], tie[first], ids[first], fresh[first]
+                sizes = np.bincount(row, minlength=part.num_rows)
+                keep = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < width
+                ends = pa.array(np.append(0, np.cumsum(np.minimum(sizes, width))), pa.int32())
+                edges = pa.StructArray.from_arrays([pa.array(x[keep]) for x in (d, tie, ids)], names=["dist", "tie", "id"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(ends, edges), pa.ListArray.from_arrays(ends, pa.array(fresh[keep]))],
+                    names=["id", "near", "fresh"])
+
+    return joined.select("id", "near", F.coalesce("_found", none).alias("_found")).mapInArrow(
+        run, f"id long, near {EDGES}, fresh array<boolean>")
+
+
+def _cells(rows: DataFrame, pivots: np.ndarray, w: np.ndarray) -> DataFrame:
+    """``id, v, cell, along``: the nearest pivot and the projection on ``w``."""
+    half = np.einsum("ij,ij->i", pivots, pivots) / 2
+
+    def run(batches):
+        for batch in batches:
+            m = _matrix(batch.column(1))
+            cell = np.concatenate([(m[s:s + 2048] @ pivots.T - half).argmax(axis=1) for s in range(0, len(m), 2048)] or [np.zeros(0, int)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(m @ w if len(m) else np.zeros(0))],
+                                             names=["id", "v", "cell", "along"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.select("id", "v").mapInArrow(run, f"id long, v {kind}, cell int, along double")
 
 
 def _first_graph(rows: DataFrame, width: int, tables: int, chunk: int, seed: int) -> DataFrame:
+    """Each table cuts the rows anew, into chunks of rows with the same nearest of
+    some pivots (drawn by a hash, a chunk's number of rows to each); rows of a cell
+    are ordered by a projection, so that large cells are cut along it."""
     state = rows.select("id", F.array().cast(EDGES).alias("near"), F.array().cast("array<boolean>").alias("fresh"))
-    first = rows.select(F.size("v").alias("d")).first()
+    n, dim = rows.count(), rows.select(F.size("v").alias("d")).first()["d"]
+    most = min(MOST_PIVOTS, max(1, n // chunk))
     rng, found = np.random.default_rng(seed), None
-    for _ in range(tables):
-        w = F.lit(rng.normal(size=first["d"]).tolist())
-        along = F.aggregate(F.zip_with("v", w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-        ordered = rows.withColumn("_p", along).repartitionByRange("_p", F.xxhash64("id")).sortWithinPartitions("_p", F.xxhash64("id"))
+    for t in range(tables if n > chunk else 1):  # one chunk holds all pairs
+        picked = rows.select("v").orderBy(F.xxhash64("id", F.lit(seed), F.lit(t)), "id").limit(most).collect()
+        ordered = _cells(rows, np.array([r["v"] for r in picked], np.float64), rng.normal(size=dim))
+        ordered = ordered.repartitionByRange("cell", "along", F.xxhash64("id")).sortWithinPartitions("cell", "along", F.xxhash64("id"))
 
         def run(batches):
             best, ids, vectors = _Best(width), [], []
@@ -129,10 +180,12 @@ def _first_graph(rows: DataFrame, width: int, tables: int, chunk: int, seed: int
                 vectors.append(_matrix(batch.column(1)))
                 while sum(map(len, ids)) >= 2 * chunk:  # the last chunk holds up to two
                     i, m = np.concatenate(ids), np.concatenate(vectors)
-                    yield from best.add(_nearest(i[:chunk], m[:chunk], width))
+                    for part in _nearest(i[:chunk], m[:chunk], width):
+                        yield from best.add(part)
                     ids, vectors = [i[chunk:]], [m[chunk:]]
             if ids:
-                yield from best.add(_nearest(np.concatenate(ids), np.concatenate(vectors), width))
+                for part in _nearest(np.concatenate(ids), np.concatenate(vectors), width):
+                    yield from best.add(part)
             yield from best.rest()
 
         part = ordered.select("id", "v").mapInArrow(run, f"node long, found {EDGES}")
@@ -140,18 +193,19 @@ def _first_graph(rows: DataFrame, width: int, tables: int, chunk: int, seed: int
     return _merged(state, found, width)
 
 
-def _nearest(ids, m, width):
-    """All of the ``width`` nearest within a chunk."""
+def _nearest(ids, m, width, strip: int = 512):
+    """All of the ``width`` nearest within a chunk, by strips of rows."""
     norms = np.einsum("ij,ij->i", m, m)
-    rough = norms[:, None] + norms[None, :] - 2.0 * (m @ m.T)
-    np.fill_diagonal(rough, np.inf)
     k = min(width, len(ids) - 1)
-    if k < 1:
-        return ids[:0], ids[:0], np.zeros(0)
-    j = np.argpartition(rough, k - 1, axis=1)[:, :k].ravel()
-    i = np.repeat(np.arange(len(ids)), k)
-    diff = m[i] - m[j]
-    return ids[i], ids[j], np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    for s in range(0, len(ids) if k > 0 else 0, strip):
+        x = m[s:s + strip]
+        rough = norms[s:s + strip, None] + norms[None, :] - 2.0 * (x @ m.T)
+        own = np.arange(len(x))
+        rough[own, own + s] = np.inf
+        j = np.argpartition(rough, k - 1, axis=1)[:, :k].ravel()
+        i = np.repeat(own + s, k)
+        diff = m[i] - m[j]
+        yield ids[i], ids[j], np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
 
 def _meetings(rows: DataFrame, state: DataFrame, width: int) -> DataFrame:
@@ -202,7 +256,7 @@ def _compared(met: DataFrame, width: int) -> DataFrame:
 
 
 def knn_graph(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", spare: int | None = None,
-              tables: int = 2, chunk: int = CHUNK, rounds: int = 12, settled: float = 0.02, seed: int = 7) -> DataFrame:
+              tables: int = TABLES, chunk: int = CHUNK, rounds: int = 12, settled: float = 0.02, seed: int = 7) -> DataFrame:
     """``(id, rank, nbr_id, dist)``: nearly the ``k`` nearest other rows of each row,
     ranked by ``(dist, nbr_id)``; ``spare`` more are kept on the way, where not
     given more of them the more rows there are (5 for each doubling).  Rounds end
